@@ -93,15 +93,16 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
-def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(raw: np.ndarray, bounds: np.ndarray, separators: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, lower-cased in A-Z, and the row bounds among them.
 
     A word's hash is the sum over its bytes of table[byte] * odd**position, scrambled.
+    ``separators`` says of each byte whether it parts words.
     """
     rows = len(bounds) - 1
     if not len(raw):
         return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
-    blank = BLANK[raw]
+    blank = separators[raw]
     start = ~blank
     at = bounds[:-1][bounds[:-1] < len(raw)]
     first = start[at]
@@ -114,7 +115,7 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.nda
     place = np.arange(starts[0], len(raw), dtype=np.int64)
     place -= np.repeat(starts, lengths)
     powers = np.multiply.accumulate(np.concatenate([[U64(1)], np.full(int(lengths.max()), POSITION)]).astype(np.uint64))
-    values = BYTES[raw[starts[0] :]]
+    values = np.where(separators, U64(0), BYTES)[raw[starts[0] :]]
     values *= powers[place]
     return finish(np.add.reduceat(values, starts - starts[0])), np.searchsorted(starts, bounds)
 

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .exact_dedup import exact_duplicates
+from .mixing import mixed
 from .ngram_jaccard import jaccard_components
 from .packing import packed
+from .secrets import digest_columns, secrets
+from .toxicity import toxicity_scores
+from .url_filter import judged_urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,3 +50,44 @@ named AS (
   FROM texts)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM named
 """
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = mixed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.round("__probability", 9).alias("probability"), F.col("__kept").alias("kept"))
+
+
+QUERIES |= {"op8_toxicity": op8_toxicity, "op9_mixing": op9_mixing}
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_urls(table(spark, sf_dir, "pages"))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest_columns(secrets(table(spark, sf_dir, "documents")))
+
+
+QUERIES |= {"op2_url_filter": op2_url_filter, "op5_secret_scan": op5_secret_scan}
+
+ORACLES["op2_url_filter"] = r"""
+WITH rules(rule, host_part, path_part, rule_verdict) AS (VALUES
+  ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+  ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')),
+rests AS (
+  SELECT page_id, CASE WHEN url LIKE '%://%' THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (
+  SELECT page_id, row_number() OVER () AS r,
+         translate(regexp_extract(rest, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) AS path
+  FROM rests),
+hits AS (
+  SELECT r, rule, rule_verdict, row_number() OVER (PARTITION BY r ORDER BY length(rule) DESC) AS k
+  FROM parts JOIN rules ON (host = host_part OR host LIKE '%.' || host_part) AND starts_with(path, path_part))
+SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
+FROM parts LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (r)
+"""
