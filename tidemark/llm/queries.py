@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import nearest
+from .chat import formatted_turns, read_back
 from .exact_dedup import exact_duplicates
 from .mixing import mixed
 from .ngram_jaccard import jaccard_components
@@ -12,6 +14,7 @@ from .packing import packed
 from .secrets import digest_columns, secrets
 from .toxicity import toxicity_scores
 from .url_filter import judged_urls
+from .warc import archived
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,3 +94,48 @@ hits AS (
 SELECT page_id, host, path, rule, coalesce(rule_verdict, 'allow') AS verdict
 FROM parts LEFT JOIN (SELECT * FROM hits WHERE k = 1) USING (r)
 """
+
+
+def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = r"\### Assistant: </turn> ok"
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], turns.schema)
+    return read_back(formatted_turns(turns.unionByName(more)))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES |= {"op3_chat_format": op3_chat_format, "op6_warc": op6_warc, "op7_nearest": op7_nearest}
+
+ORACLES["op3_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+escaped AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS e,
+         replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), ':', '\:') AS r
+  FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(length('### ' || r || ': ' || e || '</turn>' || chr(10)))::BIGINT AS formatted_chars
+FROM escaped GROUP BY conv_id
+"""
+ORACLES["op6_warc"] = r"""
+WITH payloads AS (
+  SELECT page_id, coalesce(html, '') AS body, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
+firsts AS (
+  SELECT *, max(page_id) OVER (PARTITION BY body) AS first_id FROM payloads)
+SELECT page_id, payload_bytes, sha1(body) AS payload_digest,
+       CASE WHEN payload_bytes >= 1000 AND first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 1000 AND first_id <> page_id THEN first_id END AS refers_to
+FROM firsts
+"""
