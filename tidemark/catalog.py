@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from .plans import dataset_queries, market_queries
+
+QUERIES = {**market_queries.QUERIES, **dataset_queries.QUERIES}
+ORACLES = {**market_queries.ORACLES, **dataset_queries.ORACLES}
