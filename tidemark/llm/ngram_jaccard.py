@@ -204,7 +204,7 @@ def _joining_sets(shared: DataFrame, percent: int) -> DataFrame:
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """``(token, sig, n, pos)`` of the shared prefix shingles."""
+    """``(token, sig, n, pos, alone)`` of the shared prefix shingles."""
 
     def run(batches):
         for batch in batches:
@@ -215,9 +215,9 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
                 size = np.array([len(p) for p in parts])
                 row = np.repeat(np.arange(i, i + len(parts)), size)
                 place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(sig[row]), pa.array(n[row]), pa.array((alone[row] + place).astype(np.int32))], names=["token", "sig", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(sig[row]), pa.array(n[row]), pa.array((alone[row] + place).astype(np.int32)), pa.array(alone[row].astype(np.int32))], names=["token", "sig", "n", "pos", "alone"])
 
-    return sets.mapInArrow(run, "token long, sig long, n long, pos int")
+    return sets.mapInArrow(run, "token long, sig long, n long, pos int, alone int")
 
 
 def _lists(frames):
@@ -244,8 +244,9 @@ def _reach(n, i, m, j, percent: int):
 def _leader_candidates(postings: DataFrame, percent: int) -> DataFrame:
     """``(sig, leader)``: each set and the leader that most of its lists name.
 
-    A list's leader is its set with the least signature; rows are as many as postings
-    at most.
+    A list's leader is its most central set, the one with the least share of shingles of
+    its own: edits give copies such shingles and leave their original without.  Rows are
+    as many as postings at most.
     """
 
     def run(frames):
@@ -263,11 +264,11 @@ def _leader_candidates(postings: DataFrame, percent: int) -> DataFrame:
                 out = pd.DataFrame({"sig": sig[ok], "leader": top[ok]})
                 yield out.groupby(["sig", "leader"], sort=False).size().rename("votes").reset_index()
 
-    votes = _by_token(postings, "sig").mapInPandas(run, "sig long, leader long, votes long").groupBy("sig", "leader").agg(F.sum("votes").alias("votes"))
+    votes = _by_token(postings, F.col("alone") / F.col("n"), "sig").mapInPandas(run, "sig long, leader long, votes long").groupBy("sig", "leader").agg(F.sum("votes").alias("votes"))
     return votes.groupBy("sig").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
 
 
-def _by_token(postings: DataFrame, *then: str) -> DataFrame:
+def _by_token(postings: DataFrame, *then) -> DataFrame:
     return postings.repartition(partitions(postings.sparkSession), "token").sortWithinPartitions("token", *then)
 
 
@@ -452,9 +453,12 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     members, links = jaccard_links(docs, id_col, text_col, width, percent)
     roots = components(links)
     least = members.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"))
-    named = _with_roots(least, roots)
-    lowest = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_sig = named.select("sig", "root").join(lowest, "root").select("sig", "component_id")
+    joined = least.join(roots.select(F.col("node").alias("sig"), "root"), "sig")
+    roots = roots.select("root").distinct()
+    joined = joined.unionByName(least.join(roots, least.sig == roots.root).select("sig", "first", "root"))
+    lowest = joined.groupBy("root").agg(F.min("first").alias("lowest"))
+    grouped = joined.join(lowest, "root").select("sig", "lowest")
+    by_sig = least.join(grouped, "sig", "left").select("sig", F.coalesce("lowest", "first").alias("component_id"))
     out = members.join(by_sig, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
