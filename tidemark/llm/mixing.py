@@ -19,7 +19,10 @@ TOPICS = (("legal", "[Ll]icen[cs]e|[Cc]opyright"), ("contact", "@|://"), ("numer
 REST = "prose"
 #: Natural shares to this power, normalised, are the default targets.
 TEMPER = 0.8
-SWEEPS = 6
+SWEEPS = 5
+#: Raking goes on, ``SWEEPS`` at a time, until no marginal is off by more than this share,
+#: or for so many rounds where targets contradict each other.
+TOLERANCE, ROUNDS = 1e-4, 12
 #: Cells up to which their table (a few dozen bytes each) is broadcast; beyond, it is joined.
 BROADCAST_CELLS = 100_000
 NULL = "<null>"
@@ -63,11 +66,17 @@ def cell_weights(rows: DataFrame, targets: dict[str, dict[str, float]] | None =
     for key in KEYS:
         raked = raked.join(_targets(cells, key, (targets or {}).get(key[2:]), temper), key)
     raked = saved(raked, "targets")
-    for _ in range(sweeps):
-        for key in KEYS:
-            total = F.sum("__w").over(Window.partitionBy(key))
-            raked = raked.withColumn("__w", F.when(total > 0, F.col("__w") * F.col(f"{key}_target") / total).otherwise(0.0))
-    return saved(raked.select(*KEYS, "__t", "__w"), "raked")
+    for _ in range(ROUNDS):
+        for _ in range(sweeps):
+            for key in KEYS:
+                total = F.sum("__w").over(Window.partitionBy(key))
+                raked = raked.withColumn("__w", F.when(total > 0, F.col("__w") * F.col(f"{key}_target") / total).otherwise(0.0))
+        raked = saved(raked, "raked")
+        off = [raked.groupBy(key).agg((F.sum("__w") - F.first(f"{key}_target")).alias("e")).select(F.abs("e").alias("e")) for key in KEYS]
+        worst = off[0].union(off[1]).union(off[2]).agg(F.max("e")).first()[0]
+        if worst is None or worst < TOLERANCE:
+            break
+    return raked.select(*KEYS, "__t", "__w")
 
 
 def uniform(key: Column, seed: int) -> Column:

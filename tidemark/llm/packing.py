@@ -146,20 +146,26 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int,
     left = dict(histogram)
     out = [(left.pop(capacity), {capacity: 1})] if left.get(capacity) else []
     left.pop(capacity, None)
-    if left:
-        lengths = np.array(sorted(left), np.int64)
-        counts = np.array([left[int(x)] for x in lengths], np.int64)
-        if counts.sum() > 2 * len(lengths):
-            fractions = configuration_lp(lengths, counts, capacity)
-            fractions.sort(key=lambda x: -int((x[1] * lengths).sum()))
-            for x, filling in fractions:
-                some = filling > 0
-                number = min(int(x), int((counts[some] // filling[some]).min()))
-                if number:
-                    counts = counts - number * filling
-                    out.append((number, {int(lengths[k]): int(filling[k]) for k in np.flatnonzero(some)}))
-        out += best_fit({int(a): int(b) for a, b in zip(lengths, counts, strict=True) if b}, capacity)
-    return out
+    if not left:
+        return out
+    lengths = np.array(sorted(left), np.int64)
+    counts = np.array([left[int(x)] for x in lengths], np.int64)
+    greedy = best_fit(left, capacity)
+    if counts.sum() <= 2 * len(lengths):
+        return out + greedy
+    rounded = []
+    fractions = configuration_lp(lengths, counts, capacity)
+    fractions.sort(key=lambda x: -int((x[1] * lengths).sum()))
+    fullest = int((fractions[0][1] * lengths).sum())
+    for x, filling in fractions:
+        some = filling > 0
+        number = min(int(x), int((counts[some] // filling[some]).min()))
+        # A filling cut short by a scarce length wastes room: best fit does better there.
+        if number and int((filling * lengths).sum()) == fullest:
+            counts = counts - number * filling
+            rounded.append((number, {int(lengths[k]): int(filling[k]) for k in np.flatnonzero(some)}))
+    rounded += best_fit({int(a): int(b) for a, b in zip(lengths, counts, strict=True) if b}, capacity)
+    return out + min(rounded, greedy, key=lambda fillings: sum(n for n, _ in fillings))
 
 
 def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
