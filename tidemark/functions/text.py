@@ -8,6 +8,7 @@ from collections.abc import Mapping, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Characters and what the cleaner makes of them.
 REMOVED = "\u200b\u200c\u200d\u2060\ufffc\u20e3"
@@ -70,12 +71,12 @@ def normalized(texts: pd.Series, quotes: bool = False) -> pd.Series:
     return texts.str.normalize("NFKC").map(one, na_action="ignore")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_for_model(texts: pd.Series) -> pd.Series:
     return normalized(texts)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def clean_message(texts: pd.Series) -> pd.Series:
     """Links and blank lines go, escapes are undone, lines are joined, then as above."""
 

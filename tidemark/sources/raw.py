@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions.timezones import api_time
 from ..operators.prep import require_columns
 
-TWEET = T.StructType.fromDDL("id string, text string, createdAt string, twitterUrl string, url string, author struct<name: string, userName: string>, entities struct<symbols: array<struct<text: string>>>")
-PAGE = T.StructType.fromDDL(f"data struct<tweets: array<{TWEET.simpleString()}>>, tweets array<{TWEET.simpleString()}>, next_cursor string, has_next_page boolean")
+#: A tweet of the API, a page of tweets and bars, as schemas.
+TWEET = "id string, text string, createdAt string, twitterUrl string, url string, author struct<name: string, userName: string>, entities struct<symbols: array<struct<text: string>>>"
+_TWEET = "struct<id: string, text: string, createdAt: string, twitterUrl: string, url: string, author: struct<name: string, userName: string>, entities: struct<symbols: array<struct<text: string>>>>"
+PAGE = f"data struct<tweets: array<{_TWEET}>>, tweets array<{_TWEET}>, next_cursor string, has_next_page boolean"
 DAILY = "symbol string, bar_date date, open double, high double, low double, close double, volume double"
 INTRADAY = "symbol string, bar_ts timestamp, open double, high double, low double, close double, volume double"
 #: Columns that a dataset for training has.
