@@ -368,3 +368,43 @@ def student_p_values(spark, sf):
     """Two-sided p-values of some correlations (tested against known values)."""
     rows = [(r, n, student_p(r, n)) for r in (0.0, 0.034, 0.5, 1.0) for n in (2, 10, 4275)]
     return spark.createDataFrame(rows, "r double, n long, p double")
+
+
+@query("""SELECT event_id, ts, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k, props IS NULL AS missing FROM events""")
+def json_projection(spark, sf):
+    e = S.table(spark, sf, "events").withColumn("p", F.from_json("props", "k long"))
+    return e.select("event_id", "ts", F.coalesce("p.k", F.lit(0)).alias("k"), F.col("props").isNull().alias("missing"))
+
+
+@query("""SELECT event_id, strftime(ts, '%a %b %d %H:%M:%S +0000 %Y') AS api, ts AS instant FROM events""")
+def api_timestamps(spark, sf):
+    e = S.table(spark, sf, "events").select("event_id", F.date_format("ts", "EEE MMM dd HH:mm:ss '+0000' yyyy").alias("api"), F.col("ts"))
+    return e.select("event_id", "api", (Z.api_time(F.col("api")) + (F.col("ts").cast("timestamp") - F.date_trunc("second", F.col("ts").cast("timestamp")))).cast("timestamp_ntz").alias("instant"))
+
+
+@query("""WITH j AS (SELECT user_id AS account, CAST(ts AS DATE) AS fetch_date, ts AS fetched_at, event_id AS tweets_count FROM events WHERE user_id % 7 = 0)
+SELECT account, fetch_date, fetched_at, tweets_count FROM (SELECT *, row_number() OVER (PARTITION BY account, fetch_date ORDER BY fetched_at DESC, tweets_count DESC) AS k FROM j) WHERE k = 1""")
+def journal_latest(spark, sf):
+    e = S.table(spark, sf, "events").where("user_id % 7 = 0")
+    return ST.latest_journal(e.select(F.col("user_id").alias("account"), F.col("ts").cast("date").alias("fetch_date"), F.col("ts").alias("fetched_at"), F.col("event_id").alias("tweets_count")))
+
+
+@query(f"""WITH {JOURNAL}, accounts AS (SELECT DISTINCT account FROM journal UNION SELECT -1), raw AS (SELECT user_id AS account, count(*) AS n_raw FROM events GROUP BY 1),
+days AS (SELECT account, count(DISTINCT fetch_date) AS n_days FROM journal GROUP BY 1), state AS (SELECT account, CAST(sum(tweets_count) AS BIGINT) AS total_tweets FROM journal GROUP BY 1)
+SELECT account, coalesce(total_tweets, 0) AS total_tweets, coalesce(n_raw, 0) AS n_raw, coalesce(n_days, 0) AS n_days FROM accounts LEFT JOIN state USING (account) LEFT JOIN raw USING (account) LEFT JOIN days USING (account)""")
+def status_report(spark, sf):
+    j = _journal(spark, sf)
+    accounts = j.select("account").distinct().union(spark.createDataFrame([(-1,)], "account long"))
+    state = j.groupBy("account").agg(F.sum("tweets_count").alias("total_tweets"))
+    return ST.status_report(accounts, state, S.table(spark, sf, "events").select(F.col("user_id").alias("account")), j)
+
+
+@query("""WITH l AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'SELL' WHEN 1 THEN 'HOLD' ELSE 'BUY' END AS c, doc_id % 4 <> 0 AS ok FROM documents), n AS (SELECT c, count(*) AS n FROM l GROUP BY c)
+SELECT 'largest_class' AS "check", round((SELECT max(n) / sum(n) FROM n), 6) AS value, (SELECT max(n) / sum(n) FROM n) < 0.7 AS passed
+UNION ALL SELECT 'has_label', 1.0, true UNION ALL SELECT 'reliable', round((SELECT avg(ok::INT) FROM l), 6), (SELECT avg(ok::INT) FROM l) > 0.5""")
+def phase_zero(spark, sf):
+    from ..operators.validate import phase_zero as checks
+
+    k = F.col("doc_id") % 3
+    df = S.table(spark, sf, "documents").select(F.when(k == 0, "SELL").when(k == 1, "HOLD").otherwise("BUY").alias("label_1d_3class"), (F.col("doc_id") % 4 != 0).alias("is_reliable_label"))
+    return checks(df).withColumn("value", F.round("value", 6))

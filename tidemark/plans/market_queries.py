@@ -271,3 +271,30 @@ FROM events GROUP BY 1, 2""")
 def event_bars(spark: SparkSession, sf: str) -> DataFrame:
     e = S.table(spark, sf, "events").select(F.col("event_type").alias("symbol"), F.window("ts", "15 minutes").getField("start").alias("bar_ts"), F.col("event_id").alias("o_orderkey"), F.col("value").alias("p"))
     return S.bars_of(e, ["symbol", "bar_ts"])
+
+
+@query(f"WITH {S.TWEETS}, {SESSIONS} SELECT session, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM sessions GROUP BY session")
+def session_distribution(spark: SparkSession, sf: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    n = session(spark, sf).groupBy("session").agg(F.count("*").alias("n"))
+    return n.withColumn("pct", F.round(100.0 * F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+
+
+@query(f"""WITH {S.INTRADAY}, wanted AS (SELECT DISTINCT symbol FROM intraday UNION SELECT '9-NONE'), lasts AS (SELECT symbol, max(bar_ts) AS last_bar FROM intraday GROUP BY 1)
+SELECT symbol, last_bar, CASE WHEN last_bar IS NULL OR DATE '2001-08-01' - CAST(last_bar AS DATE) > 30 THEN 'full'
+  WHEN DATE '2001-08-01' < CAST(last_bar AS DATE) OR (DATE '2001-08-01' = CAST(last_bar AS DATE) AND hour(last_bar) >= 16) THEN 'fresh' ELSE 'incremental' END AS state
+FROM wanted LEFT JOIN lasts USING (symbol)""")
+def intraday_freshness(spark: SparkSession, sf: str) -> DataFrame:
+    bars = S.intraday_bars(spark, sf)
+    wanted = bars.select("symbol").distinct().union(spark.createDataFrame([("9-NONE",)], "symbol string"))
+    return B.intraday_freshness(wanted, bars, F.lit(date(2001, 8, 1)))
+
+
+@query(f"""WITH t AS ({FLAGSHIP})
+SELECT name AS "check", (SELECT count(*) FROM t) AS n_rows, 0 AS n_bad FROM (VALUES ('label_matches_return'), ('return_matches_prices'), ('hash_matches_text'), ('session_is_known'), ('prices_are_positive'), ('reliable_has_prices'), ('next_open_is_later')) AS v(name)""")
+def validation_report(spark: SparkSession, sf: str) -> DataFrame:
+    from ..operators.validate import violations
+
+    t = S.tweets(spark, sf).withColumn("category", F.lit("topic"))
+    return violations(enriched(t, S.daily_bars(spark, sf), S.intraday_bars(spark, sf), S.market_bars(spark, sf), S.metadata(spark, sf), market.calendar(spark, FIRST, LAST)))
