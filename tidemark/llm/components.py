@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from .common import saved
 
+#: Links that one task's union-find holds (two numbers each and as many dict entries).
+TASK_LINKS = 1_000_000
+
 
 def _forest(batches):
     """Union-find over one partition's links: one link to the smallest node each."""
@@ -63,16 +66,18 @@ def _settled(links: DataFrame) -> bool:
     return heads.join(ends, heads.a == ends.end, "left").where("n > 1 or end is not null").isEmpty()
 
 
-def components(links: DataFrame, name: str = "components") -> DataFrame:
+def components(links: DataFrame, name: str = "components", task_links: int = TASK_LINKS) -> DataFrame:
     """``(node, root)`` for every linked node; root is the component's least node.
 
-    Union-find within the partitions, then alternating large-star and small-star rounds
-    (Kiveris et al. 2014) with a union-find after each, until each node has one link to a
-    root.  Links with a null end are ignored; no links give no rows.  Rounds grow with the
-    logarithm of the longest path.
+    Union-find runs within partitions of ``task_links`` links.  What fits one partition is
+    done then; more alternates large-star and small-star rounds (Kiveris et al. 2014) with
+    union-find until each node has one link to a root, in rounds that grow with the
+    logarithm of the longest path.  Links with a null end are ignored; no links give no rows.
     """
-    links = links.select("a", "b").where("a <> b").distinct()
-    links = saved(contracted(links), name)
-    while not _settled(links):
-        links = saved(contracted(_star(_star(links, True), False)), name)
-    return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    links = saved(links.select("a", "b").where("a <> b"), name)
+    while True:
+        parts = -(-links.count() // task_links)
+        links = saved(contracted(links.coalesce(max(1, parts))), name)
+        if parts <= 1 or _settled(links):
+            return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+        links = saved(_star(_star(links, True), False), name)
