@@ -99,9 +99,16 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray, separators: np.ndarray = BL
     A word's hash is the sum over its bytes of table[byte] * odd**position, scrambled.
     ``separators`` says of each byte whether it parts words.
     """
+    hashes, at, _, _ = placed_words(raw, bounds, separators)
+    return hashes, at
+
+
+def placed_words(raw: np.ndarray, bounds: np.ndarray, separators: np.ndarray = BLANK) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, and where words start and how far they and what parts them reach."""
     rows = len(bounds) - 1
+    none = np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     if not len(raw):
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
+        return none
     blank = separators[raw]
     start = ~blank
     at = bounds[:-1][bounds[:-1] < len(raw)]
@@ -110,14 +117,14 @@ def word_hashes(raw: np.ndarray, bounds: np.ndarray, separators: np.ndarray = BL
     start[at] |= first
     starts = np.flatnonzero(start)
     if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(rows + 1, np.int64)
+        return none
     lengths = np.diff(np.append(starts, len(raw)))
     place = np.arange(starts[0], len(raw), dtype=np.int64)
     place -= np.repeat(starts, lengths)
     powers = np.multiply.accumulate(np.concatenate([[U64(1)], np.full(int(lengths.max()), POSITION)]).astype(np.uint64))
     values = np.where(separators, U64(0), BYTES)[raw[starts[0] :]]
     values *= powers[place]
-    return finish(np.add.reduceat(values, starts - starts[0])), np.searchsorted(starts, bounds)
+    return finish(np.add.reduceat(values, starts - starts[0])), np.searchsorted(starts, bounds), starts, lengths
 
 
 def slices(bounds: np.ndarray, limit: int = 1 << 20):

@@ -11,8 +11,10 @@ number within their length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import ragged_ranges, saved
+from .common import SEPARATORS, placed_words, ragged_ranges, saved, slices, text_buffers
 
 #: Rows that one numbering group gets on average.
 NUMBER_ROWS = 250_000
-#: Words that the tokenizer's cache holds before it starts anew.
-CACHE_WORDS = 400_000
+#: Words that a worker's cache holds before it starts anew (some 60 bytes each).
+CACHE_WORDS = 1_500_000
 
 
 def tokenizer_path() -> str:
@@ -34,65 +36,123 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class HashTable:
+    """Numbers by 64-bit keys other than 0: open addressing, many keys at a time."""
+
+    def __init__(self, bits: int):
+        self.mask = np.uint64((1 << bits) - 1)
+        self.keys, self.values = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The numbers of ``keys``, -1 for those that aren't held."""
+        out, active, slot = np.full(len(keys), -1, np.int64), np.arange(len(keys)), (keys & self.mask).astype(np.int64)
+        while len(active):
+            at = slot[active]
+            held = self.keys[at]
+            hit = held == keys[active]
+            out[active[hit]] = self.values[at[hit]]
+            active = active[~hit & (held != 0)]
+            slot[active] = (slot[active] + 1) & int(self.mask)
+        return out
+
+    def add(self, keys: np.ndarray, values: np.ndarray) -> None:
+        """Hold distinct new keys."""
+        active, slot = np.arange(len(keys)), (keys & self.mask).astype(np.int64)
+        while len(active):
+            free = active[self.keys[slot[active]] == 0]
+            first = free[np.unique(slot[free], return_index=True)[1]]
+            self.keys[slot[first]], self.values[slot[first]] = keys[first], values[first]
+            active = np.setdiff1d(active, first, assume_unique=True)
+            slot[active] = (slot[active] + 1) & int(self.mask)
+
+
 class WordEncoder:
     """Token ids of whole texts, one tokenizer call for each new run of non-blanks.
 
-    Right for tokenizers whose tokens never reach over ASCII white space.
+    Right for tokenizers that lower-case and whose tokens never reach over ASCII white
+    space.  Runs are known by a 64-bit hash that folds A-Z; texts with ``<|``, which may be
+    a special token in one case only, are encoded as they are.
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.clear()
 
+    @classmethod
+    def shared(cls, path: str) -> WordEncoder:
+        """This worker process's encoder, so that tasks find what earlier ones learnt."""
+        import tokenizers
+
+        held = tokenizers.__dict__.setdefault("_word_encoders", {})
+        if path not in held:
+            held[path] = cls(path)
+        return held[path]
+
     def clear(self) -> None:
-        self.code: dict[bytes, int] = {}
-        self.starts, self.lengths, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.table, self.words, self.filled = HashTable((2 * CACHE_WORDS).bit_length()), 0, 0
+        self.starts, self.lengths, self.ids = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, np.uint32)
 
-    def learn(self, words: list[bytes]) -> None:
-        fresh = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        ids = [x.ids for x in fresh]
+    def learn(self, keys: np.ndarray, words: list[str]) -> None:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        base = len(self.code)
-        self.code.update(zip(words, range(base, base + len(words)), strict=True))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(lengths) - lengths])
-        self.lengths = np.concatenate([self.lengths, lengths])
-        self.ids = np.concatenate([self.ids, np.array([i for x in ids for i in x], np.uint32)])
-
-    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, one text after another, and the bounds of the texts."""
-        split = [t.split() for t in texts]
-        new = set().union(*split) - self.code.keys()
-        if len(self.code) > CACHE_WORDS:
+        flat = np.fromiter(chain.from_iterable(ids), np.uint32, int(lengths.sum()))
+        n, m = self.words + len(words), self.filled + len(flat)
+        while n > len(self.starts):
+            self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
+        while m > len(self.ids):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.starts[self.words : n], self.lengths[self.words : n] = self.filled + np.cumsum(lengths) - lengths, lengths
+        self.ids[self.filled : m] = flat
+        self.table.add(keys, np.arange(self.words, n))
+        self.words, self.filled = n, m
+
+    def encode(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the rows of UTF-8 bytes, one row after another, and their bounds."""
+        keys, at, starts, reach = placed_words(raw, bounds)
+        keys = np.maximum(keys, np.uint64(1))
+        if self.words > CACHE_WORDS:
             self.clear()
-            new = set().union(*split)
-        if new:
-            self.learn(list(new))
-        codes = np.fromiter((c for words in split for c in map(self.code.__getitem__, words)), np.int64)
-        lengths = self.lengths[codes]
+        code = self.table.find(keys)
+        if (new := np.flatnonzero(code < 0)).size:
+            fresh, where = np.unique(keys[new], return_index=True)
+            data = raw.tobytes()
+            words = [data[s : s + n].rstrip(SEPARATORS).decode() for s, n in zip(starts[new[where]].tolist(), reach[new[where]].tolist(), strict=True)]
+            self.learn(fresh, words)
+            code[new] = self.table.find(keys[new])
+        lengths = self.lengths[code]
         ends = np.concatenate([[0], np.cumsum(lengths)])
-        words = np.cumsum([0, *map(len, split)])
-        return self.ids[ragged_ranges(self.starts[codes], lengths)], ends[words]
+        return self.ids[ragged_ranges(self.starts[code], lengths)], ends[at]
+
+    def whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
 
 def pieces(docs: DataFrame, id_col: str, text_col: str, capacity: int, path: str) -> DataFrame:
     """``(doc_id, row, piece, start, length, ids_crc32)``; each document ends with id 0."""
 
     def run(batches):
-        encoder = WordEncoder(path)
+        encoder = WordEncoder.shared(path)
         row = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
         for batch in batches:
-            texts = batch.column(1).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
             out: list[list] = [[], [], [], [], [], []]
-            for i in range(0, len(texts), 256):
-                ids, at = encoder.encode([t or b"" for t in texts[i : i + 256]])
-                for j, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
-                    whole = np.zeros(b - a + 1, "<u4")
-                    whole[:-1] = ids[a:b]
+            raw, bounds = text_buffers(batch.column(1))
+            for i, j in slices(bounds):
+                part = raw[bounds[i] : bounds[j]]
+                ids, at = encoder.encode(part, bounds[i : j + 1] - bounds[i])
+                data = part.tobytes()
+                special = b"<|" in data
+                for k, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True), i):
+                    own = ids[a:b]
+                    if special and b"<|" in (text := raw[bounds[k] : bounds[k + 1]].tobytes()):
+                        own = encoder.whole(text.decode())
+                    whole = np.zeros(len(own) + 1, "<u4")
+                    whole[:-1] = own
                     for p, start in enumerate(range(0, len(whole), capacity)):
-                        part = whole[start : start + capacity]
-                        for column, value in zip(out, (i + j, row, p, start, len(part), zlib.crc32(part.tobytes())), strict=True):
+                        piece = whole[start : start + capacity]
+                        for column, value in zip(out, (k, row, p, start, len(piece), zlib.crc32(piece.tobytes())), strict=True):
                             column.append(value)
                     row += 1
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int32()), *(pa.array(c, pa.int64()) for c in out[3:])], names=["doc_id", "row", "piece", "start", "length", "ids_crc32"])
