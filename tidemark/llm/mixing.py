@@ -50,8 +50,8 @@ def _targets(cells: DataFrame, key: str, given: dict[str, float] | None, temper:
     else:
         wish = F.pow(F.col("__s"), F.lit(temper))
     shares = shares.withColumn("__w", F.when(F.col("__s") > 0, wish).otherwise(0.0))
-    total = shares.agg(F.sum("__w").alias("__a"))
-    return shares.crossJoin(F.broadcast(total)).select(key, F.when(F.col("__a") > 0, F.col("__w") / F.col("__a")).otherwise(0.0).alias(f"{key}_target"))
+    total = shares.agg(F.sum("__w")).first()[0] or 0.0
+    return shares.select(key, (F.col("__w") / total if total else F.lit(0.0)).alias(f"{key}_target"))
 
 
 def cell_weights(rows: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, sweeps: int = SWEEPS) -> DataFrame:
@@ -101,9 +101,9 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     })
     cells = cell_weights(keyed.select(*KEYS, "__tokens"), targets, temper)
     ratio = F.when(F.col("__t") > 0, F.col("__w") / F.col("__t"))
-    top = cells.agg(F.max(ratio).alias("__top"))
-    chances = cells.crossJoin(F.broadcast(top)).select(*KEYS, F.when(F.col("__top") > 0, ratio / F.col("__top")).otherwise(ratio).alias("__chance"))
-    few = cells.count() <= BROADCAST_CELLS
+    sums = cells.agg(F.max(ratio).alias("top"), F.count("*").alias("n")).first()
+    chances = cells.select(*KEYS, (ratio / sums["top"] if sums["top"] else ratio).alias("__chance"))
+    few = sums["n"] <= BROADCAST_CELLS
     joined = keyed.join(F.broadcast(chances) if few else chances, list(KEYS), "left")
     chance = F.when(F.col("__tokens") == 0, F.lit(1.0)).otherwise(F.coalesce("__chance", F.lit(0.0)))
     joined = joined.withColumn("__probability", chance)

@@ -39,10 +39,10 @@ def _record_id(kind: Column) -> Column:
     return F.concat(F.lit("<urn:md5:"), F.md5(F.to_json(F.struct(kind, "__id", "__url", "__sha")).cast("binary")), F.lit(">"))
 
 
-def revisits(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
-    """``__first``: of equal payloads of ``least`` bytes or more, the largest page id."""
-    groups = pages.where(F.col("__bytes") >= least).groupBy("__sha").agg(F.max("__id").alias("__first"), F.count("*").alias("__n"))
-    return groups.where("__n > 1 and __first is not null").select("__sha", "__first")
+def repeated(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
+    """Payloads of ``least`` bytes or more that occur twice: the page with the largest id."""
+    groups = pages.where(F.col("__bytes") >= least).groupBy("__sha").agg(F.max(F.struct("__id", "__url")).alias("__top"), F.count("*").alias("__n"))
+    return groups.where("__n > 1 and __top.__id is not null").select("__sha", F.col("__top.__id").alias("__first"), F.col("__top.__url").alias("__first_url"))
 
 
 def composed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", segment: int = SEGMENT, chunk: int = CHUNK, least: int = REVISIT_BYTES) -> DataFrame:
@@ -51,11 +51,7 @@ def composed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", te
     url = F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", "%0A")
     rows = pages.select(F.col(id_col).cast("long").alias("__id"), url.alias("__url"), text.alias("__text"))
     rows = rows.withColumns({"__sha": F.sha2(F.col("__text").cast("binary"), 256), "__sha1": F.sha1(F.col("__text").cast("binary")), "__bytes": F.octet_length("__text")})
-    groups = revisits(rows, least)
-    first = F.max(F.struct("__id", "__url")).alias("__top")
-    tops = rows.join(groups, "__sha", "left_semi").groupBy("__sha").agg(first)
-    tops = tops.select("__sha", F.col("__top.__id").alias("__first"), F.col("__top.__url").alias("__first_url"))
-    rows = rows.join(tops, "__sha", "left")
+    rows = rows.join(repeated(rows, least), "__sha", "left")
     again = F.col("__first").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__first"))
     rows = rows.withColumn("__again", again)
     own = _record_id(F.when(F.col("__again"), "revisit").otherwise("response").alias("k"))
