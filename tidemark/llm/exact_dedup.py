@@ -25,6 +25,8 @@ PRINT_BITS = 60
 OWNER_ROWS = 1_000_000
 #: Suspect rows up to which their ids (16 bytes each) are broadcast; beyond, ids are joined.
 BROADCAST_ROWS = 250_000
+#: Groups of copies up to which their table (100 bytes each) is broadcast; beyond, it is joined.
+BROADCAST_GROUPS = 50_000
 
 
 def normalised(text: Column) -> Column:
@@ -158,6 +160,10 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     best = F.min(F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("u"), F.col("doc_id").alias("i"), F.col("row").alias("r")))
     groups = suspects.groupBy("text_sha256").agg(best.alias("best"), F.count("*").alias("group_size")).where("group_size > 1")
     groups = groups.join(checked, "text_sha256").where("clash is null").select("text_sha256", F.col("best.i").alias("keep"), F.col("best.r").alias("keep_row"), "group_size")
+    # As a table of its own, so that a hot text's rows are split where the join shuffles.
+    groups = saved(groups, "groups")
+    if groups.count() <= BROADCAST_GROUPS:
+        groups = F.broadcast(groups)
     out = members.select("doc_id", "text_sha256", "row").join(groups, "text_sha256", "left")
     alone = F.col("keep_row").isNull()
     return out.select(
