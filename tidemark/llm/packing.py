@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from .common import SEPARATORS, placed_words, ragged_ranges, saved, slices, text_buffers
 
-#: Rows that one numbering group gets on average.
+#: Rows of one length that one numbering group gets at most, more or less.
 NUMBER_ROWS = 250_000
 #: Words that a worker's cache holds before it starts anew (some 60 bytes each).
 CACHE_WORDS = 1_500_000
@@ -296,7 +296,8 @@ def packed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
     table = saved(pieces(docs, id_col, text_col, capacity, path or tokenizer_path()), "pieces")
     histogram = {r["length"]: r["n"] for r in table.groupBy("length").agg(F.count("*").alias("n")).collect()}  # capacity rows at most
     runs = places(plan(histogram, capacity), capacity)
-    groups = max(1, sum(histogram.values()) // NUMBER_ROWS)
+    rows = sum(histogram.values())
+    groups = max(1, min(64, rows // 500), rows // NUMBER_ROWS)  # a third of all rows may have one length
     salted = table.withColumn("salt", F.pmod(F.xxhash64("row", "piece"), F.lit(groups)))
     sizes = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")
