@@ -74,6 +74,21 @@ def test_jaccard_components_equal_brute_force(spark, seed):
     assert sorted((repr(r.doc_id), r.n_shingles, repr(r.component_id)) for r in got) == brute(rows)
 
 
+def test_truncated_copies_of_documents_with_a_shared_passage(spark):
+    """Whole documents lead their truncated copies; only the copies of two of them are linked."""
+    texts = []
+    for g in range(40):
+        words = iter(f"g{g}w{k}" for k in range(1000))
+        passage = [next(words) for _ in range(84)]
+        for _ in range(2):
+            whole = passage + [next(words) for _ in range(25)]
+            texts += [" ".join(whole), " ".join(whole + [next(words) for _ in range(3)]), " ".join(whole[:97])]
+    rows = list(enumerate(texts))
+    random.Random(1).shuffle(rows)
+    got = jaccard_components(frame(spark, rows)).collect()
+    assert sorted((repr(x.doc_id), x.n_shingles, repr(x.component_id)) for x in got) == brute(rows)
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard_components(frame(spark, [])).collect() == []
     assert [r.component_id for r in jaccard_components(frame(spark, [(5, None)])).collect()] == [5]

@@ -301,7 +301,9 @@ def _cross_candidates(postings: DataFrame, percent: int, leaders: bool, open_pai
 
     ``postings`` carry (root, leader, gain): the component, the leader and how many
     shingles the set has that its leader lacks.  With ``leaders`` the pairs of leaders
-    are returned (with the largest gains met), else the pairs of sets.
+    are returned, else the pairs of sets.  ``slack`` is the largest
+    ``(100 + percent) (gains) - percent (sizes)`` of the sets met: the overlap of their
+    leaders, ``100 + percent`` times, must make up for it.
     """
 
     def blocked(rows):
@@ -343,7 +345,7 @@ def _cross_candidates(postings: DataFrame, percent: int, leaders: bool, open_pai
             cols = {c: pdf[c].to_numpy() for c in pdf.columns}
             token = cols["token"]
             head = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-            found: dict[tuple[int, int], tuple[int, int]] = {}
+            found: dict[tuple[int, int], int] = {}
             for a, b in zip(head.tolist(), np.append(head[1:], len(token)).tolist(), strict=True):
                 if b - a < 2 or (cols["root"][a:b] == cols["root"][a]).all():
                     continue
@@ -351,16 +353,14 @@ def _cross_candidates(postings: DataFrame, percent: int, leaders: bool, open_pai
                 for i, other in meet(rows, at):
                     if leaders:
                         p, q = rows["leader"][i], rows["leader"][other]
-                        for k, v in zip(q.tolist(), other.tolist(), strict=True):
-                            key, gains = (p, k), (rows["gain"][i], rows["gain"][v])
-                            if k < p:
-                                key, gains = (k, p), gains[::-1]
-                            old = found.get(key, (0, 0))
-                            found[key] = (max(old[0], gains[0]), max(old[1], gains[1]))
+                        slack = (100 + percent) * (rows["gain"][i] + rows["gain"][other]) - percent * (rows["n"][i] + rows["n"][other])
+                        for k, v in zip(q.tolist(), slack.tolist(), strict=True):
+                            key = (min(p, k), max(p, k))
+                            found[key] = max(found.get(key, v), v)
                     else:
                         for v in other.tolist():
                             s, t = rows["sig"][i], rows["sig"][v]
-                            found[(min(s, t), max(s, t))] = (0, 0)
+                            found[(min(s, t), max(s, t))] = 0
                 if len(found) > 200_000:
                     yield frame(found)
                     found = {}
@@ -368,11 +368,11 @@ def _cross_candidates(postings: DataFrame, percent: int, leaders: bool, open_pai
                 yield frame(found)
 
     def frame(found):
-        keys, gains = np.array(list(found), np.int64).reshape(-1, 2), np.array(list(found.values()), np.int64).reshape(-1, 2)
-        return pd.DataFrame({"a": keys[:, 0], "b": keys[:, 1], "ga": gains[:, 0], "gb": gains[:, 1]})
+        keys = np.array(list(found), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": keys[:, 0], "b": keys[:, 1], "slack": np.array(list(found.values()), np.int64)})
 
-    pairs = _by_token(postings).mapInPandas(run, "a long, b long, ga long, gb long")
-    return pairs.groupBy("a", "b").agg(F.max("ga").alias("ga"), F.max("gb").alias("gb"))
+    pairs = _by_token(postings).mapInPandas(run, "a long, b long, slack long")
+    return pairs.groupBy("a", "b").agg(F.max("slack").alias("slack"))
 
 
 def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
@@ -409,14 +409,13 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     mixed = postings.join(_open_tokens(postings, roots), "token", "left_semi")
     pairs = saved(_cross_candidates(annotated(mixed, roots), percent, leaders=True).where("a <> b"), "leaders")
-    met = saved(_overlaps(pairs, sets, "ga", "gb"), "met")
+    met = saved(_overlaps(pairs, sets, "slack"), "met")
     lead_links = met.where(is_link).select("a", "b", "na", "nb", "common")
     links = star.select("a", "b", "na", "nb", "common").unionByName(lead_links)
 
-    # What is left: members of two leaders that aren't linked but whose gains leave room
-    # (a member has percent / 100 of its leader's size at least).
-    room = (F.col("common") + F.col("ga") + F.col("gb")) * (100 + percent) * 100 >= (F.col("na") + F.col("nb")) * percent * percent
-    unsettled = met.where(~is_link & room & ((F.col("ga") > 0) | (F.col("gb") > 0))).select("a", "b", F.col("common").alias("top"))
+    # What is left: leaders that aren't linked where the gains of members, or their smaller
+    # sizes (a truncated copy has no gain), leave room for a link.
+    unsettled = met.where(~is_link & (F.col("common") * (100 + percent) + F.col("slack") >= 0)).select("a", "b", F.col("common").alias("top"))
     if unsettled.take(1):
         roots = components(links)
         rows = annotated(mixed, roots)
