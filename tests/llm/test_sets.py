@@ -9,7 +9,7 @@ import pytest
 
 from tidemark.llm.components import components
 from tidemark.llm.exact_dedup import deduplicated, exact_duplicates, rice_decode, rice_encode
-from tidemark.llm.ngram_jaccard import jaccard_components, representatives
+from tidemark.llm.ngram_jaccard import jaccard_components, link_counts, representatives
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOW = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -94,6 +94,13 @@ def test_jaccard_of_nothing(spark):
     assert [r.component_id for r in jaccard_components(frame(spark, [(5, None)])).collect()] == [5]
 
 
+def test_link_counts_equal_brute_force(spark):
+    rows = corpus(6) + EDGES
+    sets = [shingles(t) for _, t in rows]
+    want = [(repr(d), sum(j != i and 100 * len(s & t) >= 75 * len(s | t) for j, t in enumerate(sets) if t) if s else 0) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True))]
+    assert sorted((repr(r.doc_id), r.n_links) for r in link_counts(frame(spark, rows)).collect()) == sorted(want)
+
+
 def test_representatives_keep_the_least_id(spark):
     rows = corpus(3)
     got = {r.doc_id for r in representatives(frame(spark, rows)).collect()}

@@ -380,11 +380,12 @@ def _with_roots(rows: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(known, "sig", "left").withColumn("root", F.coalesce("root", "sig"))
 
 
-def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> tuple[DataFrame, DataFrame]:
+def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75, full: bool = False) -> tuple[DataFrame, DataFrame]:
     """Membership ``(doc_id, sig, n)`` of all rows and links ``(a, b, common, na, nb)`` of sets.
 
     Sets are linked when ``100 |A and B| >= percent |A or B|``.  The links join exactly the
     components of the full link graph: pairs within a known component aren't looked at.
+    With ``full`` they are all links between distinct sets, as many as there are.
     """
     spark = docs.sparkSession
     members = saved(signatures(docs, id_col, text_col, width), "members")
@@ -397,6 +398,11 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     postings = saved(_postings(sets, percent), "postings")
     is_link = linked(F.col("common"), F.col("na"), F.col("nb"), percent)
 
+    if full:
+        rows = postings.select("token", "sig", "n", "pos", F.col("sig").alias("root"), F.col("sig").alias("leader"), F.lit(0).cast("long").alias("gain"))
+        pairs = _cross_candidates(rows, percent, leaders=False).select("a", "b")
+        return members, saved(_overlaps(pairs, sets).where(is_link).select("a", "b", "common", "na", "nb"), "links")
+
     star = _overlaps(_leader_candidates(postings, percent).select(F.col("sig").alias("a"), F.col("leader").alias("b")), sets)
     star = saved(star.where(is_link), "star")
     roots = components(star)
@@ -462,6 +468,19 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
+    """``(doc_id, n_links)``, one row per row of ``docs``: how many other rows it is linked to.
+
+    Rows with equal sets are linked to each other; empty sets have no links.
+    """
+    members, links = jaccard_links(docs, id_col, text_col, width, percent, full=True)
+    rows = members.where("sig is not null").groupBy("sig").agg(F.count("*").alias("rows"))
+    both = links.select("a", "b").union(links.select("b", "a"))
+    others = both.join(rows.select(F.col("sig").alias("b"), "rows"), "b").groupBy(F.col("a").alias("sig")).agg(F.sum("rows").alias("others"))
+    counts = rows.join(others, "sig", "left").select("sig", (F.col("rows") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return members.join(counts, "sig", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` that stay: of each component the one with the least id."""
     found = jaccard_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, percent)
