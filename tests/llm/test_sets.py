@@ -107,6 +107,14 @@ def test_representatives_keep_the_least_id(spark):
     assert got == {int(c) for d, _, c in brute(rows) if d == c}
 
 
+def test_representatives_of_repeated_and_null_ids(spark):
+    words = [f"v{k}" for k in range(60)]
+    a, near, other, third = " ".join(words), " ".join([*words, "x"]), " ".join(reversed(words)), " ".join(f"u{k}" for k in range(20))
+    rows = [(1, a), (7, near), (7, other), (9, third), (9, third), (None, near), (None, third + " x"), (None, "lone words"), (None, "lone words"), (3, None), (3, None), (5, "p q r"), (5, "p Q r"), (None, None)]
+    got = sorted((repr(r.doc_id), (r.text or "").lower()) for r in representatives(frame(spark, rows)).collect())
+    assert got == sorted([("1", a), ("7", other), ("9", third), ("None", "lone words"), ("3", ""), ("3", ""), ("5", "p q r"), ("None", "")])
+
+
 def test_components_of_a_long_chain_in_many_tasks(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(900, 901), (None, 3)], "a long, b long").repartition(7)
     got = {r.node: r.root for r in components(links, task_links=20).collect()}

@@ -482,8 +482,23 @@ def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
-    """The rows of ``docs`` that stay: of each component the one with the least id."""
-    found = jaccard_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col, width, percent)
-    gone = found.where("component_id <> doc_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    """The rows of ``docs`` that stay: of each component one row with the least id.
 
+    Rows are told apart by id and text, so rows that share an id but not their text are
+    decided on one by one.  Null ids come last, ties go to the least hash of the text, and of
+    rows with equal ids and texts one stays, whichever it is.  Rows with an empty set all stay.
+    """
+    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
+    members, links = jaccard_links(docs.select(key.alias("row"), text_col), "row", text_col, width, percent)
+    members = members.where("sig is not null").select("sig", F.struct(F.col("doc_id.id").isNull().alias("last"), "doc_id.id", "doc_id.h").alias("row"))
+    best = _with_roots(members.groupBy("sig").agg(F.min("row").alias("row")), components(links))
+    kept = best.groupBy("root").agg(F.min("row").alias("kept"))
+    kept = best.select("sig", "root").join(kept, "root").select("sig", "kept")
+    gone = members.join(kept, "sig").where("row <> kept").select(F.col("row.id").alias("__id"), F.col("row.h").alias("__h")).distinct()
+    same = F.col("__id").eqNullSafe(docs[id_col]) & (F.col("__h") == F.xxhash64(docs[text_col]))
+    out = docs.join(gone, same, "left_anti")
+    again = members.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row.id").alias("__id"), F.col("row.h").alias("__h"))
+    if again.isEmpty():
+        return out
+    twice = out.join(again, same, "left_semi").groupBy(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__h")).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("__row"))
+    return out.join(again, same, "left_anti").unionByName(twice.select("__row.*"))
