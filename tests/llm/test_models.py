@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm.ann import nearest
+from tidemark.llm.ann import nearest, packed_codes, scan
 from tidemark.llm.mixing import mixed, mixture
 from tidemark.llm.packing import best_filling, packed, plan, tokenizer_path
 from tidemark.llm.toxicity import clean, toxicity_scores
@@ -92,6 +92,16 @@ def test_mixing_edges(spark):
     assert mixture(docs).columns == docs.columns and mixture(docs.limit(0)).collect() == []
 
 
+def test_scan_of_wide_vectors_does_not_wrap_round():
+    import numpy as np
+
+    centres = np.zeros((600, 16, 2))
+    centres[:, 0] = 1.0
+    codes = np.ones((3, 600), np.int64)
+    codes[0], codes[1, :250] = 0, 0  # sums of 153,000, 63,750 and 0
+    assert scan(np.ones(1200), packed_codes(codes), centres, 1).tolist() == [0]
+
+
 def test_packing_is_whole_and_tight(spark, sf):
     from tokenizers import Tokenizer
 

@@ -106,7 +106,7 @@ def scan(query: np.ndarray, codes: np.ndarray, centres: np.ndarray, keep: int) -
     if n <= keep:
         return np.arange(n)
     tables = byte_tables(query, centres)
-    score = np.zeros(n, np.uint16)
+    score = np.zeros(n, np.uint16 if int(tables.max(1).sum(dtype=np.int64)) < 1 << 16 else np.uint32)
     for table, code in zip(tables, codes, strict=True):
         score += table[code]
     return np.argpartition(score, n - keep)[n - keep :]
