@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,21 +19,26 @@ PUNCTUATION = {"—": " - ", "–": "-", "…": "...", "•": " - ", "‣": " -
 QUOTES = {"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"'}
 ARROWS = {"↑": "[up]", "↓": "[down]", "⬆": "[up]", "⬇": "[down]", "▲": "[up]", "▼": "[down]", "↗": "[up]", "→": "", "▶": "", "↔": "", "↳": "", "⬅": ""}
 # Emoji and their tokens.
-EMOJI = """
-🟢 green 🔴 red 🟡 yellow 📈 up 📉 down 🔼 up 🔽 down 🔻 down 🟠 orange 🔵 blue 🚀 rocket 🔥 fire 💩 bad 😭 crying 😂 laughing 🤣 laughing
-😐 neutral 🥶 cold 💀 dead ✅ check ❌ x 👀 eyes 🤔 thinking 🙌 celebrate 🙏 hope 👑 king 🏆 trophy 🎯 target 🤯 shocked 😳 surprised
-😑 flat 😕 confused 😮 wow 😲 shocked 😅 nervous 😉 wink 😎 cool 🫡 salute 🤝 handshake 💪 strong ❤ heart 💚 green_heart 🥲 bittersweet
-🥹 emotional 🫣 peeking 🤷 shrug 📊 chart 🏦 bank 💰 money 💸 money_fly 💳 card 💼 business 🪙 coin 💵 dollar 💹 chart_yen 💯 hundred
-♾ infinity 💊 pharma 💉 vaccine 🦠 virus 🧫 biotech 🏥 hospital ⚕ medical 🤖 ai 📱 mobile 💻 computer 🖥 desktop ☁ cloud ⚡ energy
-🛢 oil 🚗 auto 🚖 taxi 🚘 car 🛩 airline ✈ plane 🚢 ship 🛳 cruise 🚚 truck 🏈 football 🎮 gaming 🕹 joystick 🍏 apple 🍎 apple_red
-🐶 doge 🦅 eagle 🌊 wave 🧠 brain 🦾 robot_arm 🦿 robot_leg 🏢 office 🏰 castle 🏭 factory 🏗 construction 👷 worker 🛒 shopping 🛍 bags
-📦 package 📺 tv 🎬 movie 🎥 camera 🎧 headphones 🎤 mic 🎙 podcast 🌐 globe 🌍 earth 🌎 americas 🌏 asia 🍕 pizza 🍟 fries 🍔 burger
-🌮 taco 🌯 burrito 🥤 drink ☕ coffee 🍺 beer 🍿 popcorn 🍪 cookie 🥕 carrot 🌿 herb 🍄 mushroom 🌱 seedling 🌟 star ⭐ star 🔬 research
-🔐 secure 🔒 lock 🔑 key 📶 signal 📡 antenna 🛰 satellite 💡 idea ⚙ gear 🛠 tools ⚖ scales 🧴 lotion 👟 shoe 👔 tie 👜 handbag
-👓 glasses 🎿 ski ⛷ skier 🧘 yoga 🛌 sleep 🔮 crystal 🐐 goat 🦈 shark 🐳 whale 🦚 peacock 🦎 lizard 🏝 island ⛰ mountain 🌪 tornado
-🌀 cyclone ❄ cold 🧨 explosive 💥 explosion 💨 dash 🔊 loud 🔋 battery 🛞 wheel 🫒 olive 🥇 first 🥈 second 🥉 third 🚨 alert 🧵 thread
-✔ check 💎 diamond
-""".split()
+EMOJI = {
+    "🟢": "green", "🔴": "red", "🟡": "yellow", "📈": "up", "📉": "down", "🔼": "up", "🔽": "down", "🔻": "down", "🟠": "orange", "🔵": "blue", "🚀": "rocket",
+    "🔥": "fire", "💩": "bad", "😭": "crying", "😂": "laughing", "🤣": "laughing", "😐": "neutral", "🥶": "cold", "💀": "dead", "✅": "check", "❌": "x",
+    "👀": "eyes", "🤔": "thinking", "🙌": "celebrate", "🙏": "hope", "👑": "king", "🏆": "trophy", "🎯": "target", "🤯": "shocked", "😳": "surprised",
+    "😑": "flat", "😕": "confused", "😮": "wow", "😲": "shocked", "😅": "nervous", "😉": "wink", "😎": "cool", "🫡": "salute", "🤝": "handshake",
+    "💪": "strong", "❤": "heart", "💚": "green_heart", "🥲": "bittersweet", "🥹": "emotional", "🫣": "peeking", "🤷": "shrug", "📊": "chart", "🏦": "bank",
+    "💰": "money", "💸": "money_fly", "💳": "card", "💼": "business", "🪙": "coin", "💵": "dollar", "💹": "chart_yen", "💯": "hundred", "♾": "infinity",
+    "💊": "pharma", "💉": "vaccine", "🦠": "virus", "🧫": "biotech", "🏥": "hospital", "⚕": "medical", "🤖": "ai", "📱": "mobile", "💻": "computer",
+    "🖥": "desktop", "☁": "cloud", "⚡": "energy", "🛢": "oil", "🚗": "auto", "🚖": "taxi", "🚘": "car", "🛩": "airline", "✈": "plane", "🚢": "ship",
+    "🛳": "cruise", "🚚": "truck", "🏈": "football", "🎮": "gaming", "🕹": "joystick", "🍏": "apple", "🍎": "apple_red", "🐶": "doge", "🦅": "eagle",
+    "🌊": "wave", "🧠": "brain", "🦾": "robot_arm", "🦿": "robot_leg", "🏢": "office", "🏰": "castle", "🏭": "factory", "🏗": "construction", "👷": "worker",
+    "🛒": "shopping", "🛍": "bags", "📦": "package", "📺": "tv", "🎬": "movie", "🎥": "camera", "🎧": "headphones", "🎤": "mic", "🎙": "podcast",
+    "🌐": "globe", "🌍": "earth", "🌎": "americas", "🌏": "asia", "🍕": "pizza", "🍟": "fries", "🍔": "burger", "🌮": "taco", "🌯": "burrito", "🥤": "drink",
+    "☕": "coffee", "🍺": "beer", "🍿": "popcorn", "🍪": "cookie", "🥕": "carrot", "🌿": "herb", "🍄": "mushroom", "🌱": "seedling", "🌟": "star",
+    "⭐": "star", "🔬": "research", "🔐": "secure", "🔒": "lock", "🔑": "key", "📶": "signal", "📡": "antenna", "🛰": "satellite", "💡": "idea", "⚙": "gear",
+    "🛠": "tools", "⚖": "scales", "🧴": "lotion", "👟": "shoe", "👔": "tie", "👜": "handbag", "👓": "glasses", "🎿": "ski", "⛷": "skier", "🧘": "yoga",
+    "🛌": "sleep", "🔮": "crystal", "🐐": "goat", "🦈": "shark", "🐳": "whale", "🦚": "peacock", "🦎": "lizard", "🏝": "island", "⛰": "mountain",
+    "🌪": "tornado", "🌀": "cyclone", "❄": "cold", "🧨": "explosive", "💥": "explosion", "💨": "dash", "🔊": "loud", "🔋": "battery", "🛞": "wheel",
+    "🫒": "olive", "🥇": "first", "🥈": "second", "🥉": "third", "🚨": "alert", "🧵": "thread", "✔": "check", "💎": "diamond",
+}
 # Signs that go although the ranges below don't hold them.
 DROPPED = "⬛▪▫◾●"
 # Ranges whose other signs go.
@@ -39,9 +46,8 @@ REST = re.compile("[\U0001f300-\U0001f9ff\u2600-\u27bf\U0001fa00-\U0001faff\U000
 
 # Topics in order of precedence, and the substrings that show them.  Left out
 # are entries that hold another one of the same topic, for they can't decide anything.
-_QUARTERS = [f"q{k}" for k in range(1, 5)] + [f"{k}q" for k in range(1, 5)]
 TOPICS: dict[str, list[str]] = {
-    "Earnings": ["earnings", "quarter", *_QUARTERS, "eps", "fiscal", "fy25", "fy26", "annual report", "beats estimate", "misses estimate", "net income", "gross margin", "operating income", "ebitda", "beats expectations", "misses expectations"],
+    "Earnings": ["earnings", "quarter", "q1", "q2", "q3", "q4", "1q", "2q", "3q", "4q", "eps", "fiscal", "fy25", "fy26", "annual report", "beats estimate", "misses estimate", "net income", "gross margin", "operating income", "ebitda", "beats expectations", "misses expectations"],
     "Mergers & Acquisitions": ["acquisition", "acquire", "buyout", "takeover", "bought", "purchase", "acquiring", "merge", "consolidation", "joint venture", "spinoff", "spin-off", "divestiture", "sale of", "sells stake"],
     "Guidance & Forecasts": ["guidance", "forecast", "outlook", "projection", "expects", "anticipates", "target", "pt ", "pt:", "estimate", "analyst", "upgrade", "downgrade", "rating", "initiates coverage", "raises", "lowers", "reaffirms", "maintains", "sees", "guides", "2025e", "2026e", "2027e", "forward", "next quarter"],
     "Regulatory & Legal": ["litigation", "legal", "court", "judge", "ruling", "regulation", "regulatory", "sec ", "ftc", "doj", "fda", "fcc", "antitrust", "investigation", "probe", "fine", "penalty", "settlement", "compliance", "violation", "sanction", "policy", "law", "ban", "approved by", "approval", "denied", "patent", "copyright"],
@@ -57,18 +63,35 @@ OTHER = "Other"
 MIN_LENGTH = 60
 
 
+#: Runs of characters outside ASCII, the only ones that are folded or replaced.
+_OTHER_RUN = re.compile("[^\x00-\x7f]+")
+_BLANKS, _LINK, _ESCAPE = re.compile(" {2,}"), re.compile(r"https?://[^\s]+"), re.compile(r"\\([()[\]{}.,!?\-'#+_])")
+
+
+def _replacements(quotes: bool) -> dict[int, str]:
+    table = {**dict.fromkeys(REMOVED, ""), **dict.fromkeys(BLANKS, " "), **PUNCTUATION, **(QUOTES if quotes else {}), **ARROWS, **dict.fromkeys(DROPPED, ""), **{e: f" [{t}] " for e, t in EMOJI.items()}}
+    return str.maketrans(table)
+
+
 def normalized(texts: pd.Series, quotes: bool = False) -> pd.Series:
     """Compatibility forms folded, signs and emoji as tokens, single blanks.
 
     Curly quotes stay as they are unless ``quotes``.  Null and empty texts are returned.
+    ASCII texts, and the ASCII parts of others, are only looked at for blanks.
     """
-    table = {**dict.fromkeys(REMOVED, ""), **dict.fromkeys(BLANKS, " "), **PUNCTUATION, **(QUOTES if quotes else {}), **ARROWS, **dict.fromkeys(DROPPED, ""), **{e: f" [{t}] " for e, t in zip(EMOJI[::2], EMOJI[1::2], strict=True)}}
-    table = str.maketrans(table)
+    table = _replacements(quotes)
+
+    def run(found: re.Match) -> str:
+        return REST.sub("", found[0].translate(table))
 
     def one(text):
-        return re.sub(" {2,}", " ", REST.sub("", text.translate(table))).strip() if text else text
+        if not text:
+            return text
+        if not text.isascii():
+            text = _OTHER_RUN.sub(run, unicodedata.normalize("NFKC", text))
+        return (_BLANKS.sub(" ", text) if "  " in text else text).strip()
 
-    return texts.str.normalize("NFKC").map(one, na_action="ignore")
+    return texts.map(one, na_action="ignore")
 
 
 @F.pandas_udf(StringType())
@@ -81,9 +104,12 @@ def clean_message(texts: pd.Series) -> pd.Series:
     """Links and blank lines go, escapes are undone, lines are joined, then as above."""
 
     def one(text):
-        text = re.sub(r"https?://[^\s]+", "", text)
-        lines = "\n".join(x.strip() for x in text.split("\n") if x.strip())
-        return re.sub(r"\\([()[\]{}.,!?\-'#+_])", r"\1", lines.strip()).replace("\n", " ")
+        if "://" in text:
+            text = _LINK.sub("", text)
+        lines = [x for x in map(str.strip, text.split("\n")) if x]
+        if "\\" in text:
+            return _ESCAPE.sub(r"\1", "\n".join(lines)).replace("\n", " ")
+        return " ".join(lines)
 
     return normalized(texts.map(one, na_action="ignore"))
 
@@ -111,11 +137,16 @@ def is_valid(text: Column, least: int = MIN_LENGTH) -> Column:
 
 def categorized(text: Column, topics: Mapping[str, Sequence[str]] = TOPICS) -> Column:
     """The first topic one of whose substrings the lower-cased text holds, else ``OTHER``."""
-    low, out = F.lower(text), None
-    for name, words in topics.items():
-        hit = low.rlike("|".join(re.escape(w) if not w.isalnum() else w for w in words))
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return F.lit(OTHER) if out is None else out.otherwise(OTHER)
+
+    def first_of(low: Column) -> Column:
+        out = F.lit(OTHER)
+        for name, words in reversed(topics.items()):
+            hit = reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words])
+            out = F.when(hit, name).otherwise(out)
+        return out
+
+    # A one-element array's transform names the lower-cased text, so that it is made once.
+    return F.transform(F.array(F.lower(text)), first_of)[0]
 
 
 def tweet_hash(text: Column) -> Column:
