@@ -13,7 +13,7 @@ from tidemark.functions import text as X
 from tidemark.operators import metrics as M
 from tidemark.operators import prep as P
 from tidemark.operators import ranks, state
-from tidemark.sources import raw, sinks
+from tidemark.sources import crawl, raw, sinks
 
 
 def one(spark, column, value):
@@ -78,8 +78,35 @@ def test_crawl_goes_on_when_an_account_fails(spark):
 
     accounts = spark.createDataFrame([("a",), ("bad",)], "account string")
     known = spark.createDataFrame([("a1",)], "id string")
-    got = {(r.account, r.id) for r in raw.fetch_pages(accounts, pages, known).collect()}
-    assert got == {("a", "a0"), ("a", "a2"), ("bad", None)}
+    got = {(r.account, r.id, r.error) for r in crawl.crawled(accounts, pages, known).collect()}
+    assert got == {("a", "a0", None), ("bad", None, "OSError: down")}
+    resumed = crawl.crawled(accounts.where("account = 'a'"), pages, cursors=spark.createDataFrame([("a", "2")], "account string, cursor string"))
+    assert [r.id for r in resumed.collect()] == ["a2"]
+
+
+def test_features_that_see_the_future_are_refused(spark):
+    df = spark.createDataFrame([(1.0, "x", None)], "entry_price double, sector string, rsi_14 double")
+    with pytest.raises(ValueError, match="future"):
+        P.feature_columns(df, ["entry_price"], ["sector"])
+    assert P.feature_columns(df, ["rsi_14"], ["sector"]).first().rsi_14 == 0
+
+
+def test_csv_is_read_with_given_types(spark, tmp_path):
+    df = spark.createDataFrame([("01", "a,\n\"b\"", 0.5), (None, None, None)], "code string, text string, rsi_14 double")
+    sinks.write_dataset(df, str(tmp_path / "d.csv"))
+    back = raw.read_csv(spark, str(tmp_path / "d.csv"), raw.DATASET_SCHEMA)
+    assert dict(back.dtypes) == dict(df.dtypes) and back.where("code = '01'").first().text == "a,\n\"b\""
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    from tidemark.scratch import scratch_root
+
+    conf = SimpleNamespace(get=lambda key, default="": "")
+    context = SimpleNamespace(master="spark://host:7077", applicationId="app", getConf=lambda: conf)
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        scratch_root(SimpleNamespace(conf=conf, sparkContext=context))
 
 
 def test_bar_store_and_feather(spark, tmp_path):

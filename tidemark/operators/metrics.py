@@ -60,6 +60,13 @@ def baselines(df: DataFrame) -> DataFrame:
     return n.agg(F.max("p").alias("naive_accuracy"), F.max_by("label", F.struct("n", -F.col("label"))).alias("majority_class"), (1 / F.count("*")).alias("random_accuracy"), F.sum(F.col("p") * F.col("p")).alias("weighted_random_accuracy"))
 
 
+def improvements(df: DataFrame) -> DataFrame:
+    """``(accuracy, improvement_vs_naive, improvement_vs_random)``, as shares of the baselines."""
+    both = scores(df).select("accuracy").join(baselines(df))  # one row each
+    gain = lambda c: ((F.col("accuracy") - F.col(c)) / F.nullif(F.col(c), F.lit(0.0)))
+    return both.select("accuracy", gain("naive_accuracy").alias("improvement_vs_naive"), gain("random_accuracy").alias("improvement_vs_random"))
+
+
 def sharpe(returns: Column, active: Column) -> list[Column]:
     """Sharpe ratio (population deviation) and annual return of active trades, 0 if flat."""
     r = F.when(active, returns)
@@ -187,3 +194,20 @@ def ensemble(models: DataFrame) -> DataFrame:
 
 def quantiles(df: DataFrame) -> DataFrame:
     return df.agg(*[F.percentile(confidence(), F.lit(q)).alias(f"conf_p{int(q * 100)}") for q in (0.25, 0.5, 0.75)])
+
+
+def ensemble_report(models: DataFrame, truth: DataFrame) -> dict[str, DataFrame]:
+    """Scores of each model and of their mean, over ``(model, id, p_sell, p_hold, p_buy)``
+    and ``(id, label, ret)``; and the trading report and gains of the mean."""
+    best = confidence()
+    each = models.withColumn("pred", F.when(F.col("p_sell") == best, 0).when(F.col("p_hold") == best, 1).otherwise(2)).join(truth, "id")
+    mean = ensemble(models).join(truth, "id")
+    rows = scores(each, "model").unionByName(scores(mean).withColumn("model", F.lit("ensemble")))
+    return {"models": rows, "trading": trading_report(mean), "improvements": improvements(mean)}
+
+
+def signal_correlation(df: DataFrame, signal: str = "score", ret: str = "ret") -> DataFrame:
+    """``(n, correlation, signal)``: Pearson's, and whether it is beyond 0.05 either way."""
+    valid = df.where(F.col(signal).isNotNull() & F.col(ret).isNotNull())
+    out = valid.agg(F.count("*").alias("n"), F.corr(signal, ret).alias("correlation"))
+    return out.withColumn("signal", F.coalesce(F.abs("correlation") > 0.05, F.lit(False)))

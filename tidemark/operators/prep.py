@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +28,40 @@ def reliable_rows(df: DataFrame, target: str = "label_1d_3class", drop_missing:
     return df.where(F.col(target).isNotNull()) if drop_missing else df
 
 
+def labelled_texts(df: DataFrame, target: str = "label_1d_3class") -> DataFrame:
+    """Rows with a label and a text, reliable or not."""
+    return df.where(F.col(target).isNotNull() & (F.char_length("text") > 0))
+
+
+def summary(df: DataFrame, target: str = "label_1d_3class") -> DataFrame:
+    """One row: samples, reliable ones, missing and each label, authors, tickers."""
+    counts = {"n_sell": F.col(target) == "SELL", "n_hold": F.col(target) == "HOLD", "n_buy": F.col(target) == "BUY", "missing_target": F.col(target).isNull()}
+    return df.agg(F.count("*").alias("total_samples"), F.count_if("is_reliable_label").alias("reliable_samples"), *[F.count_if(c).alias(n) for n, c in counts.items()], F.count_distinct("author").alias("unique_authors"), F.count_distinct("ticker").alias("unique_tickers"))
+
+
+def missing_shares(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """``(feature, missing_rate)`` of each column, in one pass."""
+    rates = df.agg(*[F.avg(F.col(c).isNull().cast("int")).alias(c) for c in columns])
+    return rates.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("missing_rate")) for c in columns])).alias("x")).select("x.*")
+
+
+def token_ids(df: DataFrame, encode: Callable[[list[str]], list[list[int]]], text_col: str = "text", width: int = 128, pad: int = 0) -> DataFrame:
+    """``df`` with ``input_ids`` and ``attention_mask``, cut and padded to ``width``.
+
+    ``encode`` maps texts to ids with any tokenizer; a null text is an empty one.
+    """
+    from pyspark.sql.types import ArrayType, IntegerType
+
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def ids(texts: pd.Series) -> pd.Series:
+        return pd.Series([x[:width] for x in encode(texts.fillna("").tolist())])
+
+    n = F.size("__ids")
+    padded = lambda x, fill: F.concat(x, F.array_repeat(F.lit(fill), F.lit(width) - n))
+    out = df.withColumn("__ids", ids(text_col))
+    return out.withColumns({"input_ids": padded(F.col("__ids"), pad), "attention_mask": padded(F.transform("__ids", lambda _: F.lit(1)), 0)}).drop("__ids")
+
+
 def feature_columns(df: DataFrame, numerical: Sequence[str], categorical: Sequence[str]) -> DataFrame:
     """``df`` with missing numbers as 0; forbidden columns among the features are an error."""
     if leaks := sorted({*numerical, *categorical} & {*FORBIDDEN}):

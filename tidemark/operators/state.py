@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -22,6 +22,17 @@ def upsert_state(stored: DataFrame, changes: DataFrame) -> DataFrame:
     return df.select("account", F.coalesce("__last_tweet_id", "last_tweet_id").alias("last_tweet_id"), F.when(F.col("__there"), F.col("__last_cursor")).otherwise(F.col("last_cursor")).alias("last_cursor"), (F.coalesce("total_tweets", F.lit(0)) + F.coalesce("__total_tweets", F.lit(0))).alias("total_tweets"))
 
 
+def upsert_backfill(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """Backfill states ``(account, cursor, target_date, complete)`` after changes.
+
+    A change sets cursor and completeness in any case, the target date only if it has one.
+    """
+    c = changes.select("account", *[F.col(x).alias(f"__{x}") for x in ("cursor", "target_date", "complete")], F.lit(True).alias("__there"))
+    df = stored.join(c, "account", "full_outer")
+    new = lambda x: F.when(F.col("__there"), F.col(f"__{x}")).otherwise(F.col(x)).alias(x)
+    return df.select("account", new("cursor"), F.coalesce("__target_date", "target_date").alias("target_date"), new("complete"))
+
+
 def latest_journal(entries: DataFrame) -> DataFrame:
     """The last entry of each (account, fetch_date) by ``fetched_at``."""
     w = Window.partitionBy("account", "fetch_date").orderBy(F.desc("fetched_at"), F.desc("tweets_count"))
@@ -71,3 +82,31 @@ def selected(processed: DataFrame, since=None, until=None, author=None, ticker=N
         if given is not None:
             processed = processed.where(test)
     return processed
+
+
+def newest_journal(journal: DataFrame, n: int = 20) -> DataFrame:
+    """The ``n`` last journal rows, newest first (a report)."""
+    return journal.orderBy(F.desc("fetch_date"), "account").limit(n)
+
+
+def sampled(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
+    """``n`` random rows, the same for the same seed: those with the least hash of their key."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")).cast("binary")), key).limit(n)
+
+
+def sync_totals(results: DataFrame) -> DataFrame:
+    """Totals over ``(account, n_raw, n_processed, api_calls, error)``: accounts that failed
+    count as such, and with nothing else."""
+    fine = F.col("error").isNull()
+    total = lambda c: F.coalesce(F.sum(F.when(fine, F.col(c))), F.lit(0)).cast("long").alias(c)
+    return results.agg(F.count("*").alias("n_accounts"), F.count_if(~fine).alias("n_failed"), total("n_raw"), total("n_processed"), total("api_calls"))
+
+
+def concentration(rows: DataFrame, by: str, label: Column | None = None, top: int = 10) -> DataFrame:
+    """The ``top`` values of ``by``: rows, rank, cumulative share, and the labels' shares."""
+    labels = {k: F.avg((label == k).cast("double")) for k in ("SELL", "HOLD", "BUY")} if label is not None else {}
+    n = rows.groupBy(by).agg(F.count("*").alias("n"), *[v.alias(f"share_{k.lower()}") for k, v in labels.items()])
+    best = n.orderBy(F.desc("n"), by).limit(top).join(F.broadcast(n.agg(F.sum("n").alias("__all"))))  # a report of a few rows
+    w = Window.orderBy(F.desc("n"), by)
+    share = F.sum(F.col("n") / F.col("__all")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return best.withColumns({"rank": F.row_number().over(w), "cumulative_share": share}).drop("__all")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import market
+from .indicators import with_indicators
 
 
 def violations(df: DataFrame) -> DataFrame:
@@ -33,3 +34,15 @@ def phase_zero(df: DataFrame) -> DataFrame:
     share = lambda name, c: df.agg(F.avg(c.cast("int")).alias("v")).select(F.lit(name).alias("check"), "v", (F.col("v") > 0.5).alias("passed"))
     parts = [top, share("has_label", F.col("label_1d_3class").isNotNull()), share("reliable", F.col("is_reliable_label"))]
     return reduce(DataFrame.unionByName, parts).select("check", F.col("v").alias("value"), "passed")
+
+
+def recomputed(stored: DataFrame, bars: DataFrame, columns: list[str], tolerance: float = 1e-6) -> DataFrame:
+    """``(indicator, n_rows, n_bad)``: stored indicators that differ from those of the bars.
+
+    ``stored`` has ``symbol, bar_date``; null and a number differ, two nulls don't.
+    """
+    anew = with_indicators(bars).select("symbol", "bar_date", *[F.col(c).alias(f"__{c}") for c in columns])
+    both = stored.join(anew, ["symbol", "bar_date"])
+    differs = lambda c: F.coalesce(F.abs(F.col(c) - F.col(f"__{c}")) > tolerance, F.col(c).isNull() != F.col(f"__{c}").isNull())
+    counts = both.agg(F.count("*").alias("n"), *[F.count_if(differs(c)).alias(c) for c in columns])
+    return counts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("indicator"), F.col("n").alias("n_rows"), F.col(c).alias("n_bad")) for c in columns])).alias("x")).select("x.*")

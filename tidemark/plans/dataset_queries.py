@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -259,12 +259,12 @@ def best_thresholds(spark, sf):
 @query(PRED + """, models AS (SELECT id, p_sell, p_hold, p_buy FROM predictions UNION ALL SELECT id, p_hold, p_buy, p_sell FROM predictions UNION ALL SELECT id, 0.2, 0.3, 0.5 FROM predictions),
 e AS (SELECT id, avg(p_sell) AS p_sell, avg(p_hold) AS p_hold, avg(p_buy) AS p_buy, count(*) AS n_models FROM models GROUP BY id),
 r AS (SELECT id, round(p_sell, 9) AS p_sell, round(p_hold, 9) AS p_hold, round(p_buy, 9) AS p_buy, n_models FROM e)
-SELECT id, p_sell, p_hold, p_buy, n_models FROM r""")
+SELECT id, p_sell, p_hold, p_buy, n_models, CASE WHEN p_sell >= greatest(p_hold, p_buy) THEN 0 WHEN p_hold >= p_buy THEN 1 ELSE 2 END AS pred FROM r""")
 def ensemble_average(spark, sf):
     p = S.predictions(spark, sf)
     models = p.select("id", "p_sell", "p_hold", "p_buy").unionByName(p.select("id", F.col("p_hold").alias("p_sell"), F.col("p_buy").alias("p_hold"), F.col("p_sell").alias("p_buy")))
     models = models.unionByName(p.select("id", F.lit(0.2).alias("p_sell"), F.lit(0.3).alias("p_hold"), F.lit(0.5).alias("p_buy")))
-    return M.ensemble(models).drop("pred").withColumns({c: F.round(c, 9) for c in ("p_sell", "p_hold", "p_buy")})
+    return M.ensemble(models).withColumns({c: F.round(c, 9) for c in ("p_sell", "p_hold", "p_buy")})
 
 
 @query(PRED + " SELECT quantile_cont(conf, 0.25) AS conf_p25, quantile_cont(conf, 0.5) AS conf_p50, quantile_cont(conf, 0.75) AS conf_p75 FROM predictions")
@@ -272,15 +272,27 @@ def confidence_quantiles(spark, sf):
     return M.quantiles(S.predictions(spark, sf))
 
 
-@query()
+@query(PRED + f""", {RANKED}, ic AS (SELECT count(*) AS n, coalesce(corr(a, b), 0) AS ic FROM ranked),
+d AS (SELECT count(*) FILTER (CASE WHEN pred = 2 THEN ret > 0 ELSE ret < 0 END) / count(*) AS directional_accuracy, count(*) AS n_directional FROM predictions WHERE ret IS NOT NULL AND pred <> 1 AND ret <> 0),
+v AS (SELECT *, row_number() OVER (ORDER BY conf DESC, id) AS k, count(*) OVER () AS n FROM predictions WHERE ret IS NOT NULL),
+t AS (SELECT CASE pred WHEN 2 THEN ret - 0.001 WHEN 0 THEN -ret - 0.001 ELSE 0 END AS r FROM v WHERE k <= greatest(1, CAST(trunc(0.3 * n) AS BIGINT))),
+top AS (SELECT count(*) AS n_top_trades, avg(r) / stddev_pop(r) * sqrt(252) AS sharpe_top, avg(r) * 252 AS return_top FROM t),
+p AS (SELECT count(*) AS n_high_confidence, CASE WHEN count(*) >= 10 THEN count(*) FILTER (pred = label) / count(*) END AS precision_at_confidence FROM predictions WHERE ret IS NOT NULL AND conf > 0.6)
+SELECT n, round(ic, 6) AS ic, round(directional_accuracy, 6) AS directional_accuracy, n_directional, n_top_trades, round(sharpe_top, 6) AS sharpe_top, round(return_top, 6) AS return_top, n_high_confidence, round(precision_at_confidence, 6) AS precision_at_confidence FROM ic, d, top, p""")
 def trading_report(spark, sf):
-    """All trading metrics with the p-value, which SQL has no function for."""
-    return M.trading_report(S.predictions(spark, sf))
+    """All trading metrics but the p-value, which SQL has no function for (see ``student_p_values``)."""
+    out = M.trading_report(S.predictions(spark, sf)).drop("ic_pvalue")
+    return out.withColumns({c: F.round(c, 6) for c, t in out.dtypes if t == "double"})
 
 
-@query()
+@query(SWEEP + """, own AS (SELECT threshold, rank() OVER (PARTITION BY threshold ORDER BY p_buy - p_sell) + (count(*) OVER (PARTITION BY threshold, p_buy - p_sell) - 1) / 2 AS a,
+  rank() OVER (PARTITION BY threshold ORDER BY ret) + (count(*) OVER (PARTITION BY threshold, ret) - 1) / 2 AS b FROM limits, predictions WHERE conf >= threshold AND ret IS NOT NULL),
+ics AS (SELECT threshold, coalesce(corr(a, b), 0) AS ic FROM own GROUP BY threshold)
+SELECT threshold, n_samples, status, round(coalesce(ic, 0), 6) AS ic FROM sweep LEFT JOIN ics USING (threshold)""")
 def sweep_with_ic(spark, sf):
-    return M.sweep_with_ic(S.predictions(spark, sf))
+    """The coefficient per threshold (its p-value has no SQL form)."""
+    out = M.sweep_with_ic(S.predictions(spark, sf))
+    return out.select("threshold", "n_samples", "status", F.round("ic", 6).alias("ic"))
 
 
 @query(f"""WITH {S.TWEETS} SELECT ticker, min(ts) AS first_ts, max(ts) AS last_ts FROM tweets GROUP BY ticker""")
@@ -301,11 +313,11 @@ def tweet_selection(spark, sf):
 
 
 def _journal(spark, sf):
-    e = S.table(spark, sf, "events").where("user_id % 7 = 0")
+    e = S.table(spark, sf, "events")
     return e.groupBy(F.col("user_id").alias("account"), F.col("ts").cast("date").alias("fetch_date")).agg(F.max("ts").alias("fetched_at"), F.count("*").alias("tweets_count"))
 
 
-JOURNAL = "journal AS (SELECT user_id AS account, CAST(ts AS DATE) AS fetch_date, max(ts) AS fetched_at, count(*) AS tweets_count FROM events WHERE user_id % 7 = 0 GROUP BY 1, 2)"
+JOURNAL = "journal AS (SELECT user_id AS account, CAST(ts AS DATE) AS fetch_date, max(ts) AS fetched_at, count(*) AS tweets_count FROM events GROUP BY 1, 2)"
 
 
 @query(f"""WITH {JOURNAL}, g AS (SELECT account, fetch_date, lag(fetch_date) OVER (PARTITION BY account ORDER BY fetch_date) AS prev_date FROM journal)
@@ -326,8 +338,9 @@ def days_to_fetch(spark, sf):
     return ST.days_to_fetch(j.select("account").distinct(), j, F.lit(date(2024, 1, 1)), F.lit(date(2024, 1, 20)))
 
 
-@query("""WITH e AS (SELECT event_id AS id, event_type AS account, ts FROM events)
-SELECT id, account, ts FROM e WHERE id < 5000 UNION ALL SELECT id, account, ts FROM e WHERE id >= 5000""")
+@query("""WITH e AS (SELECT event_id AS id, event_type AS account, ts FROM events), stored AS (SELECT * FROM e WHERE id < 5000),
+arriving AS (SELECT * FROM e WHERE id >= 4000 UNION ALL SELECT * FROM e WHERE id >= 4500)
+SELECT * FROM stored UNION ALL SELECT DISTINCT * FROM arriving WHERE id NOT IN (SELECT id FROM stored)""")
 def insert_if_absent(spark, sf):
     e = S.table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("event_type").alias("account"), "ts")
     return ST.insert_new(e.where("id < 5000"), e.where("id >= 4000").unionByName(e.where("id >= 4500")), ["id"])
@@ -347,11 +360,7 @@ def upsert_state(spark, sf):
 @query(f"""WITH {S.TWEETS}, n AS (SELECT author, count(*) AS n FROM tweets GROUP BY author), k AS (SELECT author, n, row_number() OVER (ORDER BY n DESC, author) AS rank, n / sum(n) OVER () AS share FROM n)
 SELECT author, n, CAST(rank AS INTEGER) AS rank, round(sum(share) OVER (ORDER BY rank), 6) AS cumulative_share FROM k WHERE rank <= 10""")
 def author_concentration(spark, sf):
-    n = S.tweets(spark, sf).groupBy("author").agg(F.count("*").alias("n"))
-    total = n.agg(F.sum("n").alias("all"))
-    top = n.orderBy(F.desc("n"), "author").limit(10).join(F.broadcast(total))  # a report of ten rows
-    w = Window.orderBy(F.desc("n"), "author")
-    return top.select("author", "n", F.row_number().over(w).alias("rank"), F.round(F.sum(F.col("n") / F.col("all")).over(w.rowsBetween(Window.unboundedPreceding, 0)), 6).alias("cumulative_share"))
+    return ST.concentration(S.tweets(spark, sf), "author").withColumn("cumulative_share", F.round("cumulative_share", 6))
 
 
 @query("""SELECT round(avg(CASE WHEN quality IS NULL THEN 1.0 ELSE 0 END), 6) AS missing_quality, round(avg(CASE WHEN d.text IS NULL OR d.text = '' THEN 1.0 ELSE 0 END), 6) AS empty_text,
@@ -382,10 +391,10 @@ def api_timestamps(spark, sf):
     return e.select("event_id", "api", (Z.api_time(F.col("api")) + (F.col("ts").cast("timestamp") - F.date_trunc("second", F.col("ts").cast("timestamp")))).cast("timestamp_ntz").alias("instant"))
 
 
-@query("""WITH j AS (SELECT user_id AS account, CAST(ts AS DATE) AS fetch_date, ts AS fetched_at, event_id AS tweets_count FROM events WHERE user_id % 7 = 0)
+@query("""WITH j AS (SELECT user_id AS account, CAST(ts AS DATE) AS fetch_date, ts AS fetched_at, event_id AS tweets_count FROM events)
 SELECT account, fetch_date, fetched_at, tweets_count FROM (SELECT *, row_number() OVER (PARTITION BY account, fetch_date ORDER BY fetched_at DESC, tweets_count DESC) AS k FROM j) WHERE k = 1""")
 def journal_latest(spark, sf):
-    e = S.table(spark, sf, "events").where("user_id % 7 = 0")
+    e = S.table(spark, sf, "events")
     return ST.latest_journal(e.select(F.col("user_id").alias("account"), F.col("ts").cast("date").alias("fetch_date"), F.col("ts").alias("fetched_at"), F.col("event_id").alias("tweets_count")))
 
 

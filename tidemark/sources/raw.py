@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.timezones import api_time
+from ..operators.indicators import NUMERICAL
 from ..operators.prep import require_columns
 
 #: A tweet of the API, a page of tweets and bars, as schemas.
@@ -21,6 +20,13 @@ INTRADAY = "symbol string, bar_ts timestamp, open double, high double, low doubl
 DATASET = ["text", "author", "category", "tweet_hash", "is_reliable_label", "label_1d_3class"]
 
 
+#: Types of an enriched dataset's columns other than text.
+DATASET_SCHEMA = ", ".join(
+    [f"{c} double" for c in (*NUMERICAL, "entry_price", "price_next_open", "return_to_next_open", "hours_to_next_open", "market_cap")]
+    + ["is_reliable_label boolean", "timestamp timestamp"]
+)
+
+
 def projected(tweets: DataFrame) -> DataFrame:
     """``(id, ts, author, username, url, symbols, text)`` of parsed API tweets."""
     return tweets.select(
@@ -80,47 +86,38 @@ def read_metadata(spark: SparkSession, path: str) -> DataFrame:
     return raw.select("ticker", F.coalesce("m.sector", F.lit("Other")).alias("sector"), F.coalesce("m.market_cap_bucket", F.lit("unknown")).alias("market_cap_bucket"))
 
 
-def read_dataset(spark: SparkSession, path: str) -> DataFrame:
-    """An enriched dataset, CSV or parquet; missing columns are an error."""
-    if path.rstrip("/").endswith(".csv"):
-        df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("inferSchema", True).csv(path)
-    else:
-        df = spark.read.parquet(path)
-    return require_columns(df, DATASET)
+def read_metadata_rows(spark: SparkSession, path: str) -> DataFrame:
+    """Metadata as ``sinks.write_metadata`` leaves it, a JSON object per line."""
+    return spark.read.schema("ticker string, sector string, market_cap_bucket string").json(path)
+
 
+def bars_of_symbols(bars: DataFrame, symbols: DataFrame) -> DataFrame:
+    """The bars of a table of symbols, which prunes a store's partitions as it runs."""
+    return bars.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
 
-Page = Callable[[str, str | None], tuple[list[dict], str | None]]
 
+def store_stats(bars: DataFrame, time: str = "bar_date") -> DataFrame:
+    """``(symbol, n_bars, first_bar, last_bar)`` of a store."""
+    return bars.groupBy("symbol").agg(F.count("*").alias("n_bars"), F.min(time).alias("first_bar"), F.max(time).alias("last_bar"))
 
-def fetch_pages(accounts: DataFrame, page: Page, known: DataFrame | None = None, most: int | None = None) -> DataFrame:
-    """``(account, id, json_data)`` of all accounts, each crawled in its own task.
 
-    ``page(account, cursor)`` returns tweets and the next cursor (None: no more).  A crawl
-    ends with ``most`` tweets; known ids are left out.  An account that fails yields one
-    row with a null id and the error as its text, and others go on.
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """CSV with a header and texts of many lines, by the header's names and the schema's types.
+
+    One pass: no type is guessed, and columns that the schema doesn't know are text.
     """
-    import json
+    csv = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+    types = dict(x.rsplit(" ", 1) for x in schema.split(", "))
+    return csv.select(*[F.col(c).cast(types.get(c, "string")).alias(c) for c in csv.columns])
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            for account in batch.column(0).to_pylist():
-                rows, cursor, error = [], None, None
-                try:
-                    while True:
-                        tweets, cursor = page(account, cursor)
-                        rows += [(account, t["id"], json.dumps(t)) for t in tweets]
-                        if cursor is None or not tweets or most and len(rows) >= most:
-                            break
-                except Exception as e:  # one account's failure is data, not the job's end
-                    error = (account, None, f"{type(e).__name__}: {e}")
-                rows = rows[:most] + ([error] if error else [])
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names=["account", "id", "json_data"])
-
-    got = accounts.select("account").repartition("account").mapInArrow(run, "account string, id string, json_data string")
-    if known is None:
-        return got
-    return got.join(known.select(F.col("id").alias("__known")), F.col("id") == F.col("__known"), "left_anti")
+
+def read_dataset(spark: SparkSession, path: str) -> DataFrame:
+    """An enriched dataset, CSV or parquet; missing columns are an error."""
+    if path.rstrip("/").endswith(".csv"):
+        df = read_csv(spark, path, DATASET_SCHEMA)
+    else:
+        df = spark.read.parquet(path)
+    return require_columns(df, DATASET)
 
 
 def validated_symbols(symbols: DataFrame, master: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -16,9 +16,13 @@ def write_bars(bars: DataFrame, path: str) -> None:
 
 
 def export_csv(tweets: DataFrame, path: str) -> None:
-    """Processed tweets by time, texts cleaned anew, in one file with a header."""
+    """Processed tweets by time, texts cleaned anew, as CSV files with a header.
+
+    Files are ranges of time in the order of their names, so that no task writes all;
+    a small export is one file.
+    """
     rows = tweets.withColumn("text", clean_for_model("text")).select(F.col("ts").alias("timestamp"), "author", "ticker", "tweet_url", "category", "text")
-    rows.coalesce(1).sortWithinPartitions("timestamp").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    rows.orderBy("timestamp").write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
 
 
 def write_dataset(df: DataFrame, path: str) -> None:
@@ -36,3 +40,16 @@ def save_artifacts(artifacts: dict[str, DataFrame], path: str) -> None:
 
 def load_artifact(spark: SparkSession, path: str, name: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).json(f"{path}/{name}")
+
+
+def write_metadata(metadata: DataFrame, path: str) -> None:
+    metadata.select("ticker", "sector", "market_cap_bucket").write.mode("overwrite").json(path)
+
+
+def write_results(reports: dict[str, DataFrame], path: str) -> None:
+    """Reports of a few rows as one JSON object: an array of rows for each name."""
+    spark = next(iter(reports.values())).sparkSession
+    whole = spark.range(1).select()
+    for name, df in reports.items():
+        whole = whole.join(df.agg(F.collect_list(F.struct(*df.columns)).alias(name)))  # one row each
+    whole.coalesce(1).write.mode("overwrite").json(path)
