@@ -3,18 +3,23 @@
 from __future__ import annotations
 
 import argparse
+import importlib
 import json
 import sys
 from collections.abc import Sequence
+from datetime import date
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import scratch
 from .functions import market, text
-from .operators import bars, state, validate
+from .operators import bars, metrics, state, validate
 from .operators.indicators import NUMERICAL
 from .plans import enrich, model
-from .sources import raw, sinks
+from .sources import crawl, raw, sinks
 
 
 def _between(df: DataFrame, since: str | None, until: str | None, ts: str = "ts") -> DataFrame:
@@ -26,17 +31,53 @@ def _between(df: DataFrame, since: str | None, until: str | None, ts: str = "ts"
     return df
 
 
+def _function(name: str):
+    """``package.module:function`` as the function."""
+    module, _, attribute = name.partition(":")
+    return getattr(importlib.import_module(module), attribute)
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
+    """The table at ``path``, or None before anything was written there."""
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
 def twitter_sync(spark: SparkSession, a) -> None:
+    """Crawl with ``--source`` (a page function, or a search function where ``--since`` is
+    given), land what is new, and store what landed."""
     if a.estimate:
         print(json.dumps(state.estimate(a.accounts, 30 * a.months)))
         return
     from .streaming.ingest import sync
 
+    if a.source:
+        names = spark.createDataFrame([(x,) for x in a.account], "account string") if a.account else spark.read.text(a.accounts_file).toDF("account")
+        known = None if a.full else _stored(spark, f"{a.store}/raw")
+        if a.since:
+            days = names.withColumns({"since": F.lit(a.since).cast("date"), "until": F.lit(a.until).cast("date") if a.until else F.date_add(F.current_date(), 1)})
+            new, journal = crawl.searched(days, _function(a.source), known, pause=a.pause)
+            journal.write.mode("append").parquet(f"{a.store}/searches")
+            errors = journal.where("error is not null").select("account", "error")
+        else:
+            got = crawl.crawled(names, _function(a.source), known, until=date.fromisoformat(a.backfill_to) if a.backfill_to else None, most=a.max_tweets, pause=a.pause)
+            new, errors = got.where("id is not null"), got.where("error is not null").select("account", "error")
+        new.select(F.concat(F.lit('{"tweets":['), "json_data", F.lit("]}")).alias("value")).write.mode("append").text(a.landing)
+        errors.show(truncate=False)
     sync(spark, a.landing, a.store, f"{a.store}/checkpoint", files_per_batch=a.files_per_batch).awaitTermination()
 
 
 def twitter_status(spark: SparkSession, a) -> None:
-    state.table_stats(spark.read.parquet(f"{a.store}/processed")).show(truncate=False)
+    """Stored tweets as a whole and by author, and the last searches."""
+    if (processed := _stored(spark, f"{a.store}/processed")) is not None:
+        state.table_stats(processed).show(truncate=False)
+    spark.read.parquet(f"{a.store}/raw").groupBy("author").agg(F.count("*").alias("n_raw"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).orderBy("author").show(a.rows, truncate=False)
+    if (searches := _stored(spark, f"{a.store}/searches")) is not None:
+        searches.orderBy(F.desc("since"), "account").show(20, truncate=False)
 
 
 def twitter_export(spark: SparkSession, a) -> None:
@@ -47,12 +88,8 @@ def twitter_export(spark: SparkSession, a) -> None:
 def ohlcv_sync(spark: SparkSession, a) -> None:
     fetched = raw.read_feather_bars(spark, a.landing, "bar_ts" if a.intraday else "bar_date")
     time = "bar_ts" if a.intraday else "bar_date"
-    try:
-        stored = raw.read_bars(spark, a.store).select(*fetched.columns)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        stored = fetched.limit(0)
+    stored = _stored(spark, a.store)
+    stored = fetched.limit(0) if stored is None else stored.select(*fetched.columns)
     merged = (bars.prepended if a.backfill else bars.appended)(stored, fetched, time)
     sinks.write_bars(merged, a.output)  # another folder than the one that is read
 
@@ -78,17 +115,44 @@ def train(spark: SparkSession, a) -> None:
     rows, artifacts = model.prepared(raw.read_dataset(spark, a.data), NUMERICAL, model.CATEGORICAL, "timestamp", temporal=a.temporal_split, buy_boost=a.buy_weight_boost)
     rows.write.mode("overwrite").parquet(f"{a.output_dir}/rows")
     rows = model.vectors(spark.read.parquet(f"{a.output_dir}/rows"), NUMERICAL, model.CATEGORICAL)
-    model.trained(rows).write().overwrite().save(f"{a.output_dir}/model")
+    model.trained(rows, a.penalties, a.max_iter, a.tolerance).write().overwrite().save(f"{a.output_dir}/model")
     sinks.save_artifacts(artifacts, f"{a.output_dir}/artifacts")
 
 
-def evaluate(spark: SparkSession, a) -> None:
+def _predictions(spark: SparkSession, folder: str) -> DataFrame:
     from pyspark.ml.classification import LogisticRegressionModel
 
-    rows = model.vectors(spark.read.parquet(f"{a.model}/rows").where("split = 'test'"), NUMERICAL, model.CATEGORICAL)
-    found = model.evaluated(model.predicted(LogisticRegressionModel.load(f"{a.model}/model"), rows, "tweet_hash"))
+    rows = model.vectors(spark.read.parquet(f"{folder}/rows").where("split = 'test'"), NUMERICAL, model.CATEGORICAL)
+    return model.predicted(LogisticRegressionModel.load(f"{folder}/model"), rows, "tweet_hash")
+
+
+def _reported(found: dict[str, DataFrame], output: str | None) -> None:
     for name, df in found.items():
         print(json.dumps({name: [r.asDict() for r in df.collect()]}, default=str))  # reports of a few rows
+    if output:
+        sinks.write_results(found, output)
+
+
+def evaluate(spark: SparkSession, a) -> None:
+    _reported(model.evaluated(_predictions(spark, a.model)), a.output)
+
+
+def evaluate_ensemble(spark: SparkSession, a) -> None:
+    """Models that were trained on one dataset and split, and the mean of their probabilities."""
+    each = [_predictions(spark, folder).withColumn("model", F.lit(folder)) for folder in a.models]
+    models = reduce(DataFrame.unionByName, each)
+    _reported(metrics.ensemble_report(models.select("model", "id", "p_sell", "p_hold", "p_buy"), each[0].select("id", "label", "ret").dropDuplicates(["id"])), a.output)
+
+
+def confidence_report(spark: SparkSession, a) -> None:
+    """The sweep over confidence, quantiles, and the best threshold of each objective."""
+    rows = scratch.saved(_predictions(spark, a.model), "predictions")
+    sweep = scratch.saved(metrics.sweep_with_ic(rows), "sweep")
+    sweep.orderBy("threshold").show(100, truncate=False)
+    metrics.quantiles(rows).show()
+    metrics.best_thresholds(sweep).show(truncate=False)
+    if a.output:
+        sinks.write_results({"sweep": sweep, "best": metrics.best_thresholds(sweep)}, a.output)
 
 
 def filter_volume(spark: SparkSession, a) -> None:
@@ -96,7 +160,12 @@ def filter_volume(spark: SparkSession, a) -> None:
 
 
 def check(spark: SparkSession, a) -> None:
-    found = validate.violations(raw.read_dataset(spark, a.data))
+    rows = raw.read_dataset(spark, a.data)
+    if a.ticker:
+        rows = rows.where(F.col("ticker") == a.ticker)
+    if a.sample:
+        rows = scratch.saved(state.sampled(rows, a.sample, "tweet_hash"), "sample")
+    found = validate.violations(rows)
     found.show(truncate=False)
     if found.where("n_bad > 0").take(1):
         sys.exit(1)
@@ -109,16 +178,18 @@ def categorize(spark: SparkSession, a) -> None:
 
 #: command -> (function, options as (flag, keyword arguments))
 COMMANDS = {
-    "twitter-sync": (twitter_sync, [("--landing", {}), ("--store", {}), ("--estimate", {"action": "store_true"}), ("--accounts", {"type": int, "default": 6}), ("--months", {"type": int, "default": 1}), ("--files-per-batch", {"type": int})]),
-    "twitter-status": (twitter_status, [("--store", {"required": True})]),
+    "twitter-sync": (twitter_sync, [("--landing", {}), ("--store", {}), ("--source", {}), ("--account", {"nargs": "*"}), ("--accounts-file", {}), ("--full", {"action": "store_true"}), ("--max-tweets", {"type": int}), ("--backfill-to", {}), ("--since", {}), ("--until", {}), ("--pause", {"type": float, "default": 0.2}), ("--estimate", {"action": "store_true"}), ("--accounts", {"type": int, "default": 6}), ("--months", {"type": int, "default": 1}), ("--files-per-batch", {"type": int})]),
+    "twitter-status": (twitter_status, [("--store", {"required": True}), ("--rows", {"type": int, "default": 100})]),
     "twitter-export": (twitter_export, [("--store", {"required": True}), ("--output", {"required": True}), ("--since", {}), ("--until", {}), ("--account", {}), ("--ticker", {})]),
     "ohlcv-sync": (ohlcv_sync, [("--landing", {"required": True}), ("--store", {"required": True}), ("--output", {"required": True}), ("--intraday", {"action": "store_true"}), ("--backfill", {"action": "store_true"})]),
     "ohlcv-status": (ohlcv_status, [("--daily-dir", {"required": True}), ("--intraday-dir", {"required": True}), ("--details", {"action": "store_true"})]),
     "prepare": (prepare, [("--tweets", {"required": True}), ("--output", {"required": True}), ("--daily-dir", {"required": True}), ("--intraday-dir", {"required": True}), ("--metadata", {"required": True}), ("--since", {}), ("--until", {}), ("--exclude", {})]),
-    "train": (train, [("--data", {"required": True}), ("--output-dir", {"required": True}), ("--temporal-split", {"action": "store_true"}), ("--buy-weight-boost", {"type": float, "default": 1.0})]),
-    "evaluate": (evaluate, [("--model", {"required": True})]),
+    "train": (train, [("--data", {"required": True}), ("--output-dir", {"required": True}), ("--temporal-split", {"action": "store_true"}), ("--buy-weight-boost", {"type": float, "default": 1.0}), ("--penalties", {"type": float, "nargs": "*", "default": [0.0, 0.01, 0.1]}), ("--max-iter", {"type": int, "default": 30}), ("--tolerance", {"type": float, "default": 1e-6})]),
+    "evaluate": (evaluate, [("--model", {"required": True}), ("--output", {})]),
+    "evaluate-ensemble": (evaluate_ensemble, [("--models", {"nargs": "+", "required": True}), ("--output", {})]),
+    "confidence-report": (confidence_report, [("--model", {"required": True}), ("--output", {})]),
     "filter-volume": (filter_volume, [("--data-dir", {"required": True}), ("--min-volume", {"type": float, "default": 1e6}), ("--output", {"required": True})]),
-    "validate": (check, [("--data", {"required": True})]),
+    "validate": (check, [("--data", {"required": True}), ("--sample", {"type": int}), ("--ticker", {})]),
     "categorize": (categorize, [("--input", {"required": True})]),
 }
 

@@ -43,12 +43,15 @@ def vectors(rows: DataFrame, numerical: list[str], categorical: list[str], text_
     return VectorAssembler(inputCols=[*numerical, "__hashed"], outputCol="features").transform(rows).drop("__terms", "__hashed")
 
 
-def trained(rows: DataFrame, grid=(0.0, 0.01, 0.1)) -> LogisticRegressionModel:
-    """The weighted model whose macro F1 on the validation rows is best."""
+def trained(rows: DataFrame, grid=(0.0, 0.01, 0.1), most: int = 30, tolerance: float = 1e-6) -> LogisticRegressionModel:
+    """The weighted model whose macro F1 on the validation rows is best.
+
+    A fit ends after ``most`` passes, or when the loss falls by less than ``tolerance``.
+    """
     train, val = rows.where("split = 'train'"), rows.where("split = 'val'")
     best = None
     for reg in grid:
-        model = LogisticRegression(weightCol="weight", regParam=reg, maxIter=30, family="multinomial").fit(train)
+        model = LogisticRegression(weightCol="weight", regParam=reg, maxIter=most, tol=tolerance, family="multinomial").fit(train)
         score = M.scores(predicted(model, val, "tweet_hash")).first()["f1_macro"] or 0.0
         if best is None or score > best[0]:
             best = (score, model)
@@ -78,4 +81,4 @@ def scored_by(rows: DataFrame, score: Callable[[pd.DataFrame], pd.DataFrame], ke
 
 def evaluated(predictions: DataFrame) -> dict[str, DataFrame]:
     """All reports over one set of predictions."""
-    return {"scores": M.scores(predictions), "classes": M.class_report(predictions), "confusion": M.confusion(predictions), "baselines": M.baselines(predictions), "trading": M.trading_report(predictions), "sweep": M.confidence_sweep(predictions)}
+    return {"scores": M.scores(predictions), "classes": M.class_report(predictions), "confusion": M.confusion(predictions), "baselines": M.baselines(predictions), "improvements": M.improvements(predictions), "trading": M.trading_report(predictions), "sweep": M.confidence_sweep(predictions)}

@@ -119,6 +119,10 @@ def searching(fails: bool = False):
     return search
 
 
+#: The service's search, for the command line.
+search = searching()
+
+
 @query(f"WITH {SERVICE}, {KNOWN} SELECT account, id, ts FROM posts WHERE ts >= TIMESTAMP '2024-02-29' AND ts < TIMESTAMP '2024-03-01' AND id NOT IN (SELECT id FROM known)")
 def search_range(spark, sf):
     ranges = accounts(spark, sf).select("account", F.lit(date(2024, 2, 29)).alias("since"), F.lit(date(2024, 3, 1)).alias("until"))

@@ -6,6 +6,7 @@ batches are written by their number, so a repetition replaces what it wrote befo
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -36,10 +37,14 @@ def sync(spark: SparkSession, landing: str, store: str, checkpoint: str, least:
         session = batch.sparkSession
         rows = batch.dropDuplicates(["id"])
         try:
-            rows = rows.join(session.read.parquet(f"{store}/raw").where(F.col("batch") != number).select("id"), "id", "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
+            stored = session.read.parquet(f"{store}/raw").where(F.col("batch") != number).select("id")
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
                 raise
+        else:
+            # Ids grow with time, so the files' statistics leave out those of other times.
+            ends = rows.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
+            rows = rows.join(stored.where(F.col("id").between(ends["lo"], ends["hi"])), "id", "left_anti")
         rows = rows.withColumn("batch", F.lit(number)).persist()
         for name, df in (("raw", rows), ("processed", processed(rows, least).withColumn("batch", F.lit(number)))):
             df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{store}/{name}")
