@@ -105,7 +105,7 @@ def prepare(spark: SparkSession, a) -> None:
     tweets = spark.read.option("header", True).csv(a.tweets) if a.tweets.endswith(".csv") else spark.read.parquet(a.tweets)
     tweets = _between(tweets.withColumn("ts", F.col("ts").cast("timestamp_ntz")), a.since, a.until)
     if a.exclude:
-        tweets = tweets.join(F.broadcast(spark.read.text(a.exclude).toDF("ticker")), "ticker", "left_anti")
+        tweets = tweets.join(spark.read.text(a.exclude).toDF("ticker"), "ticker", "left_anti")
     daily, intraday = raw.read_bars(spark, a.daily_dir), raw.read_bars(spark, a.intraday_dir)
     out = enrich.enriched(tweets, daily, intraday, daily.where("symbol = 'SPY'"), spark.read.json(a.metadata), market.calendar(spark))
     sinks.write_dataset(out, a.output)

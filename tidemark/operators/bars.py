@@ -64,6 +64,6 @@ def fetch_ranges(tweets: DataFrame, today: Column, excluded: DataFrame | None =
     """``(ticker, first_day, last_day)`` to fetch: a month before a ticker's first tweet to
     the day after its last, today at most."""
     if excluded is not None:
-        tweets = tweets.join(F.broadcast(excluded), "ticker", "left_anti")
+        tweets = tweets.join(excluded, "ticker", "left_anti")
     span = tweets.groupBy("ticker").agg(F.min("ts").alias("a"), F.max("ts").alias("b"))
     return span.select("ticker", F.add_months(F.col("a").cast("date"), -1).alias("first_day"), F.least(F.date_add(F.col("b").cast("date"), 1), today).alias("last_day"))

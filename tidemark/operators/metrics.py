@@ -162,13 +162,21 @@ def confidence_sweep(df: DataFrame, thresholds=THRESHOLDS, cost: float = COST, l
 
 
 def sweep_with_ic(df: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
-    """The sweep with ``ic, ic_pvalue, ic_significant`` per threshold (a rank pass each)."""
-    spark, rows = df.sparkSession, []
-    for t in thresholds:
-        found = information_coefficient(df.where(confidence() >= t)).first()
-        p = student_p(found["ic"], found["n"])
-        rows.append((float(t), float(found["ic"]), p, p < 0.05))
-    ics = spark.createDataFrame(rows, "threshold double, ic double, ic_pvalue double, ic_significant boolean")
+    """The sweep with ``ic, ic_pvalue, ic_significant`` per threshold.
+
+    Ranks differ from threshold to threshold, so a prediction's two numbers are copied for
+    each that it passes, and all thresholds are ranked together.
+    """
+    spark = df.sparkSession
+    passed = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: t <= confidence())
+    rows = df.where(has_return()).select(F.explode(passed).alias("threshold"), bullish().alias("b"), "ret")
+    ranked = average_rank(average_rank(rows, "b", "rb", ["threshold"]), "ret", "rr", ["threshold"])
+    found = {r["threshold"]: r for r in ranked.groupBy("threshold").agg(F.count("*").alias("n"), F.coalesce(F.corr("rb", "rr"), F.lit(0.0)).alias("ic")).collect()}  # a row per threshold
+    ics = []
+    for t in map(float, thresholds):
+        n, ic = (found[t]["n"], found[t]["ic"]) if t in found else (0, 0.0)
+        ics.append((t, float(ic), student_p(ic, n), student_p(ic, n) < 0.05))
+    ics = spark.createDataFrame(ics, "threshold double, ic double, ic_pvalue double, ic_significant boolean")
     return confidence_sweep(df, thresholds).join(F.broadcast(ics), "threshold")
 
 

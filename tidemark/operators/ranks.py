@@ -2,42 +2,54 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges that values are dealt to; only that many rows meet in one task.
-RANGES = 64
-
-
-def positions(df: DataFrame, order: list[str], name: str = "position", descending: bool = False, ranges: int = RANGES) -> DataFrame:
-    """``df`` with 0-based positions in the order of the ``order`` columns (the first a
-    number or time; ties by the rest, which should be unique)."""
-    first = F.col(order[0]).cast("timestamp") if df.schema[order[0]].dataType.typeName() in ("timestamp", "timestamp_ntz", "date") else F.col(order[0])
-    value = F.unix_micros(first).cast("double") if df.schema[order[0]].dataType.typeName() in ("timestamp", "timestamp_ntz", "date") else first.cast("double")
-    cuts = df.select(value.alias("v")).approxQuantile("v", [k / ranges for k in range(1, ranges)], 0.002)
-    cuts = F.array(*[F.lit(x) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    bucket = F.size(F.filter(cuts, lambda c: c < F.col("__v")))
-    keyed = df.withColumn("__v", value).withColumn("__b", bucket)
-    sign = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    sizes = keyed.groupBy("__b").agg(F.count("*").alias("__n"))
-    line = Window.orderBy(F.col("__b").desc() if descending else F.col("__b").asc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bases = sizes.select("__b", (F.sum("__n").over(line) - F.col("__n")).alias("__base"))  # RANGES rows at most
-    inside = F.row_number().over(Window.partitionBy("__b").orderBy(sign(order[0]), *[F.col(c).asc() for c in order[1:]])) - 1
-    return keyed.withColumn("__i", inside).join(F.broadcast(bases), "__b").withColumn(name, (F.col("__i") + F.col("__base")).cast("long")).drop("__v", "__b", "__i", "__base")
-
-
-def average_rank(df: DataFrame, column: str, name: str, ranges: int = RANGES) -> DataFrame:
-    """``df`` with 1-based ranks, ties sharing their mean; nulls have none."""
-    counts = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("__c"))
-    cuts = counts.approxQuantile(column, [k / ranges for k in range(1, ranges)], 0.002)
-    cuts = F.array(*[F.lit(float(x)) for x in sorted(set(cuts))]) if cuts else F.array().cast("array<double>")
-    counts = counts.withColumn("__b", F.size(F.filter(cuts, lambda c: c < F.col(column))))
-    sizes = counts.groupBy("__b").agg(F.sum("__c").alias("__n"))
-    line = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    bases = sizes.select("__b", (F.sum("__n").over(line) - F.col("__n")).alias("__base"))
-    run = F.sum("__c").over(Window.partitionBy("__b").orderBy(column).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = counts.withColumn("__run", run).join(F.broadcast(bases), "__b").select(column, (F.col("__base") + F.col("__run") - (F.col("__c") - 1) / 2).alias(name))
-    return df.join(ranked, column, "left")
+from ..scratch import saved
+
+#: Rows of a range, on average; ranges are as many as that takes.
+RANGE_ROWS = 1_000_000
+
+
+def _ranges(df: DataFrame, rows: int) -> int:
+    return max(1, min(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // 10_000)), -(-rows // RANGE_ROWS))
+
+
+def _bases(sizes: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``(by, range, base)``: rows in the ranges before, of ``(by, range, n)``; a row per range."""
+    line = Window.partitionBy(*by).orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.broadcast(sizes.select(*by, "range", (F.sum("n").over(line) - F.col("n")).alias("base")))
+
+
+def positions(df: DataFrame, order: list[str], name: str = "position", descending: bool = False, ranges: int | None = None) -> DataFrame:
+    """``df`` with 0-based positions in the order of the ``order`` columns (``descending``
+    turns the first round; ties go by the rest, which should be unique).
+
+    Rows are dealt to ranges of the whole order, ties of the first column included, and
+    numbered where they lie; what comes before a range is added.
+    """
+    keys = [F.col(order[0]).desc() if descending else F.col(order[0]).asc(), *[F.col(c).asc() for c in order[1:]]]
+    ranged = df.repartitionByRange(ranges or _ranges(df, df.count()), *keys).sortWithinPartitions(*keys)
+    # The id's upper bits are the partition, the lower 33 the row in it; written once, so that
+    # a task that is repeated later can't draw other ranges.
+    placed = saved(ranged.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("id")), "ranged")
+    placed = placed.withColumn("range", F.shiftright("id", 33))
+    bases = _bases(placed.groupBy("range").agg(F.count("*").alias("n")))
+    place = F.col("base") + F.col("id").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(bases, "range").select("row.*", place.alias(name))
+
+
+def average_rank(df: DataFrame, column: str, name: str, by: Sequence[str] = (), ranges: int | None = None) -> DataFrame:
+    """``df`` with 1-based ranks (within ``by``), ties sharing their mean; nulls have none."""
+    counts = saved(df.where(F.col(column).isNotNull()).groupBy(*by, F.col(column).alias("value")).agg(F.count("*").alias("c")), "values")
+    dealt = counts.repartitionByRange(ranges or _ranges(df, counts.count()), *by, "value").withColumn("range", F.spark_partition_id())
+    dealt = saved(dealt, "ranged")
+    run = F.sum("c").over(Window.partitionBy(*by, "range").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = dealt.withColumn("run", run).join(_bases(dealt.groupBy(*by, "range").agg(F.sum("c").alias("n")), by), [*by, "range"])
+    ranked = ranked.select(*by, F.col("value").alias(column), (F.col("base") + F.col("run") - (F.col("c") - 1) / 2).alias(name))
+    return df.join(ranked, [*by, column], "left")
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:

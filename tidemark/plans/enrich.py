@@ -64,7 +64,7 @@ def enriched(tweets: DataFrame, daily: DataFrame, intraday: DataFrame, index: Da
     dates = df.select("__day").distinct().withColumn("__index", F.lit("SPY"))
     weather = asof_join(dates, weather.withColumn("symbol", F.lit("SPY")), "__index", "symbol", "__day", "day").select("__day", "market_regime")
     df = df.join(weather, "__day", "left")
-    df = df.join(F.broadcast(market.stock_metadata(metadata)), "ticker", "left").withColumns({"sector": F.coalesce("sector", F.lit("Other")), "market_cap_bucket": F.coalesce("market_cap_bucket", F.lit("unknown"))})
+    df = df.join(market.stock_metadata(metadata), "ticker", "left").withColumns({"sector": F.coalesce("sector", F.lit("Other")), "market_cap_bucket": F.coalesce("market_cap_bucket", F.lit("unknown"))})
     known = F.col("__bar_day").isNotNull()
     df = df.withColumns({
         "entry_price": F.when(known, F.col("entry_price")),
