@@ -49,14 +49,14 @@ def asof_forward_strict(spark: SparkSession, sf: str) -> DataFrame:
 SELECT t.id, t.ticker, d.bar_date, d.close FROM tweets t ASOF LEFT JOIN daily d ON t.ticker = d.symbol AND CAST(t.ts AS DATE) >= d.bar_date""")
 def asof_backward_inclusive(spark: SparkSession, sf: str) -> DataFrame:
     t = S.tweets(spark, sf).withColumn("day", F.col("ts").cast("date"))
-    return asof_join(t, S.daily_bars(spark, sf), "ticker", "symbol", "day", "bar_date", strict=False).select("id", "ticker", "bar_date", "close")
+    return asof_join(t, S.daily_bars(spark, sf), "ticker", "symbol", "day", "bar_date", strict=False, segment="year").select("id", "ticker", "bar_date", "close")
 
 
 @query(f"""WITH {S.TWEETS}, {S.DAILY}
 SELECT t.id, t.ticker, d.bar_date, d.open FROM tweets t ASOF LEFT JOIN daily d ON t.ticker = d.symbol AND CAST(t.ts AS DATE) <= d.bar_date""")
 def asof_forward_inclusive(spark: SparkSession, sf: str) -> DataFrame:
     t = S.tweets(spark, sf).withColumn("day", F.col("ts").cast("date"))
-    return asof_join(t, S.daily_bars(spark, sf), "ticker", "symbol", "day", "bar_date", forward=True, strict=False).select("id", "ticker", "bar_date", "open")
+    return asof_join(t, S.daily_bars(spark, sf), "ticker", "symbol", "day", "bar_date", forward=True, strict=False, segment="year").select("id", "ticker", "bar_date", "open")
 
 
 @query(f"""WITH {S.TWEETS}, {S.DAILY}
