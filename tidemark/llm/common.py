@@ -1,48 +1,72 @@
-"""Shared helpers: scratch tables, vectorised word hashing, identifiers."""
+"""Shared helpers: workers' memory, vectorised word hashing, names."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import SparkSession
+
+from ..scratch import clear_scratch, saved, scratch_path, scratch_root  # noqa: F401  operators take them from here
 
 U64 = np.uint64
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """Folder for intermediate tables: below ``spark.checkpoint.dir``, which all nodes share.
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    Only where that setting is absent (tests, a single machine) a temporary folder is made.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/tidemark-{spark.sparkContext.applicationId}"
 
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, or ``name`` and underscores, that no column of ``taken`` has in any case."""
+    held = {c.lower() for c in taken}
+    while name.lower() in held:
+        name += "_"
+    return name
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
+# ---------------------------------------------------------------- Python workers
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage of ``df``: write it once to the shared folder and read it back."""
-    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
-    df.write.mode("overwrite").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+_of_stage: dict = {}
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Remove this application's intermediate tables (call when results are written)."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def _new_stage() -> None:
+    stage = context.stageId() if (context := TaskContext.get()) else None
+    if _of_stage.get("stage") != stage:
+        _of_stage.clear()
+        _of_stage["stage"] = stage
 
 
-def partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def kept_in_stage(key: str, make: Callable):
+    """``make()``, once for each worker process; the next stage's first task there drops it."""
+    _new_stage()
+    if key not in _of_stage:
+        _of_stage[key] = make()
+    return _of_stage[key]
+
+
+def give_back() -> None:
+    """Return memory that was freed to the system, as worker processes outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A function over batches that leaves nothing of itself, or of an earlier stage, behind."""
+
+    @functools.wraps(run)
+    def task(batches):
+        _new_stage()
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return task
 
 
 # ---------------------------------------------------------------- word hashing
@@ -127,7 +151,7 @@ def placed_words(raw: np.ndarray, bounds: np.ndarray, separators: np.ndarray = B
     return finish(np.add.reduceat(values, starts - starts[0])), np.searchsorted(starts, bounds), starts, lengths
 
 
-def slices(bounds: np.ndarray, limit: int = 1 << 20):
+def slices(bounds: np.ndarray, limit: int = 1 << 19):
     """Consecutive row ranges of about ``limit`` bytes each (a longer row stands alone)."""
     i, n = 0, len(bounds) - 1
     while i < n:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import saved, tidy
 
 #: Links that one task's union-find holds (two numbers each and as many dict entries).
 TASK_LINKS = 1_000_000
@@ -41,7 +41,7 @@ def _forest(batches):
 
 def contracted(links: DataFrame) -> DataFrame:
     """The same components with at most one link per node and partition."""
-    return links.select("a", "b").mapInArrow(_forest, "a long, b long")
+    return links.select("a", "b").mapInArrow(tidy(_forest), "a long, b long")
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
