@@ -15,11 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LANES, U64, finish, slices, text_buffers, word_hashes
+from .common import LANES, U64, finish, slices, text_buffers, tidy, word_hashes
 
 BITS = 20
 #: Labelled rows that the model is fitted on, at most (those with the least hash of their id).
 SAMPLE = 20_000
+#: Features of those rows that the model is fitted on, at most (4 bytes each): the sample ends
+#: with the row that passes it.
+SAMPLE_FEATURES = 40_000_000
 EPOCHS = 4
 THRESHOLD = 0.3
 
@@ -76,11 +79,15 @@ def held_out(id_col: str) -> Column:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
-    """Slots and weights other than zero; empty where there are no labelled rows."""
+    """Slots and weights other than zero; empty where there are no labelled rows.
+
+    Of labels that repeat an id the largest holds; null ids and labels are left out.
+    """
     known = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    known = known.groupBy(F.col(id_col).alias("__id")).agg(F.max(label_col).alias("__y"))
-    known = known.orderBy(F.xxhash64("__id"), "__id").limit(sample)
-    rows = docs.join(F.broadcast(known), docs[id_col] == F.col("__id")).select("__id", F.col("__y").cast("double").alias("__y"), F.col(text_col).alias("__text"))
+    known = known.groupBy(F.col(id_col).alias("label_id")).agg(F.max(label_col).cast("double").alias("y"))
+    known = known.orderBy(F.xxhash64("label_id"), "label_id").limit(sample)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(known), F.col("id") == F.col("label_id")).select("id", "y", "text")
 
     def extract(batches):
         for batch in batches:
@@ -92,7 +99,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column(0)[first : first + count], batch.column(1)[first : first + count], pa.array(lists, pa.binary())], names=["id", "y", "slots"])
 
     def train(batches):
-        examples = [(np.append(np.frombuffer(s, np.int32), 1 << bits), y) for b in batches for s, y in zip(b.column(2).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        examples, held = [], 0
+        for batch in batches:
+            for slots, y in zip(batch.column(2), batch.column(1).to_pylist(), strict=True):
+                if held <= SAMPLE_FEATURES:
+                    examples.append((np.append(np.frombuffer(slots.as_buffer(), np.int32), 1 << bits), y))
+                    held += len(examples[-1][0])
         model = Ftrl((1 << bits) + 1)
         for epoch in range(epochs if examples else 0):
             for k in np.random.Generator(np.random.PCG64(epoch)).permutation(len(examples)):
@@ -101,61 +113,75 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         slot = np.flatnonzero(w)
         yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(w[slot])], names=["slot", "weight"])
 
-    kind = dict(known.dtypes)["__id"]
-    found = rows.mapInArrow(extract, f"id {kind}, y double, slots binary")
-    # One task, over the bounded sample only, in an order that does not hang on partitions.
-    learnt = found.repartition(1).sortWithinPartitions(F.xxhash64("id"), "id", "slots").mapInArrow(train, "slot long, weight double").toPandas()
+    kind = dict(texts.dtypes)["id"]
+    found = rows.mapInArrow(tidy(extract), f"id {kind}, y double, slots binary")
+    # One task, over ``sample`` rows at most (repeated ids too), in an order that does not
+    # hang on partitions.
+    learnt = found.orderBy(F.xxhash64("id"), "id", "slots").limit(sample).mapInArrow(tidy(train), "slot long, weight double").toPandas()
     return learnt["slot"].to_numpy(np.int64), learnt["weight"].to_numpy(np.float64)
 
 
+def _sums(model: tuple[np.ndarray, np.ndarray], bits: int):
+    """From a column of texts to the sum of weights of each row's distinct features."""
+    slots, weights = model
+    table, own = np.zeros(1 << bits), slots < 1 << bits
+    table[slots[own]] = weights[own]
+    bias = float(weights[~own].sum())
+
+    def sums(column: pa.Array) -> np.ndarray:
+        total = np.full(len(column), bias)
+        for first, count, row, slot in features(column, bits):
+            some = table[slot] != 0
+            key = np.unique(row[some] << np.int64(bits) | slot[some])
+            total[first : first + count] += np.bincount(key >> bits, table[key & ((1 << bits) - 1)], count)
+        return total
+
+    return sums
+
+
 def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray], id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
     """``(doc_id, held_out, score, predicted)``, one row per row of ``docs``.
 
     A null or empty text has no features: its score is that of the bias.  Without labelled
     rows nothing is known and every score is 0.  A null id counts as not held out.
     """
-    slots, weights = model
 
     def run(batches):
-        table = np.zeros(1 << bits)
-        own = slots < 1 << bits
-        table[slots[own]] = weights[own]
-        bias = float(weights[~own].sum())
+        sums = _sums(model, bits)
         for batch in batches:
-            total = np.full(batch.num_rows, bias)
-            for first, count, row, slot in features(batch.column(2), bits):
-                some = table[slot] != 0
-                key = np.unique(row[some] << np.int64(bits) | slot[some])
-                total[first : first + count] += np.bincount(key >> bits, table[key & ((1 << bits) - 1)], count)
-            score = 1 / (1 + np.exp(-np.clip(total, -35, 35))) if len(slots) else np.zeros(len(total))
+            total = sums(batch.column(2))
+            score = 1 / (1 + np.exp(-np.clip(total, -35, 35))) if len(model[0]) else np.zeros(len(total))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     kind = dict(docs.dtypes)[id_col]
-    return docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), text_col).mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return docs.select(F.col(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), text_col).mapInArrow(tidy(run), f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, held_out, score, predicted)`` by a model fitted on ``labels``.
+
+    One row per row of ``docs``: equal texts have equal scores, null and empty ones that of
+    the bias, long ones count as a whole.  A null id isn't held out and never learnt from.
+    Columns other than the two named, and those of ``labels`` other than the id and
+    ``toxic``, are ignored.  No rows give none; without labels every score is 0.
+    """
     return scored(docs, fit(docs, labels, id_col, text_col), id_col, text_col)
 
 
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` below the threshold, with all their columns and in place."""
-    slots, weights = fit(docs, labels, id_col, text_col)
-    names = docs.columns
-    place = names.index(text_col)
+    """The rows of ``docs`` whose score is below the threshold, with all their columns.
+
+    Rows are judged one by one by their whole texts, so equal texts stay or go together, and
+    null ids, repeated rows and ties need no rule; null and empty texts are judged by the
+    bias.  Without labels all rows stay; no rows give none.
+    """
+    model = fit(docs, labels, id_col, text_col)
+    place = docs.columns.index(text_col)
+    limit = float(np.log(threshold / (1 - threshold))) if len(model[0]) else np.inf
 
     def run(batches):
-        table = np.zeros(1 << bits)
-        own = slots < 1 << bits
-        table[slots[own]] = weights[own]
-        bias = float(weights[~own].sum())
-        limit = np.log(threshold / (1 - threshold))
+        sums = _sums(model, bits)
         for batch in batches:
-            total = np.full(batch.num_rows, bias if len(slots) else -np.inf)
-            for first, count, row, slot in features(batch.column(place), bits):
-                some = table[slot] != 0
-                key = np.unique(row[some] << np.int64(bits) | slot[some])
-                total[first : first + count] += np.bincount(key >> bits, table[key & ((1 << bits) - 1)], count)
-            yield batch.filter(pa.array(total < limit))
-
-    return docs.mapInArrow(run, docs.schema)
+            yield batch.filter(pa.array(sums(batch.column(place)) < limit))
+
+    return docs.mapInArrow(tidy(run), docs.schema)
