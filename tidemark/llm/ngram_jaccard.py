@@ -31,15 +31,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, partitions, saved, signed
+from .common import U64, fresh, partitions, saved, signed, tidy
 from .components import components
 from .shingles import shingle_sets, signature
 
-#: Shingles that a bucket of the counting step gets on average.
-BUCKET_TOKENS = 2_000_000
+#: Shingles that a bucket of the counting step gets on average, and that it counts at a time:
+#: few large buckets keep the blocks' parts long however many blocks there are.
+BUCKET_TOKENS, COUNT_TOKENS = 8_000_000, 1_000_000
 #: Shingles that a task packs at a time.
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
+#: Shared shingles that an owner of sets gets on average.
+OWNER_TOKENS = 2_000_000
 LOCAL_BITS = 20
+#: Names of sets that a task remembers so as to send a repeated one once.
+SEEN_SETS = 200_000
+#: Distinct texts up to which their components (some 20 bytes each) are broadcast; beyond, they are joined.
+BROADCAST_SETS = 250_000
 
 
 def needed(n, percent: int):
@@ -62,7 +69,7 @@ def signatures(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataF
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signed(sigs), mask=sizes == 0), pa.array(sizes)], names=["doc_id", "sig", "n"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"doc_id {kind}, sig long, n long")
+    return docs.select(id_col, text_col).mapInArrow(tidy(run), f"doc_id {kind}, sig long, n long")
 
 
 def _planes(a: np.ndarray) -> bytes:
@@ -85,22 +92,24 @@ def _token_blocks(docs: DataFrame, text_col: str, width: int, bits: int) -> Data
         sizes = np.array([len(s) for s in sets], np.int64)
         names = np.array(sigs, np.uint64)
         order = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
-        packed = packed[order]
-        rows = []
-        for k in range(1 << bits):
-            part = np.sort(packed[bounds[k] : bounds[k + 1]])
-            if len(part):
-                used = np.unique(part & U64((1 << LOCAL_BITS) - 1)).astype(np.int64)
-                fresh = np.zeros(len(names), np.uint64)
-                fresh[used] = np.arange(len(used), dtype=np.uint64)
-                part = part & ~U64((1 << LOCAL_BITS) - 1) | fresh[(part & U64((1 << LOCAL_BITS) - 1)).astype(np.int64)]
-                rows.append((k, _planes(part), names[used].tobytes(), sizes[used].astype(np.int32).tobytes()))
-            if len(rows) >= 16 or rows and k + 1 == 1 << bits:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "packed", "sigs", "sizes"])
+        packed, bucket = packed[order], bucket[order]
+        head = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        rows, low = [], U64((1 << LOCAL_BITS) - 1)
+        fresh_number = np.zeros(len(names), np.uint64)
+        for a, b in zip(head.tolist(), [*head[1:].tolist(), len(bucket)], strict=True):
+            part = np.sort(packed[a:b])
+            used = np.unique(part & low).astype(np.int64)
+            fresh_number[used] = np.arange(len(used), dtype=np.uint64)
+            part = part & ~low | fresh_number[(part & low).astype(np.int64)]
+            rows.append((int(bucket[a]), _planes(part), names[used].tobytes(), sizes[used].astype(np.int32).tobytes()))
+            if len(rows) >= 16:
+                yield table(rows)
                 rows = []
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "packed", "sigs", "sizes"])
+            yield table(rows)
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "packed", "sigs", "sizes"])
 
     def run(batches):
         seen: set[int] = set()
@@ -108,6 +117,8 @@ def _token_blocks(docs: DataFrame, text_col: str, width: int, bits: int) -> Data
         for batch in batches:
             for s in shingle_sets(batch.column(0), width):
                 if len(s) and (name := signature(s)) not in seen:
+                    if len(seen) >= SEEN_SETS:
+                        seen.clear()
                     seen.add(name)
                     sets.append(s)
                     sigs.append(name)
@@ -118,7 +129,7 @@ def _token_blocks(docs: DataFrame, text_col: str, width: int, bits: int) -> Data
         if sets:
             yield from flush(sets, sigs)
 
-    return docs.select(text_col).mapInArrow(run, "bucket long, packed binary, sigs binary, sizes binary")
+    return docs.select(text_col).mapInArrow(tidy(run), "bucket long, packed binary, sigs binary, sizes binary")
 
 
 def _by_key(batches, key: str):
@@ -138,45 +149,52 @@ def _by_key(batches, key: str):
 def _shared_tokens(blocks: DataFrame, owners: int) -> DataFrame:
     """From token buckets back to set owners: shingles that two or more sets have."""
 
-    def count(bucket, rows):
+    def counted(bucket, rows):
+        """``(names, sizes, member, order)`` of the bucket, range by range of its shingles."""
         low = U64((1 << LOCAL_BITS) - 1)
         parts = [_unplanes(r["packed"]) for r in rows]
         sigs = [np.frombuffer(r["sigs"], np.uint64) for r in rows]
         names, where, inverse = np.unique(np.concatenate(sigs), return_index=True, return_inverse=True)
         sizes = np.concatenate([np.frombuffer(r["sizes"], np.int32) for r in rows])[where]
+        inverse = inverse.astype(np.uint64)
         base = np.cumsum([0, *map(len, sigs)])
         bits = max(LOCAL_BITS, int(len(names)).bit_length())
-        keys = np.concatenate([(p >> U64(bits) << U64(bits)) | inverse[(p & low).astype(np.int64) + b].astype(np.uint64) for p, b in zip(parts, base, strict=False)])
-        del parts
-        keys = np.unique(keys)
-        prints = keys >> U64(bits)
-        head = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
-        counts = np.diff(np.append(head, len(keys)))
-        often = np.repeat(counts, counts)
-        keep = often >= 2
-        prints, often, member = prints[keep], often[keep], (keys[keep] & U64((1 << bits) - 1)).astype(np.int64)
-        ident = prints * U64(0x9E3779B97F4A7C15) + U64(bucket * 0xC2B2AE3D27D4EB4F % 2**64)
-        ident ^= ident >> U64(31)
-        order = np.minimum(often, 65535).astype(np.uint64) << U64(48) | (ident * U64(0xFF51AFD7ED558CCD)) >> U64(16)
-        return names, sizes, member, order
+        del sigs, where
+        cuts = max(0, math.ceil(math.log2(max(1, sum(map(len, parts)) / COUNT_TOKENS))))
+        starts = np.arange(1, 1 << cuts, dtype=np.uint64) << U64(64 - cuts) if cuts else np.zeros(0, np.uint64)
+        bounds = [np.concatenate([[0], np.searchsorted(p, starts), [len(p)]]) for p in parts]
+        for k in range(1 << cuts):
+            some = [(p[at[k] : at[k + 1]], b) for p, at, b in zip(parts, bounds, base.tolist(), strict=False)]
+            keys = np.unique(np.concatenate([(p >> U64(bits) << U64(bits)) | inverse[(p & low).astype(np.int64) + b] for p, b in some]))
+            if not len(keys):
+                continue
+            prints = keys >> U64(bits)
+            head = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]]))
+            counts = np.diff(np.append(head, len(keys)))
+            often = np.repeat(counts, counts)
+            keep = often >= 2
+            prints, often, member = prints[keep], often[keep], (keys[keep] & U64((1 << bits) - 1)).astype(np.int64)
+            ident = prints * U64(0x9E3779B97F4A7C15) + U64(bucket * 0xC2B2AE3D27D4EB4F % 2**64)
+            ident ^= ident >> U64(31)
+            order = np.minimum(often, 65535).astype(np.uint64) << U64(48) | (ident * U64(0xFF51AFD7ED558CCD)) >> U64(16)
+            yield names, sizes, member, order
 
     def run(batches):
         for bucket, rows in _by_key(batches, "bucket"):
-            names, sizes, member, order = count(bucket, rows)
-            owner = (names[member] % U64(owners)).astype(np.int64)
-            by = np.lexsort((member, owner))
-            owner, member, order = owner[by], member[by], order[by]
-            bounds = np.searchsorted(owner, np.arange(owners + 1))
-            out = []
-            for k in range(owners):
-                m, o = member[bounds[k] : bounds[k + 1]], order[bounds[k] : bounds[k + 1]]
-                if len(m):
+            for names, sizes, member, order in counted(bucket, rows):
+                owner = (names[member] % U64(owners)).astype(np.int64)
+                by = np.lexsort((member, owner))
+                owner, member, order = owner[by], member[by], order[by]
+                first = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.zeros(0, np.int64)
+                out = []
+                for a, b in zip(first.tolist(), [*first[1:].tolist(), len(owner)], strict=False):
+                    m, o = member[a:b], order[a:b]
                     head = np.flatnonzero(np.concatenate([[True], m[1:] != m[:-1]]))
-                    out.append((k, names[m[head]].tobytes(), sizes[m[head]].tobytes(), np.diff(np.append(head, len(m))).astype(np.int32).tobytes(), o.tobytes()))
-            for i in range(0, len(out), 64):
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 64], strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["owner", "sigs", "sizes", "runs", "tokens"])
+                    out.append((int(owner[a]), names[m[head]].tobytes(), sizes[m[head]].tobytes(), np.diff(np.append(head, len(m))).astype(np.int32).tobytes(), o.tobytes()))
+                for i in range(0, len(out), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out[i : i + 64], strict=True), (pa.int64(), *[pa.binary()] * 4), strict=True)], names=["owner", "sigs", "sizes", "runs", "tokens"])
 
-    return blocks.repartition(partitions(blocks.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(run, "owner long, sigs binary, sizes binary, runs binary, tokens binary")
+    return blocks.repartition(partitions(blocks.sparkSession), "bucket").sortWithinPartitions("bucket").mapInArrow(tidy(run), "owner long, sigs binary, sizes binary, runs binary, tokens binary")
 
 
 def _joining_sets(shared: DataFrame, percent: int) -> DataFrame:
@@ -200,7 +218,7 @@ def _joining_sets(shared: DataFrame, percent: int) -> DataFrame:
                 t = take[i : i + 500]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(names[t])), pa.array(n[t]), pa.array(alone[t]), pa.array([tokens[bounds[k] : bounds[k + 1]].tobytes() for k in t.tolist()], pa.binary())], names=["sig", "n", "alone", "tokens"])
 
-    return shared.repartition(partitions(shared.sparkSession), "owner").sortWithinPartitions("owner").mapInArrow(run, "sig long, n long, alone long, tokens binary")
+    return shared.repartition(partitions(shared.sparkSession), "owner").sortWithinPartitions("owner").mapInArrow(tidy(run), "sig long, n long, alone long, tokens binary")
 
 
 def _postings(sets: DataFrame, percent: int) -> DataFrame:
@@ -217,7 +235,7 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
                 place = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(parts)), pa.array(sig[row]), pa.array(n[row]), pa.array((alone[row] + place).astype(np.int32)), pa.array(alone[row].astype(np.int32))], names=["token", "sig", "n", "pos", "alone"])
 
-    return sets.mapInArrow(run, "token long, sig long, n long, pos int, alone int")
+    return sets.mapInArrow(tidy(run), "token long, sig long, n long, pos int, alone int")
 
 
 def _lists(frames):
@@ -264,7 +282,7 @@ def _leader_candidates(postings: DataFrame, percent: int) -> DataFrame:
                 out = pd.DataFrame({"sig": sig[ok], "leader": top[ok]})
                 yield out.groupby(["sig", "leader"], sort=False).size().rename("votes").reset_index()
 
-    votes = _by_token(postings, F.col("alone") / F.col("n"), "sig").mapInPandas(run, "sig long, leader long, votes long").groupBy("sig", "leader").agg(F.sum("votes").alias("votes"))
+    votes = _by_token(postings, F.col("alone") / F.col("n"), "sig").mapInPandas(tidy(run), "sig long, leader long, votes long").groupBy("sig", "leader").agg(F.sum("votes").alias("votes"))
     return votes.groupBy("sig").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
 
 
@@ -293,7 +311,7 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, *keep: str) -> DataFrame:
     right = sets.select(F.col("sig").alias("b"), F.col("n").alias("nb"), F.col("tokens").alias("tb"))
     joined = pairs.join(left, "a").join(right, "b")
     extra = "".join(f", {c} {dict(pairs.dtypes)[c]}" for c in keep)
-    return joined.mapInArrow(run, f"a long, b long, na long, nb long{extra}, common long")
+    return joined.mapInArrow(tidy(run), f"a long, b long, na long, nb long{extra}, common long")
 
 
 def _cross_candidates(postings: DataFrame, percent: int, leaders: bool, open_pairs: DataFrame | None = None) -> DataFrame:
@@ -304,6 +322,11 @@ def _cross_candidates(postings: DataFrame, percent: int, leaders: bool, open_pai
     are returned, else the pairs of sets.  ``slack`` is the largest
     ``(100 + percent) (gains) - percent (sizes)`` of the sets met: the overlap of their
     leaders, ``100 + percent`` times, must make up for it.
+
+    For pairs of leaders a list has one row for each leader, with the widest bounds of its
+    members (``n`` the least size, ``hi`` the largest, ``n - pos`` the most that can follow),
+    so the list of a passage that thousands of near copies share is as long as they have
+    leaders, summed up before it moves.
     """
 
     def blocked(rows):
@@ -315,6 +338,13 @@ def _cross_candidates(postings: DataFrame, percent: int, leaders: bool, open_pai
         cut = np.flatnonzero((step[1:] != step[:-1]) | (band[1:] != band[:-1])) + 1
         return {c: v[by] for c, v in rows.items()}, np.concatenate([[0], cut, [len(by)]])
 
+    if leaders:
+        worth = (100 + percent) * F.col("gain") - percent * F.col("n")
+        postings = postings.groupBy("token", "leader").agg(F.min("root").alias("root"), F.min("n").alias("n"), F.max("n").alias("hi"), F.max(F.col("n") - F.col("pos")).alias("room"), F.max(worth).alias("worth"))
+        postings = postings.select("token", "root", "leader", "n", "hi", (F.col("n") - F.col("room")).alias("pos"), "worth")
+    else:
+        postings = postings.select("token", "sig", "root", "n", F.col("n").alias("hi"), "pos")
+
     def meet(rows, at):
         """Index pairs within one list that pass the bounds and join two components."""
         n, pos, root = rows["n"], rows["pos"], rows["root"]
@@ -324,7 +354,7 @@ def _cross_candidates(postings: DataFrame, percent: int, leaders: bool, open_pai
             for k in np.flatnonzero(ok).tolist():
                 yield i[k], j[k : k + 1]
             return
-        lo_n, hi_n = np.minimum.reduceat(n, at[:-1]), np.maximum.reduceat(n, at[:-1])
+        lo_n, hi_n = np.minimum.reduceat(n, at[:-1]), np.maximum.reduceat(rows["hi"], at[:-1])
         room = np.maximum.reduceat(n - pos, at[:-1])
         lo_r, hi_r = np.minimum.reduceat(root, at[:-1]), np.maximum.reduceat(root, at[:-1])
         for x in range(len(at) - 1):
@@ -353,7 +383,7 @@ def _cross_candidates(postings: DataFrame, percent: int, leaders: bool, open_pai
                 for i, other in meet(rows, at):
                     if leaders:
                         p, q = rows["leader"][i], rows["leader"][other]
-                        slack = (100 + percent) * (rows["gain"][i] + rows["gain"][other]) - percent * (rows["n"][i] + rows["n"][other])
+                        slack = rows["worth"][i] + rows["worth"][other]
                         for k, v in zip(q.tolist(), slack.tolist(), strict=True):
                             key = (min(p, k), max(p, k))
                             found[key] = max(found.get(key, v), v)
@@ -371,7 +401,7 @@ def _cross_candidates(postings: DataFrame, percent: int, leaders: bool, open_pai
         keys = np.array(list(found), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": keys[:, 0], "b": keys[:, 1], "slack": np.array(list(found.values()), np.int64)})
 
-    pairs = _by_token(postings).mapInPandas(run, "a long, b long, slack long")
+    pairs = _by_token(postings).mapInPandas(tidy(run), "a long, b long, slack long")
     return pairs.groupBy("a", "b").agg(F.max("slack").alias("slack"))
 
 
@@ -391,7 +421,7 @@ def jaccard_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     members = saved(signatures(docs, id_col, text_col, width), "members")
     total = members.agg(F.sum("n")).first()[0] or 0
     bits = max(0, math.ceil(math.log2(max(1, total / BUCKET_TOKENS))), min(6, partitions(spark).bit_length()))
-    owners = partitions(spark) * 2
+    owners = max(partitions(spark) * 2, total // OWNER_TOKENS)
     sets = saved(_joining_sets(_shared_tokens(_token_blocks(docs, text_col, width, bits), owners), percent), "sets")
     if not sets.take(1):
         return members, spark.createDataFrame([], "a long, b long, na long, nb long, common long")
@@ -456,18 +486,21 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     ignored; an empty table gives no rows.
     """
     members, links = jaccard_links(docs, id_col, text_col, width, percent)
-    roots = components(links)
-    least = members.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"))
-    joined = least.join(roots.select(F.col("node").alias("sig"), "root"), "sig")
-    roots = roots.select("root").distinct()
-    joined = joined.unionByName(least.join(roots, least.sig == roots.root).select("sig", "first", "root"))
-    lowest = joined.groupBy("root").agg(F.min("first").alias("lowest"))
-    grouped = joined.join(lowest, "root").select("sig", "lowest")
-    by_sig = least.join(grouped, "sig", "left").select("sig", F.coalesce("lowest", "first").alias("component_id"))
-    out = members.join(by_sig, "sig", "left")
+    texts = members.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"), F.count("*").alias("rows"))
+    texts = _with_roots(texts, components(links))
+    groups = texts.groupBy("root").agg(F.min("first").alias("component_id"), F.sum("rows").alias("rows")).where("rows > 1")
+    shared = _shared(texts.select("sig", "root").join(groups, "root").select("sig", "component_id"))
+    out = members.join(shared, "sig", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _shared(by_sig: DataFrame) -> DataFrame:
+    """What texts of more than one row say, as a table of its own: broadcast where it is
+    small, and else joined so that the rows of a hot text are split."""
+    by_sig = saved(by_sig, "shared")
+    return F.broadcast(by_sig) if by_sig.count() <= BROADCAST_SETS else by_sig
+
+
 def link_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 75) -> DataFrame:
     """``(doc_id, n_links)``, one row per row of ``docs``: how many other rows it is linked to.
 
@@ -489,16 +522,18 @@ def representatives(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows with equal ids and texts one stays, whichever it is.  Rows with an empty set all stay.
     """
     key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    members, links = jaccard_links(docs.select(key.alias("row"), text_col), "row", text_col, width, percent)
+    members, links = jaccard_links(docs.select(key.alias("row"), F.col(text_col).alias("text")), "row", "text", width, percent)
     members = members.where("sig is not null").select("sig", F.struct(F.col("doc_id.id").isNull().alias("last"), "doc_id.id", "doc_id.h").alias("row"))
-    best = _with_roots(members.groupBy("sig").agg(F.min("row").alias("row")), components(links))
-    kept = best.groupBy("root").agg(F.min("row").alias("kept"))
-    kept = best.select("sig", "root").join(kept, "root").select("sig", "kept")
-    gone = members.join(kept, "sig").where("row <> kept").select(F.col("row.id").alias("__id"), F.col("row.h").alias("__h")).distinct()
-    same = F.col("__id").eqNullSafe(docs[id_col]) & (F.col("__h") == F.xxhash64(docs[text_col]))
+    texts = members.groupBy("sig").agg(F.min("row").alias("row"), F.count("*").alias("rows"))
+    texts = _with_roots(texts, components(links))
+    kept = texts.groupBy("root").agg(F.min("row").alias("kept"), F.sum("rows").alias("rows")).where("rows > 1")
+    kept = _shared(texts.select("sig", "root").join(kept, "root").select("sig", "kept"))
+    name, h, row = (fresh(c, docs.columns) for c in ("__id", "__h", "__row"))
+    gone = members.join(kept, "sig").where("row <> kept").select(F.col("row.id").alias(name), F.col("row.h").alias(h)).distinct()
+    same = F.col(name).eqNullSafe(docs[id_col]) & (F.col(h) == F.xxhash64(docs[text_col]))
     out = docs.join(gone, same, "left_anti")
-    again = members.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row.id").alias("__id"), F.col("row.h").alias("__h"))
+    again = members.groupBy("row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row.id").alias(name), F.col("row.h").alias(h))
     if again.isEmpty():
         return out
-    twice = out.join(again, same, "left_semi").groupBy(F.col(id_col).alias("__id"), F.xxhash64(text_col).alias("__h")).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias("__row"))
-    return out.join(again, same, "left_anti").unionByName(twice.select("__row.*"))
+    twice = out.join(again, same, "left_semi").groupBy(F.col(id_col).alias(name), F.xxhash64(text_col).alias(h)).agg(F.first(F.struct(*[F.col(c) for c in docs.columns])).alias(row))
+    return out.join(again, same, "left_anti").unionByName(twice.select(f"{row}.*"))
