@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import queries
 from tidemark.llm.chat import escape, formatted_turns, loss_mask, read_back, unescape
@@ -62,6 +63,15 @@ def test_chat_reads_back_what_was_written(spark):
     assert read_back(formatted_turns(df.limit(0))).collect() == []
 
 
+@pytest.mark.parametrize("kind", ["smallint", "date", "double", "string", "struct<a:int,b:string>"])
+def test_chat_takes_ids_of_any_type(spark, kind):
+    rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "assistant", "c")], "n int, turn int, role string, text string")
+    named = {"date": F.date_add(F.lit("2024-01-01").cast("date"), F.col("n")), "struct<a:int,b:string>": F.struct(F.col("n").alias("a"), F.lit("x").alias("b"))}
+    df = rows.withColumn("conv_id", named.get(kind, F.col("n").cast(kind if "<" not in kind else "int")))
+    out = read_back(formatted_turns(df))
+    assert dict(out.dtypes)["conv_id"] == kind and sorted((r.n_turns, r.loss_chars) for r in out.collect()) == [(1, 1), (2, 1)]
+
+
 def test_offsets_and_masks(spark):
     assert loss_mask([1, 2, 1, 3, 1], [False, False, False, True, False]).tolist() == [0, 0, 0, 0, 1, 1, 1, 0]
     df = spark.createDataFrame([(1, 1, "assistant", "b"), (1, 0, "user", "a")], "conv_id long, turn long, role string, text string")
@@ -95,6 +105,40 @@ def test_secrets_equal_brute_force(spark):
     assert got == sorted(want)
 
 
+def test_all_spans_equal_brute_force(spark):
+    """The kinds beyond the base too, and the string of all spans."""
+    more = [("github", "gh[pousr]_[A-Za-z0-9]{36,}", 40), ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 32), ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 20)]
+    r = random.Random(6)
+    bits = ["ghp_" + "a1B2" * 9, "gho_short", "eyJhbGciOiJI", "eyJhbGciOiJIUzI1NiJ9.eyJzdWIiOiIxMjM0.SflKxwRJSMeKKF", ".", "-----BEGIN RSA PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----", "token=", " ", "é", "0123456789abcdef01234567"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randrange(12))) for _ in range(200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("source", F.lit(None).cast("string"))
+    got = {g.doc_id: g.spans for g in digest_columns(secrets(df)).collect()}
+    for i, t in enumerate(texts):
+        found = spans(t) + [(m.start(), 3 + k, m.end(), name) for k, (name, pattern, least) in enumerate(more) for m in re.finditer(pattern, t, re.A) if len(m[0]) >= least]
+        assert got[i] == ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(found))
+
+
+def test_secrets_are_never_stored(spark, monkeypatch):
+    from tidemark.llm import secrets as module
+
+    written = []
+    monkeypatch.setattr(module, "saved", lambda df, name: written.append(df) or df)
+    secrets(spark.createDataFrame([(1, "token = q8Zr5Tk2Lw9Xv", "s")], "doc_id long, text string, source string")).collect()
+    assert written and not any("q8Zr5Tk2Lw9Xv" in str(r) for df in written for r in df.collect())
+
+
+def test_values_in_many_repositories_are_examples_and_hot_ones_are_counted_alike(spark, monkeypatch):
+    from tidemark.llm import secrets as module
+
+    rows = [(i, "token = BoilerPlate1234", f"r{i % 12}", "one") for i in range(40)] + [(100 + i, f"token = q8Zr5Tk2Lw9X{i}", "r", "two") for i in range(9)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, repo string, owner string")
+    want = sorted((r.doc_id, r.examples, r.live, r.other) for r in secrets(df, repository_col="repo", owner_col="owner").collect())
+    assert want == [(i, 1, 0, 0) for i in range(40)] + [(100 + i, 0, 1, 0) for i in range(9)]
+    monkeypatch.setattr(module, "BROADCAST_VALUES", 0)
+    monkeypatch.setattr(module, "HOT_SHARE", 3)
+    assert sorted((r.doc_id, r.examples, r.live, r.other) for r in secrets(df, repository_col="repo", owner_col="owner").collect()) == want
+
+
 def test_copied_examples_and_live_secrets_part(spark):
     rows = [(i, "token = EXAMPLEexample123", f"s{i}") for i in range(4)] + [(9, "token = q8Zr5Tk2Lw9Xv", "s1"), (10, "token = aaaaaaaa", "s2")]
     got = {r.doc_id: (r.examples, r.live, r.other) for r in secrets(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
@@ -102,8 +146,9 @@ def test_copied_examples_and_live_secrets_part(spark):
     assert secrets(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
 
 
-@pytest.mark.parametrize(("segment", "chunk"), [(1 << 20, 1 << 16), (150, 40)])
-def test_warc_round_trip(spark, segment, chunk):
+@pytest.mark.parametrize(("segment", "chunk", "broadcast"), [(1 << 20, 1 << 16, 1000), (150, 40, 0)])
+def test_warc_round_trip(spark, monkeypatch, segment, chunk, broadcast):
+    monkeypatch.setattr("tidemark.llm.warc.BROADCAST_PAYLOADS", broadcast)
     big = "<p>é\r\n\r\nWARC/1.1\r\n" * 200
     rows = [(1, "http://a/\r\nX: y", big, "k"), (5, None, big, "k"), (3, "u", big, "k"), (2, "u", "small", "k"), (4, "u", "small", "k"), (6, "u", None, "k"), (7, "u", "", "k"), (None, "u", big, "k"), (8, "u", "y" * 1000, "k"), (8, "u", "y" * 1000, "k")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, record_type string")
@@ -117,6 +162,12 @@ def test_warc_round_trip(spark, segment, chunk):
     assert archived(df.limit(0)).collect() == []
 
 
+def test_a_very_long_page_is_cut_and_reassembled(spark):
+    html = "é line\n" * 400_000  # 2.8 million characters: three segments and 43 chunks
+    (row,) = archived(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")).collect()
+    assert (row.payload_bytes, row.payload_digest) == (len(html.encode()), hashlib.sha1(html.encode()).hexdigest())
+
+
 def test_payloads_come_back_byte_for_byte(spark, tmp_path):
     html = "ä\n" * 500 + "0\r\n\r\n"
     write_warc(spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string"), tmp_path.as_uri() + "/w", segment=100, chunk=33)
