@@ -60,7 +60,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixed(table(spark, sf_dir, "documents"))
+    out = mixed(table(spark, sf_dir, "documents"), columns=["doc_id", "source", "lang"])
     return out.select("doc_id", "source", "lang", F.col("__topic").alias("topic"), F.col("__tokens").alias("tokens"), F.round("__probability", 9).alias("probability"), F.col("__kept").alias("kept"))
 
 
