@@ -2,12 +2,13 @@
 
 1.  Every partition hashes its normalised texts (SHA-256; 60 bits are the fingerprint)
     and keeps blocks of rows whose fingerprints are sorted.
-2.  A block sends each owner its distinct fingerprints as Golomb-Rice codes of the sorted
+2.  A block (``BLOCK_ROWS`` rows of a partition) sends each owner its distinct fingerprints as Golomb-Rice codes of the sorted
     gaps: about log2(range / entries) + 1.5 bits each, and one per block for a hot text.
 3.  The owner of a range answers with one bit per fingerprint: met in two blocks or more.
 4.  Only rows with a set bit, or with a twin in their own block, are suspects; their texts
-    are shuffled (after map-side grouping) and grouped by their bytes.  Fingerprints never
-    decide: a group is what has equal bytes.
+    are shuffled (after map-side grouping) and grouped by their bytes.  Groups are equal
+    SHA-256 digests, and that each digest of a suspect stands for one text only is verified
+    on the bytes: a clash is an error.
 """
 
 from __future__ import annotations
@@ -18,11 +19,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, saved
+from .common import fresh, partitions, saved, tidy
 
 PRINT_BITS = 60
 #: Fingerprints that one owner gets on average.
-OWNER_ROWS = 1_000_000
+OWNER_ROWS = 4_000_000
+#: Rows of a block: the more, the denser each owner's list, and the fewer bits a gap takes.
+BLOCK_ROWS = 250_000
 #: Suspect rows up to which their ids (16 bytes each) are broadcast; beyond, ids are joined.
 BROADCAST_ROWS = 250_000
 #: Groups of copies up to which their table (100 bytes each) is broadcast; beyond, it is joined.
@@ -54,14 +57,26 @@ def rice_decode(n: int, k: int, unary: bytes, rest: bytes) -> np.ndarray:
     return np.cumsum(gaps)
 
 
-def _blocks(rows: DataFrame, owner_bits: int) -> DataFrame:
+def _blocks(rows: DataFrame, owner_bits: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Rows with their place in a block (kind 0), and the coded lists (kind 1)."""
     shift = PRINT_BITS - owner_bits
     kind_of_id = dict(rows.dtypes)["doc_id"]
 
+    def gathered(batches):
+        """Blocks of ``block_rows`` rows, the partition's last one shorter."""
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= block_rows:
+                yield pa.concat_batches(held)
+                held, n = [], 0
+        if n:
+            yield pa.concat_batches(held)
+
     def run(batches):
         number = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 32
-        for batch in batches:
+        for batch in gathered(batches):
             fp = batch.column(3).to_numpy()
             order = np.argsort(fp, kind="stable")
             prints, inverse, counts = np.unique(fp, return_inverse=True, return_counts=True)
@@ -73,11 +88,12 @@ def _blocks(rows: DataFrame, owner_bits: int) -> DataFrame:
             n, block = batch.num_rows, number
             number += n
             none = pa.nulls(n, pa.binary())
-            yield pa.RecordBatch.from_arrays([
+            placed = pa.RecordBatch.from_arrays([
                 pa.array(np.zeros(n, np.int32)), taken.column(0), taken.column(1), taken.column(2),
                 pa.array(block + np.arange(n)), pa.array(counts[place] > 1),
                 pa.array(np.full(n, block)), pa.array(owner[place]), pa.array(slot[place]), pa.array(np.zeros(n, np.int32)), none, none,
             ], names=names)
+            yield from (placed.slice(i, 10_000) for i in range(0, n, 10_000))
             heads = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if n else np.zeros(0, int)
             coded = []
             for a, b in zip(heads.tolist(), [*heads[1:].tolist(), len(owner)], strict=True):
@@ -93,7 +109,7 @@ def _blocks(rows: DataFrame, owner_bits: int) -> DataFrame:
 
     fields = [("kind", "int"), ("doc_id", kind_of_id), ("text_sha256", "string"), ("points", "long"), ("row", "long"), ("twin", "boolean"), ("block", "long"), ("owner", "long"), ("slot", "long"), ("k", "int"), ("unary", "binary"), ("rest", "binary")]
     names = [n for n, _ in fields]
-    return rows.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in fields))
+    return rows.mapInArrow(tidy(run), ", ".join(f"{n} {t}" for n, t in fields))
 
 
 def _answers(coded: DataFrame) -> DataFrame:
@@ -126,7 +142,7 @@ def _answers(coded: DataFrame) -> DataFrame:
             yield from flush(held)
 
     lists = coded.select("block", "owner", "slot", "k", "unary", "rest")
-    return lists.repartition(partitions(coded.sparkSession), "owner").sortWithinPartitions("owner").mapInArrow(run, "block long, owner long, bits binary")
+    return lists.repartition(partitions(coded.sparkSession), "owner").sortWithinPartitions("owner").mapInArrow(tidy(run), "block long, owner long, bits binary")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,7 +150,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Texts are equal when they are the same bytes after white space goes (null: empty).  Of
     equal ones the row with the most code points stays, then the least id (a null id last),
-    then one of the rows that tie in both.  Other columns are ignored; no rows give none.
+    then one of the rows that tie in both.  Other columns are ignored, whatever their names;
+    no rows give none.
     """
     spark = docs.sparkSession
     owners = max(partitions(spark) * 2, docs.count() // OWNER_ROWS)
@@ -152,8 +169,9 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     ids = suspects.select(F.col("doc_id").alias("__suspect")).distinct()
     few = ids.count() <= BROADCAST_ROWS
-    texts = docs.join(F.broadcast(ids) if few else ids, docs[id_col].eqNullSafe(F.col("__suspect")), "left_semi")
-    bodies = texts.select(normalised(F.col(text_col)).alias("body")).groupBy("body").agg(F.count("*").alias("copies"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    texts = texts.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__suspect")), "left_semi")
+    bodies = texts.select(normalised(F.col("text")).alias("body")).groupBy("body").agg(F.count("*").alias("copies"))
     checked = bodies.select(F.sha2(F.col("body").cast("binary"), 256).alias("text_sha256")).groupBy("text_sha256").agg(F.count("*").alias("texts"))
     checked = checked.select("text_sha256", F.when(F.col("texts") > 1, F.raise_error(F.lit("two texts share a SHA-256 digest")).cast("int")).alias("clash"))
 
@@ -176,18 +194,24 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns: one of each text.
+
+    Which one is as in ``exact_duplicates``; of rows with one id and one text, any of those
+    with the most code points.  Null ids are ids like others, null texts are empty, no rows
+    give none, and columns may have any names.
+    """
     found = saved(exact_duplicates(docs, id_col, text_col), "decisions")
-    per_id = found.groupBy("doc_id").agg(F.sum(F.col("kept").cast("int")).alias("__kept"), F.count("*").alias("__rows"))
-    changed = per_id.where("__kept < __rows").select(F.col("doc_id").alias("__id"), "__kept")
-    joined = docs[id_col].eqNullSafe(F.col("__id"))
-    plain = docs.join(changed, joined, "left_anti")
-    mixed = changed.where("__kept > 0")
+    name, sha, points = (fresh(c, docs.columns) for c in ("__id", "__sha", "__points"))
+    per_id = found.groupBy("doc_id").agg(F.sum(F.col("kept").cast("int")).alias("stay"), F.count("*").alias("rows"))
+    changed = saved(per_id.where("stay < rows").select(F.col("doc_id").alias(name), "stay"), "changed")
+    same = docs[id_col].eqNullSafe(F.col(name))
+    plain = docs.join(changed.select(name), same, "left_anti")
+    mixed = changed.where("stay > 0").select(name)
     if mixed.isEmpty():
         return plain
     # An id with rows that stay and rows that go: match the rows by text, one of a tie.
-    stay = found.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    part = docs.join(mixed.select("__id"), joined, "left_semi").withColumn("__sha", F.sha2(normalised(F.col(text_col)).cast("binary"), 256))
-    part = part.withColumn("__points", F.coalesce(F.char_length(text_col), F.lit(0))).orderBy(F.desc("__points")).dropDuplicates([id_col, "__sha"]).drop("__points")
-    part = part.join(stay.withColumnRenamed("__sha", "__s"), part[id_col].eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__s")), "left_semi").drop("__sha")
-    return plain.unionByName(part)
+    stay = found.where("kept").join(mixed, F.col("doc_id").eqNullSafe(F.col(name)), "left_semi").select(F.col("doc_id").alias(name), F.col("text_sha256").alias(sha))
+    part = docs.join(mixed, same, "left_semi").withColumn(points, F.struct(F.coalesce(F.char_length(text_col), F.lit(0)).alias("n"), F.sha2(normalised(F.col(text_col)).cast("binary"), 256).alias("sha")))
+    part = part.join(stay, part[id_col].eqNullSafe(F.col(name)) & (F.col(f"{points}.sha") == F.col(sha)), "left_semi")
+    best = part.groupBy(id_col, f"{points}.sha").agg(F.max_by(F.struct(*[F.col(c) for c in docs.columns]), f"{points}.n").alias(name))
+    return plain.unionByName(best.select(f"{name}.*"))
