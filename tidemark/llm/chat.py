@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions
+from .common import partitions, tidy
 
 #: Reserved ids, behind the tokenizer's own.
 START, ROLE_END, END = 50257, 50258, 50259
@@ -110,25 +110,26 @@ def formatted_turns(conversations: DataFrame, conv_col: str = "conv_id", turn_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out[0], pa.int64()), batch.column(3), batch.column(4), batch.column(5), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64())], names=["conv_id", "position", "formatted", "ids", "mask", "char_start", "token_start"])
 
     rows = conversations.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
-    turns = rows.mapInArrow(encode, f"conv_id {kind}, turn long, role string, formatted string, ids binary, mask binary")
+    turns = rows.mapInArrow(tidy(encode), f"conv_id {kind}, turn long, role string, formatted string, ids binary, mask binary")
     turns = turns.repartition(partitions(conversations.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "formatted")
-    return turns.mapInArrow(assemble, f"conv_id {kind}, position long, formatted string, ids binary, mask binary, char_start long, token_start long")
+    return turns.mapInArrow(tidy(assemble), f"conv_id {kind}, position long, formatted string, ids binary, mask binary, char_start long, token_start long")
 
 
 def read_back(turns: DataFrame, path: str | None = None) -> DataFrame:
     """``(conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars)``.
 
     Roles and texts are parsed from the strings, learnt texts decoded from the ids under
-    the mask; a hash runs along each conversation.
+    the mask; a hash runs along each conversation.  Ids may have any type; rows with a null
+    id are one conversation; no rows give none.
     """
     path = path or tokenizer_path()
     kind = dict(turns.dtypes)["conv_id"]
 
     def run(batches):
         tokenizer = _tokenizer(path)
-        conv, state = None, None
+        conv, state, id_type = None, None, pa.null()
         for batch in batches:
-            done = []
+            done, id_type = [], batch.schema.field("conv_id").type
             names, strings, ids, masks = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("conv_id", "formatted", "ids", "mask"))
             learnt = [np.frombuffer(i, "<u4")[np.frombuffer(m, np.int8) > 0] for i, m in zip(ids, masks, strict=True)]
             decoded = tokenizer.decode_batch([x.tolist() for x in learnt], skip_special_tokens=False)
@@ -144,15 +145,14 @@ def read_back(turns: DataFrame, path: str | None = None) -> DataFrame:
                 state[3].update(text.encode())
                 state[0], state[2], state[4] = state[0] + 1, state[2] + len(text), state[4] + len(string)
             if done:
-                yield table(done)
+                yield table(done, id_type)
         if state is not None:
-            yield table([(conv, state)])
+            yield table([(conv, state)], id_type)
 
-    def table(done):
+    def table(done, id_type):
         rows = [(c, s[0], s[1].hexdigest(), s[2], s[3].hexdigest(), s[4]) for c, s in done]
         names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         columns = [pa.array(c) if i else pa.array(c, id_type) for i, c in enumerate(zip(*rows, strict=True))]
         return pa.RecordBatch.from_arrays(columns, names=names)
 
-    id_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}.get(kind)
-    return turns.mapInArrow(run, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return turns.mapInArrow(tidy(run), f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
