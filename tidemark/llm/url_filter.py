@@ -11,8 +11,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import saved
+
 #: Rules up to which they are broadcast (at most a few MB); beyond, both sides are shuffled.
 BROADCAST_RULES = 20_000
+#: URLs with a rule up to which they are broadcast (some 200 bytes each); beyond, they are joined.
+BROADCAST_URLS = 50_000
 DEFAULT_VERDICT = "allow"
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
 
@@ -40,8 +44,9 @@ def judged_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
 
     A rule is ``host/path``: it fits its host and all subdomains where the URL's path
     starts with its own.  The longest rule wins, then block.  No rule: null and
-    ``DEFAULT_VERDICT``.  Null URLs and such without ``://`` have empty parts; equal rows
-    give equal results; other columns are ignored; no rows give none.
+    ``DEFAULT_VERDICT``.  Null URLs and such without ``://`` have empty parts and no rule;
+    null ids are kept; equal rows give equal results; other columns are ignored; no rows
+    give none.
     """
     spark = pages.sparkSession
     table = rule_table(spark, rules)
@@ -60,5 +65,9 @@ def judged_urls(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col:
     hits = expressions.join(small, "short").where("__full = digest")
     rank = F.struct(F.char_length("rule"), F.col("labels"), (F.col("verdict") == "block").cast("int"), F.col("rule"))
     best = hits.groupBy("host", "path").agg(F.max_by(F.struct("rule", "verdict"), rank).alias("__best"))
+    # As a table of its own, so that rows of a hot URL, or of none, are split where the join shuffles.
+    best = saved(best.select("host", "path", "__best.rule", "__best.verdict"), "judged")
+    if best.count() <= BROADCAST_URLS:
+        best = F.broadcast(best)
     out = parts.join(best, ["host", "path"], "left")
-    return out.select("page_id", "host", "path", F.col("__best.rule").alias("rule"), F.coalesce("__best.verdict", F.lit(DEFAULT_VERDICT)).alias("verdict"))
+    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", F.lit(DEFAULT_VERDICT)).alias("verdict"))
