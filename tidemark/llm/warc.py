@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions, saved, scratch_path
+from .common import partitions, saved, scratch_path, tidy
 
 #: Characters of a chunk, and of a record's segment.
 CHUNK = 1 << 16
@@ -23,6 +23,9 @@ SEGMENT = 1 << 20
 #: Payloads from this many bytes on are stored once.
 REVISIT_BYTES = 1000
 FILE_RECORDS = 4096
+#: Repeated payloads up to which their digests (some 200 bytes each) are broadcast; beyond,
+#: pages that may repeat one are joined.
+BROADCAST_PAYLOADS = 50_000
 DATE = "2024-01-01T00:00:00Z"
 HEAD = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
 
@@ -51,7 +54,14 @@ def composed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", te
     url = F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", "%0A")
     rows = pages.select(F.col(id_col).cast("long").alias("__id"), url.alias("__url"), text.alias("__text"))
     rows = rows.withColumns({"__sha": F.sha2(F.col("__text").cast("binary"), 256), "__sha1": F.sha1(F.col("__text").cast("binary")), "__bytes": F.octet_length("__text")})
-    rows = rows.join(repeated(rows, least), "__sha", "left")
+    # Digests are found on slim rows and come back to the pages; payloads stay where they are.
+    firsts = saved(repeated(rows.drop("__text"), least), "repeated")
+    few = firsts.count() <= BROADCAST_PAYLOADS
+    if few:
+        rows = rows.join(F.broadcast(firsts), "__sha", "left")
+    else:  # small and empty payloads, which repeat most, are dealt by their page
+        key = F.when(F.col("__bytes") >= least, F.col("__sha")).otherwise(F.concat(F.lit("page "), F.col("__id").cast("string")))
+        rows = rows.withColumn("__key", key).join(firsts.withColumnRenamed("__sha", "__key"), "__key", "left")
     again = F.col("__first").isNotNull() & ~F.col("__id").eqNullSafe(F.col("__first"))
     rows = rows.withColumn("__again", again)
     own = _record_id(F.when(F.col("__again"), "revisit").otherwise("response").alias("k"))
@@ -221,9 +231,9 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         if held:
             yield table(whole(held), 7)
 
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(parse, _RAW)
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(parse), _RAW)
     segments = raw.where("segment is not null").repartition(partitions(spark), "origin").sortWithinPartitions("origin", "segment")
-    return raw.where("segment is null").select(*names[:7]).unionByName(segments.mapInArrow(reassemble, FIELDS))
+    return raw.where("segment is null").select(*names[:7]).unionByName(segments.mapInArrow(tidy(reassemble), FIELDS))
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", path: str | None = None, **how) -> DataFrame:
