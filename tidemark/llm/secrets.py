@@ -3,8 +3,9 @@
 Patterns are matched in one pass each; where a match lies follows from the lengths of the
 matches and of the text between them.  Each candidate's value is hashed, and hashes are
 counted over the whole corpus by distinct repositories and owners: a value that many
-owners have is an example that was copied, one that a single owner has and that looks
-random is reported as live.
+owners or very many repositories have is an example that was copied, one that a single
+owner has in few repositories and that looks random is reported as live.  Values
+themselves are never stored, only their hashes.
 """
 
 from __future__ import annotations
@@ -27,24 +28,28 @@ MORE = (
     ("jwt", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}", 0, 32),
     ("pem", "-----BEGIN [A-Z ]*PRIVATE KEY-----", 0, 20),
 )
-#: Owners from which on a value counts as a copied example.
-EXAMPLE_OWNERS = 3
+#: Owners, or repositories, from which on a value counts as a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
 #: Distinct characters from which on a value looks random.
 LIVE_CHARACTERS = 8
+#: Values up to which their counts (some 30 bytes each) are broadcast; beyond, only those
+#: that make up more than one in ``HOT_SHARE`` uses, fewer than ``HOT_SHARE``, are, and the
+#: others are joined.
+BROADCAST_VALUES, HOT_SHARE = 250_000, 1000
 
 
 def matches(text: Column, kind: str, place: int, pattern: str, group: int, least: int) -> Column:
-    """All matches of one kind as ``array<struct<start, place, end, kind, value>>``."""
+    """All matches of one kind as ``array<struct<start, place, end, kind, hash, random>>``."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     between = F.split(text, pattern, -1)
     rows = F.arrays_zip(found.alias("found"), values.alias("value"), F.slice(between, 1, F.size(found)).alias("before"))
-    empty = F.expr("cast(array() as array<struct<start:int,place:int,end:int,kind:string,value:string>>)")
+    empty = F.expr("cast(array() as array<struct<start:int,place:int,end:int,kind:string,hash:bigint,random:boolean>>)")
 
     def step(state, row):
         start = state["end"] + F.char_length(row["before"])
         end = start + F.char_length(row["found"])
-        span = F.struct(start.cast("int").alias("start"), F.lit(place).cast("int").alias("place"), end.cast("int").alias("end"), F.lit(kind).alias("kind"), row["value"].alias("value"))
+        span = F.struct(start.cast("int").alias("start"), F.lit(place).cast("int").alias("place"), end.cast("int").alias("end"), F.lit(kind).alias("kind"), F.xxhash64(row["value"]).alias("hash"), (F.size(F.array_distinct(F.split(row["value"], ""))) >= LIVE_CHARACTERS).alias("random"))
         kept = F.when(F.char_length(row["value"]) >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
         return F.struct(end.cast("int").alias("end"), kept.alias("spans"))
 
@@ -78,23 +83,29 @@ def secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rep
     """One row per row of ``docs``: id, ``spans`` and how widely its candidates are owned.
 
     ``(doc_id, spans array, examples, live, other)``: numbers of spans whose value
-    ``EXAMPLE_OWNERS`` owners or more have, of those of one owner that look random, and of
-    the rest.  Null texts are empty, null repositories and owners are values of their own;
-    equal rows give equal results; no rows give none.
+    ``EXAMPLE_OWNERS`` owners or ``EXAMPLE_REPOSITORIES`` repositories or more have, of those
+    of one owner that look random, and of the rest.  Null texts are empty, null repositories
+    and owners are values of their own; equal rows give equal results; other columns are
+    ignored, whatever their names; no rows give none.
     """
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(repository_col).cast("string").alias("repository"), F.col(owner_col).cast("string").alias("owner"), F.col(text_col).alias("text"))
     found = saved(secret_spans(slim), "spans")
-    values = F.array_distinct(F.transform("__spans", lambda s: F.xxhash64(s["value"])))
+    values = F.array_distinct(F.transform("__spans", lambda s: s["hash"]))
     candidates = found.select(F.coalesce("repository", F.lit("")).alias("repository"), F.coalesce("owner", F.lit("")).alias("owner"), F.explode(values).alias("hash"))
-    wide = ownership(candidates)
-    # Back to the rows: a document's distinct values meet their counts, then one row each.
-    key = F.xxhash64(F.to_json(F.struct("doc_id", "__spans")))
-    rows = found.withColumn("row", key)
+    wide = saved(ownership(candidates), "owned")
+    # Back to the rows: a document's values meet their counts, then one row each.
+    rows = found.withColumn("row", F.xxhash64(F.to_json(F.struct("doc_id", "__spans"))))
     some = rows.where(F.size("__spans") > 0).dropDuplicates(["row"])
-    uses = some.select("row", F.explode("__spans").alias("s")).select("row", F.col("s.value").alias("value"), F.xxhash64("s.value").alias("hash")).join(wide, "hash")
-    random = F.size(F.array_distinct(F.split("value", ""))) >= LIVE_CHARACTERS
-    example = F.col("owners") >= EXAMPLE_OWNERS
-    live = ~example & (F.col("owners") == 1) & random
+    uses = some.select("row", F.explode("__spans").alias("s")).select("row", "s.hash", "s.random")
+    sums = wide.agg(F.count("*").alias("n"), F.sum("uses").alias("uses")).first()
+    if sums["n"] <= BROADCAST_VALUES:
+        uses = uses.join(F.broadcast(wide), "hash")
+    else:
+        hot = wide.where(F.col("uses") * HOT_SHARE > sums["uses"])
+        cold = uses.join(F.broadcast(hot), "hash", "left_anti").join(wide, "hash")
+        uses = uses.join(F.broadcast(hot), "hash").unionByName(cold)
+    example = (F.col("owners") >= EXAMPLE_OWNERS) | (F.col("repositories") >= EXAMPLE_REPOSITORIES)
+    live = ~example & (F.col("owners") == 1) & F.col("random")
     flags = [F.sum(c.cast("long")).alias(n) for n, c in (("examples", example), ("live", live), ("other", ~example & ~live))]
     judged = uses.groupBy("row").agg(*flags)
     out = rows.join(judged, "row", "left")
