@@ -63,11 +63,12 @@ def with_rsi(df: DataFrame) -> DataFrame:
     weight = F.pow(F.lit(RSI_DAYS / (RSI_DAYS - 1)), k)
     df = df.withColumn("__b", F.floor(F.col("__i") / RSI_BLOCK)).withColumn("__u", F.greatest("__d", F.lit(0.0)) * weight).withColumn("__a", F.abs("__d") * weight)
     run = Window.partitionBy("symbol", "__b").orderBy("bar_date").rowsBetween(Window.unboundedPreceding, 0)
+    before = _line().rowsBetween(Window.unboundedPreceding, -1)
     fade = (RSI_DAYS / (RSI_DAYS - 1)) ** -RSI_BLOCK
-    ends = df.groupBy("symbol", (F.col("__b") + 1).alias("__b")).agg((F.sum("__u") * fade).alias("__pu"), (F.sum("__a") * fade).alias("__pa"))
-    df = df.withColumn("__su", F.sum("__u").over(run)).withColumn("__sa", F.sum("__a").over(run)).join(ends, ["symbol", "__b"], "left")
+    df = df.withColumn("__su", F.sum("__u").over(run)).withColumn("__sa", F.sum("__a").over(run)).withColumn("__end", k == RSI_BLOCK - 1)
+    df = df.withColumns({f"__p{x}": F.last(F.when(F.col("__end"), F.coalesce(f"__s{x}", F.lit(0.0)) * fade), ignorenulls=True).over(before) for x in "ua"})
     up, all_ = (F.col(f"__s{x}") + F.coalesce(f"__p{x}", F.lit(0.0)) for x in "ua")
-    return df.withColumn("rsi_14", F.when(F.col("__i") >= RSI_DAYS, _ratio(100 * up, all_))).drop("__b", "__u", "__a", "__su", "__sa", "__pu", "__pa")
+    return df.withColumn("rsi_14", F.when(F.col("__i") >= RSI_DAYS, _ratio(100 * up, all_))).drop("__b", "__u", "__a", "__su", "__sa", "__pu", "__pa", "__end")
 
 
 #: The regime's thresholds.

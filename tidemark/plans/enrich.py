@@ -5,12 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import market
-from ..operators.asof import asof_join
+from ..operators.asof import Lookup, asof_lookups
 from ..operators.indicators import NUMERICAL, with_indicators, with_regime
+from ..scratch import saved
 
 #: The dataset's columns, in order.
 OUTPUT = [
@@ -22,16 +23,12 @@ OUTPUT = [
 REQUIRED = ["text", "label_1d_3class", "tweet_hash", *NUMERICAL, "author", "category", "session", "market_regime", "sector", "market_cap_bucket"]
 
 
-def with_entry_price(tweets: DataFrame, daily: DataFrame, intraday: DataFrame, segment: str | None = None) -> DataFrame:
-    """``entry_price, entry_price_flag, price_next_open, price_next_open_flag, __next_date``.
+def _midnight(date: str, days: int = 0) -> Column:
+    return F.date_add(date, days).cast("timestamp_ntz")
 
-    ``tweets`` have ``ts, et_date, ticker, session``.  While the market is open in any way
-    the first quarter-hour bar after the tweet counts, else the next day's open.
-    """
-    bars = intraday.select("symbol", F.col("bar_ts").alias("bar_ts"), F.col("open").alias("open"))
-    df = asof_join(tweets, bars, "ticker", "symbol", "ts", "bar_ts", forward=True, prefix="__i_", segment=segment)
-    days = daily.select("symbol", F.col("bar_date").cast("timestamp_ntz").alias("day"), "bar_date", "open")
-    df = asof_join(df.withColumn("__day", F.col("et_date").cast("timestamp_ntz")), days, "ticker", "symbol", "__day", "day", forward=True, prefix="__n_", segment=segment).drop("__day")
+
+def _priced(df: DataFrame) -> DataFrame:
+    """Entry and next open from the looked-up columns ``__i_*`` and ``__n_*``."""
     open_now = F.col("session") != "closed"
     soon, later = F.col("__i_open").isNotNull(), F.col("__n_open").isNotNull()
     return df.withColumns({
@@ -40,10 +37,42 @@ def with_entry_price(tweets: DataFrame, daily: DataFrame, intraday: DataFrame, s
         "price_next_open": F.col("__n_open"),
         "price_next_open_flag": F.when(later, "next_open_available").otherwise("next_open_unavailable"),
         "__next_date": F.col("__n_bar_date"),
-    }).drop("__i_open", "__i_bar_ts", "__n_open", "__n_bar_date", "__n_day")
+    }).drop("__i_open", "__n_open", "__n_bar_date")
+
+
+def _entries(daily: DataFrame, intraday: DataFrame) -> list[Lookup]:
+    """The first quarter-hour bar after an instant, and the first day that begins after it."""
+    return [
+        Lookup(intraday, "symbol", "bar_ts", forward=True, prefix="__i_", columns=("open",)),
+        Lookup(daily, "symbol", _midnight("bar_date"), forward=True, prefix="__n_", columns=("bar_date", "open")),
+    ]
+
+
+def with_entry_price(tweets: DataFrame, daily: DataFrame, intraday: DataFrame, segment: str | None = None) -> DataFrame:
+    """``entry_price, entry_price_flag, price_next_open, price_next_open_flag, __next_date``.
+
+    ``tweets`` have ``ts, et_date, ticker, session``.  While the market is open in any way
+    the first quarter-hour bar after the tweet counts, else the next day's open.
+    """
+    return _priced(asof_lookups(tweets, "ticker", "ts", _entries(daily, intraday), segment=segment))
+
+
+def with_regime_of_day(df: DataFrame, index: DataFrame) -> DataFrame:
+    """``df`` with the regime that the index's last bar before ``et_date`` shows.
+
+    Each bar stands for the days up to the next one: a row for each day of the index's span,
+    which is broadcast (some 36,500 a century); later days have the last bar's.
+    """
+    bars = with_regime(index).withColumn("until", F.lead("bar_date").over(Window.partitionBy("symbol").orderBy("bar_date")))
+    bars = saved(bars.select("bar_date", "until", "market_regime"), "regimes")
+    last = bars.agg(F.max("bar_date")).first()[0]
+    if last is None:
+        return df.withColumn("market_regime", F.lit(None).cast("string"))
+    days = bars.select(F.explode(F.sequence(F.date_add("bar_date", 1), F.coalesce("until", F.date_add("bar_date", 1)))).alias("__regime_day"), "market_regime")
+    return df.join(F.broadcast(days), F.least(F.col("et_date"), F.date_add(F.lit(last), 1)) == F.col("__regime_day"), "left").drop("__regime_day")
 
 
-def enriched(tweets: DataFrame, daily: DataFrame, intraday: DataFrame, index: DataFrame, metadata: DataFrame, calendar: DataFrame, *, filter_reliable: bool = True, skip_missing: bool = True, segment: str | None = "year") -> DataFrame:
+def enriched(tweets: DataFrame, daily: DataFrame, intraday: DataFrame, index: DataFrame, metadata: DataFrame, calendar: DataFrame, *, filter_reliable: bool = True, skip_missing: bool = True, segment: str | None = "hour") -> DataFrame:
     """The dataset's rows, with the columns of ``OUTPUT`` that exist.
 
     ``tweets`` have ``ts`` (New York wall clock), ``ticker`` and any of tweet_url, author,
@@ -55,15 +84,11 @@ def enriched(tweets: DataFrame, daily: DataFrame, intraday: DataFrame, index: Da
             tweets = tweets.withColumn(name, F.lit(None).cast("string"))
     df = tweets.withColumn("et_date", F.col("ts").cast("date"))
     df = market.with_session(df, calendar)
-    df = with_entry_price(df, daily, intraday, segment)
-    marked = with_indicators(daily).select("symbol", F.col("bar_date").cast("timestamp_ntz").alias("day"), F.col("close").alias("last_close"), *NUMERICAL)
-    df = asof_join(df.withColumn("__day", F.col("et_date").cast("timestamp_ntz")), marked, "ticker", "symbol", "__day", "day", segment=segment)
-    df = df.withColumnRenamed("day", "__bar_day")
-    weather = with_regime(index).select("symbol", F.col("bar_date").cast("timestamp_ntz").alias("day"), "market_regime")
-    # One row per date of the index: join on the dates that tweets have, then by equality.
-    dates = df.select("__day").distinct().withColumn("__index", F.lit("SPY"))
-    weather = asof_join(dates, weather.withColumn("symbol", F.lit("SPY")), "__index", "symbol", "__day", "day").select("__day", "market_regime")
-    df = df.join(weather, "__day", "left")
+    # One union of tweets and bars: a day's indicators hold from the next midnight on.
+    marked = with_indicators(daily).withColumn("last_close", F.col("close"))
+    lookups = [*_entries(marked, intraday), Lookup(marked, "symbol", _midnight("bar_date", 1), strict=False, columns=("bar_date", "last_close", *NUMERICAL))]
+    df = _priced(asof_lookups(df, "ticker", "ts", lookups, segment=segment)).withColumnRenamed("bar_date", "__bar_day")
+    df = with_regime_of_day(df, index)
     df = df.join(market.stock_metadata(metadata), "ticker", "left").withColumns({"sector": F.coalesce("sector", F.lit("Other")), "market_cap_bucket": F.coalesce("market_cap_bucket", F.lit("unknown"))})
     known = F.col("__bar_day").isNotNull()
     df = df.withColumns({

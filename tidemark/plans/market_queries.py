@@ -36,27 +36,27 @@ def r6(*names: str):
 SELECT t.id, t.ticker, d.bar_date, d.close FROM tweets t ASOF LEFT JOIN daily d ON t.ticker = d.symbol AND CAST(t.ts AS DATE) > d.bar_date""")
 def asof_backward_strict(spark: SparkSession, sf: str) -> DataFrame:
     t = S.tweets(spark, sf).withColumn("day", F.col("ts").cast("date"))
-    return asof_join(t, S.daily_bars(spark, sf), "ticker", "symbol", "day", "bar_date", segment="year").select("id", "ticker", "bar_date", "close")
+    return asof_join(t, S.daily_bars(spark, sf), "ticker", "symbol", "day", "bar_date", segment="hour").select("id", "ticker", "bar_date", "close")
 
 
 @query(f"""WITH {S.TWEETS}, {S.INTRADAY}
 SELECT t.id, t.ticker, d.bar_ts, d.open FROM tweets t ASOF LEFT JOIN intraday d ON t.ticker = d.symbol AND t.ts < d.bar_ts""")
 def asof_forward_strict(spark: SparkSession, sf: str) -> DataFrame:
-    return asof_join(S.tweets(spark, sf), S.intraday_bars(spark, sf), "ticker", "symbol", "ts", "bar_ts", forward=True, segment="year").select("id", "ticker", "bar_ts", "open")
+    return asof_join(S.tweets(spark, sf), S.intraday_bars(spark, sf), "ticker", "symbol", "ts", "bar_ts", forward=True, segment="hour").select("id", "ticker", "bar_ts", "open")
 
 
 @query(f"""WITH {S.TWEETS}, {S.DAILY}
 SELECT t.id, t.ticker, d.bar_date, d.close FROM tweets t ASOF LEFT JOIN daily d ON t.ticker = d.symbol AND CAST(t.ts AS DATE) >= d.bar_date""")
 def asof_backward_inclusive(spark: SparkSession, sf: str) -> DataFrame:
     t = S.tweets(spark, sf).withColumn("day", F.col("ts").cast("date"))
-    return asof_join(t, S.daily_bars(spark, sf), "ticker", "symbol", "day", "bar_date", strict=False, segment="year").select("id", "ticker", "bar_date", "close")
+    return asof_join(t, S.daily_bars(spark, sf), "ticker", "symbol", "day", "bar_date", strict=False, segment="hour").select("id", "ticker", "bar_date", "close")
 
 
 @query(f"""WITH {S.TWEETS}, {S.DAILY}
 SELECT t.id, t.ticker, d.bar_date, d.open FROM tweets t ASOF LEFT JOIN daily d ON t.ticker = d.symbol AND CAST(t.ts AS DATE) <= d.bar_date""")
 def asof_forward_inclusive(spark: SparkSession, sf: str) -> DataFrame:
     t = S.tweets(spark, sf).withColumn("day", F.col("ts").cast("date"))
-    return asof_join(t, S.daily_bars(spark, sf), "ticker", "symbol", "day", "bar_date", forward=True, strict=False, segment="year").select("id", "ticker", "bar_date", "open")
+    return asof_join(t, S.daily_bars(spark, sf), "ticker", "symbol", "day", "bar_date", forward=True, strict=False, segment="hour").select("id", "ticker", "bar_date", "open")
 
 
 @query(f"""WITH {S.TWEETS}, {S.DAILY}
@@ -65,7 +65,7 @@ SELECT t.id, d.open AS price_next_open, d.bar_date AS next_date,
 FROM tweets t ASOF LEFT JOIN daily d ON t.ticker = d.symbol AND CAST(t.ts AS DATE) < d.bar_date""")
 def next_open(spark: SparkSession, sf: str) -> DataFrame:
     t = S.tweets(spark, sf).withColumn("day", F.col("ts").cast("date"))
-    df = asof_join(t, S.daily_bars(spark, sf), "ticker", "symbol", "day", "bar_date", forward=True, segment="year")
+    df = asof_join(t, S.daily_bars(spark, sf), "ticker", "symbol", "day", "bar_date", forward=True, segment="hour")
     return df.select("id", F.col("open").alias("price_next_open"), F.col("bar_date").alias("next_date"), F.when(F.col("open").isNull(), "next_open_unavailable").otherwise("next_open_available").alias("price_next_open_flag"))
 
 
@@ -144,7 +144,7 @@ entries AS (SELECT id, ts, ticker, author, text, session, next_date,
 
 def _entries(spark: SparkSession, sf: str) -> DataFrame:
     t = market.with_session(S.tweets(spark, sf), market.calendar(spark, FIRST, LAST)).withColumn("et_date", F.col("ts").cast("date"))
-    return with_entry_price(t, S.daily_bars(spark, sf), S.intraday_bars(spark, sf), "year")
+    return with_entry_price(t, S.daily_bars(spark, sf), S.intraday_bars(spark, sf), "hour")
 
 
 @query(f"WITH {ENTRIES} SELECT id, session, entry_price, entry_price_flag, price_next_open, price_next_open_flag FROM entries")
