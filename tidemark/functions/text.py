@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Mapping, Sequence
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from .keywords import Automaton
+
 # Characters and what the cleaner makes of them.
 REMOVED = "\u200b\u200c\u200d\u2060\ufffc\u20e3"
 BLANKS = "\u202f\u00a0\u2009\u2002"
@@ -44,27 +46,24 @@ DROPPED = "⬛▪▫◾●"
 # Ranges whose other signs go.
 REST = re.compile("[\U0001f300-\U0001f9ff\u2600-\u27bf\U0001fa00-\U0001faff\U0001f1e0-\U0001f1ff\U0001f000-\U0001f02f\ufe00-\ufe0f\U000e0000-\U000e007f]+")
 
-# Topics in order of precedence, and the substrings that show them.  Left out
-# are entries that hold another one of the same topic, for they can't decide anything.
+# Topics in order of precedence, and the substrings that show them.
 TOPICS: dict[str, list[str]] = {
-    "Earnings": ["earnings", "quarter", "q1", "q2", "q3", "q4", "1q", "2q", "3q", "4q", "eps", "fiscal", "fy25", "fy26", "annual report", "beats estimate", "misses estimate", "net income", "gross margin", "operating income", "ebitda", "beats expectations", "misses expectations"],
-    "Mergers & Acquisitions": ["acquisition", "acquire", "buyout", "takeover", "bought", "purchase", "acquiring", "merge", "consolidation", "joint venture", "spinoff", "spin-off", "divestiture", "sale of", "sells stake"],
-    "Guidance & Forecasts": ["guidance", "forecast", "outlook", "projection", "expects", "anticipates", "target", "pt ", "pt:", "estimate", "analyst", "upgrade", "downgrade", "rating", "initiates coverage", "raises", "lowers", "reaffirms", "maintains", "sees", "guides", "2025e", "2026e", "2027e", "forward", "next quarter"],
-    "Regulatory & Legal": ["litigation", "legal", "court", "judge", "ruling", "regulation", "regulatory", "sec ", "ftc", "doj", "fda", "fcc", "antitrust", "investigation", "probe", "fine", "penalty", "settlement", "compliance", "violation", "sanction", "policy", "law", "ban", "approved by", "approval", "denied", "patent", "copyright"],
+    "Earnings": ["earnings", "quarter", "q1", "q2", "q3", "q4", "1q", "2q", "3q", "4q", "eps", "fiscal", "fy25", "fy26", "quarterly", "annual report", "beats estimate", "misses estimate", "earnings report", "earnings preview", "earnings call", "net income", "gross margin", "operating income", "ebitda", "beats expectations", "misses expectations"],
+    "Mergers & Acquisitions": ["merger", "acquisition", "acquire", "buyout", "takeover", "bought", "purchase", "acquiring", "merge", "consolidation", "joint venture", "spinoff", "spin-off", "demerger", "divestiture", "sale of", "sells stake"],
+    "Guidance & Forecasts": ["guidance", "forecast", "outlook", "projection", "expects", "anticipates", "target", "price target", "pt ", "pt:", "estimate", "analyst", "upgrade", "downgrade", "rating", "initiates coverage", "raises", "lowers", "reaffirms", "maintains", "sees", "guides", "2025e", "2026e", "2027e", "forward", "next quarter"],
+    "Regulatory & Legal": ["lawsuit", "litigation", "legal", "court", "judge", "ruling", "regulation", "regulatory", "sec ", "ftc", "doj", "fda", "fcc", "antitrust", "investigation", "probe", "fine", "penalty", "settlement", "compliance", "violation", "sanction", "policy", "law", "ban", "approved by", "approval", "denied", "patent", "copyright"],
     "Product Launch": ["launches", "unveiled", "announces new", "new product", "new feature", "released", "rolls out", "introducing", "debut", "new service", "new model", "version", "update", "upgrade to", "expands distribution", "now available", "coming soon", "pre-order", "delayed", "postponed", "canceled", "cancelled", "scrapped", "shelved", "foldable", "launch plans"],
     "Partnerships & Deals": ["partnership", "partners with", "collaboration", "deal with", "agreement with", "contract", "signs", "expands at", "distribution", "teams up", "joins forces", "alliance", "works with", "in talks", "negotiating", "discussing", "considering", "exploring", "cloud deal", "strategic deal", "interest from", "interested parties"],
     "Market Data": ["market cap", "stock price", "share price", "trading at", "trillion", "valuation", "shares", "stock is moving", "from $", "to $", "historical", "all-time", "since", "million to", "billion to"],
-    "Company Strategy": ["plans to", "strategy", "expansion", "expanding", "automation", "automate", "operations", "restructuring", "reorganization", "scaling", "growth plan", "investing in", "focuses on", "pivoting", "shift", "transformation", "initiative", "robots", "replace", "workforce", "ai-powered", "up for sale", "received interest", "snag the", "potentially", "reinvent", "effort to", "development", "breakthrough"],
+    "Company Strategy": ["plans to", "strategy", "expansion", "expanding", "automation", "automate", "operations", "restructuring", "reorganization", "scaling", "growth plan", "investing in", "focuses on", "pivoting", "shift", "transformation", "initiative", "robots", "replace", "workforce", "ai-powered", "digital transformation", "up for sale", "received interest", "snag the", "potentially", "reinvent", "effort to", "development", "breakthrough"],
     "Company Metrics": ["million users", "billion users", "customers", "subscribers", "hosted on", "operates", "manages", "revenue of", "sales of", "grew by", "increased by", "decreased by", "user growth", "active users", "monthly active", "daily active"],
-    "Personnel Changes": ["ceo", "chief financial", "cfo", "cto", "coo", "executive", "appoints", "hired", "hires", "joins as", "steps down", "resigns", "departing", "layoffs", "cuts", "fires", "replaces", "names", "promoted to"],
+    "Personnel Changes": ["ceo", "chief executive", "chief financial", "cfo", "cto", "coo", "executive", "appoints", "hired", "hires", "joins as", "steps down", "resigns", "departing", "layoffs", "cuts", "fires", "replaces", "names", "promoted to"],
     "Breaking News": ["breaking", "alert", "just in", "developing", "urgent", "shutdown", "crisis", "crash", "surge", "plunge", "spike", "record high", "record low", "halt", "suspended", "emergency", "unprecedented"],
 }
 OTHER = "Other"
 MIN_LENGTH = 60
 
 
-#: Runs of characters outside ASCII, the only ones that are folded or replaced.
-_OTHER_RUN = re.compile("[^\x00-\x7f]+")
 _BLANKS, _LINK, _ESCAPE = re.compile(" {2,}"), re.compile(r"https?://[^\s]+"), re.compile(r"\\([()[\]{}.,!?\-'#+_])")
 
 
@@ -73,45 +72,57 @@ def _replacements(quotes: bool) -> dict[int, str]:
     return str.maketrans(table)
 
 
-def normalized(texts: pd.Series, quotes: bool = False) -> pd.Series:
-    """Compatibility forms folded, signs and emoji as tokens, single blanks.
+def _cleaner(quotes: bool) -> Callable[[str], str]:
+    """A text's compatibility forms folded, signs and emoji as tokens, single blanks.
 
-    Curly quotes stay as they are unless ``quotes``.  Null and empty texts are returned.
-    ASCII texts, and the ASCII parts of others, are only looked at for blanks.
+    Only runs of signs that change are looked up; letters of any script are passed over.
     """
     table = _replacements(quotes)
+    signs = re.compile(f"[{''.join(map(re.escape, map(chr, table)))}{REST.pattern[1:-2]}]+")
 
     def run(found: re.Match) -> str:
         return REST.sub("", found[0].translate(table))
 
-    def one(text):
-        if not text:
-            return text
+    def clean(text: str) -> str:
         if not text.isascii():
-            text = _OTHER_RUN.sub(run, unicodedata.normalize("NFKC", text))
+            text = signs.sub(run, unicodedata.normalize("NFKC", text))
         return (_BLANKS.sub(" ", text) if "  " in text else text).strip()
 
-    return texts.map(one, na_action="ignore")
+    return clean
+
+
+def normalized(texts: pd.Series, quotes: bool = False) -> pd.Series:
+    """Compatibility forms folded, signs and emoji as tokens, single blanks.
+
+    Curly quotes stay as they are unless ``quotes``.  Null and empty texts are returned.
+    """
+    clean = _cleaner(quotes)
+    return texts.map(lambda text: clean(text) if text else text, na_action="ignore")
 
 
-@F.pandas_udf(StringType())
-def clean_for_model(texts: pd.Series) -> pd.Series:
-    return normalized(texts)
+@F.arrow_udf(StringType())
+def clean_for_model(texts: pa.Array) -> pa.Array:
+    clean = _cleaner(False)
+    return pa.array([clean(x) if x else x for x in texts.to_pylist()], pa.string())
 
 
-@F.pandas_udf(StringType())
-def clean_message(texts: pd.Series) -> pd.Series:
+@F.arrow_udf(StringType())
+def clean_message(texts: pa.Array) -> pa.Array:
     """Links and blank lines go, escapes are undone, lines are joined, then as above."""
+    clean = _cleaner(False)
 
-    def one(text):
+    def one(text: str) -> str:
         if "://" in text:
             text = _LINK.sub("", text)
-        lines = [x for x in map(str.strip, text.split("\n")) if x]
+        if "\n" in text:
+            text = "\n".join([x for x in map(str.strip, text.split("\n")) if x])
+        else:
+            text = text.strip()
         if "\\" in text:
-            return _ESCAPE.sub(r"\1", "\n".join(lines)).replace("\n", " ")
-        return " ".join(lines)
+            text = _ESCAPE.sub(r"\1", text)
+        return clean(text.replace("\n", " "))
 
-    return normalized(texts.map(one, na_action="ignore"))
+    return pa.array([x and one(x) for x in texts.to_pylist()], pa.string())
 
 
 def tickers(text: Column) -> Column:
@@ -137,16 +148,13 @@ def is_valid(text: Column, least: int = MIN_LENGTH) -> Column:
 
 def categorized(text: Column, topics: Mapping[str, Sequence[str]] = TOPICS) -> Column:
     """The first topic one of whose substrings the lower-cased text holds, else ``OTHER``."""
+    automaton = Automaton(topics)
 
-    def first_of(low: Column) -> Column:
-        out = F.lit(OTHER)
-        for name, words in reversed(topics.items()):
-            hit = reduce(Column.__or__, [F.contains(low, F.lit(w)) for w in words])
-            out = F.when(hit, name).otherwise(out)
-        return out
+    @F.arrow_udf(StringType())
+    def topic(low: pa.Array) -> pa.Array:
+        return automaton.topics(low, OTHER)
 
-    # A one-element array's transform names the lower-cased text, so that it is made once.
-    return F.transform(F.array(F.lower(text)), first_of)[0]
+    return topic(F.lower(text))
 
 
 def tweet_hash(text: Column) -> Column:
