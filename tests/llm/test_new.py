@@ -10,11 +10,14 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import hard_negatives as hard
-from tidemark.llm import spelling
+from tidemark.llm import spelling, toxicity
 from tidemark.llm.byte_bpe import Encoder, decoded, encoded, read_ranks, tokenizer_path, tokenizer_pattern
+from tidemark.llm.common import BYTES, LANES, MIX, POSITION
 from tidemark.llm.queries import ORACLES, QUERIES
+from tidemark.llm.toxicity import clean, toxicity_scores
 
 
 def mined(rows, every=100):
@@ -223,3 +226,90 @@ def test_op12_on_the_table(spark, sf):
 
 def test_op11_equals_its_sql(spark, sf, duck, same):
     same(QUERIES["op11_hard_negatives"](spark, sf).toPandas(), duck(sf, ORACLES["op11_hard_negatives"]))
+
+
+# ---------------------------------------------------------------- op8
+
+
+def toxic_rows(n=1200):
+    r = np.random.default_rng(5)
+    vocab = [f"w{k}" for k in range(400)]
+    rows, labels = [], []
+    for i in range(n):
+        words = list(r.choice(vocab, r.integers(5, 60)))
+        toxic = i % 8 == 0
+        if toxic:
+            words.insert(r.integers(len(words)), r.choice(["Vile!", "vile", "awful,"]))
+        rows.append((i, " ".join(words), "x", 0.5))
+        labels.append((i, int(toxic)))
+    return rows, labels
+
+
+def test_toxicity_on_held_out_rows(spark):
+    rows, labels = toxic_rows()
+    rows += [(5000, None, "x", 0.5), (5001, "", "x", 0.5), (None, "vile vile", "x", 0.5), (5002, "w1 " * 100_000 + "vile", "x", 0.5), (3, rows[3][1], "x", 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y string, score double")
+    lab = spark.createDataFrame(labels + [(None, 1), (4, None)], "doc_id long, toxic int")
+    out = toxicity_scores(docs, lab).toPandas()
+    assert len(out) == len(rows)
+    known = out[out.doc_id < 1200].drop_duplicates("doc_id").set_index("doc_id")
+    held = [i for i in range(1200) if zlib.crc32(str(i).encode()) % 4 == 2]
+    assert set(known.index[known.held_out]) == set(held)
+    assert np.mean([known.predicted[i] == (i % 8 == 0) for i in held]) > 0.97
+    assert out[out.doc_id == 5002].predicted.item() == 1 and out[out.doc_id == 5000].score.item() == out[out.doc_id == 5001].score.item()
+    kept = {x.doc_id for x in clean(docs, lab).collect()}
+    assert kept == set(out[out.predicted == 0].doc_id.dropna().astype(int)) | ({None} if (out[out.doc_id.isna()].predicted == 0).all() else set())
+    none = toxicity_scores(docs.limit(3), lab.limit(0)).collect()
+    assert [x.score for x in none] == [0.0] * 3 and toxicity_scores(docs.limit(0), lab).collect() == []
+
+
+def plain_slots(text, bits):
+    """Slots of a text's words, pairs and skip-grams, one number at a time."""
+    import re
+
+    mask = 2**64 - 1
+
+    def mixed(h):
+        for m in MIX:
+            h = ((h ^ (h >> 33)) * int(m)) & mask
+        return h ^ (h >> 33)
+
+    words = []
+    for w in re.findall(rb"[0-9A-Za-z\x80-\xff]+", (text or "").encode()):
+        h = sum(int(BYTES[b]) * pow(int(POSITION), k, 2**64) for k, b in enumerate(w)) & mask
+        words.append(mixed(h))
+    lane = [int(x) for x in LANES[:6]]
+    found = {mixed(w * lane[0] & mask) for w in words}
+    for gap in (1, 2):
+        found |= {mixed((a * lane[2 * gap] + b * lane[2 * gap + 1]) & mask) for a, b in zip(words, words[gap:], strict=False)}
+    return {h >> (64 - bits) for h in found}
+
+
+def test_scores_equal_plain_learning(spark):
+    rows, labels = toxic_rows(200)
+    rows += [(900, None, "x", 0.5), (901, "", "x", 0.5), (902, "Äpfel-Birnen vile 1st", "x", 0.5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, y string, score double")
+    lab = spark.createDataFrame([*labels, (900, 1), (17, 0)], "doc_id long, toxic int")
+    got = {x.doc_id: x.score for x in toxicity_scores(docs, lab).collect()}
+    order = [x.doc_id for x in docs.orderBy(F.xxhash64("doc_id")).collect()]
+    truth = dict([*labels, (900, 1)])
+    bits = toxicity.BITS
+    slots = {i: [*plain_slots(t, bits), "bias"] for i, t, *_ in rows}
+    learnt = [i for i in order if i in truth and zlib.crc32(str(i).encode()) % 4 != 2]
+    model = toxicity.Ftrl(1)
+    alpha, beta, l1, l2 = model.alpha, model.beta, model.l1, model.l2
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(s):
+        return 0.0 if abs(z[s]) <= l1 else -(z[s] - math.copysign(l1, z[s])) / ((beta + math.sqrt(n[s])) / alpha + l2)
+
+    for epoch in range(toxicity.EPOCHS):
+        for k in np.random.Generator(np.random.PCG64(epoch)).permutation(len(learnt)):
+            own = slots[learnt[k]]
+            w = {s: weight(s) for s in own}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - truth[learnt[k]]
+            for s in own:
+                z[s] += g - (math.sqrt(n[s] + g * g) - math.sqrt(n[s])) / alpha * w[s]
+                n[s] += g * g
+    want = {i: 1 / (1 + math.exp(-sum(map(weight, own)))) for i, own in slots.items()}
+    assert got == pytest.approx(want, abs=1e-9) and len({round(x, 6) for x in got.values()}) > 2
