@@ -20,13 +20,13 @@ def run(spark, *args):
 def test_sync_by_account_range_and_status(spark, tmp_path, capfd):
     store, landing = tmp_path / "store", tmp_path / "landing"
     source = ("--landing", landing, "--store", store, "--pause", 0, "--source")
-    run(spark, "twitter-sync", *source, "tidemark.plans.source_queries:page", "--account", "1", "2", "11", "--max-tweets", 5)
+    run(spark, "twitter-sync", *source, "test_crawl:page", "--account", "1", "2", "11", "--max-tweets", 5)
     ids = lambda: sorted(int(r.id) for r in spark.read.parquet(f"{store}/raw").collect())
     assert ids() == [1000, 1001, 1002, 1003, 1004, 2000, 2001, 2002, 2003, 2004]
-    run(spark, "twitter-sync", *source, "tidemark.plans.source_queries:page", "--account", "1", "2")
+    run(spark, "twitter-sync", *source, "test_crawl:page", "--account", "1", "2")
     assert len(ids()) == 10  # the first tweet is known
     (tmp_path / "accounts").write_text("1\n")
-    run(spark, "twitter-sync", *source, "tidemark.plans.source_queries:search", "--accounts-file", tmp_path / "accounts", "--since", "2024-02-29", "--until", "2024-03-01")
+    run(spark, "twitter-sync", *source, "test_crawl:search", "--accounts-file", tmp_path / "accounts", "--since", "2024-02-29", "--until", "2024-03-01")
     assert ids()[:12] == list(range(1000, 1012)) and len(ids()) == 17
     run(spark, "twitter-status", "--store", store)
     assert "no such account" in capfd.readouterr().out

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.timezones import api_time
-from ..scratch import saved
+from ..scratch import saved, scratch_path
 
 #: ``page(account, cursor)``: tweets, newest first, and the next cursor (None: no more).
 Page = Callable[[str, str | None], tuple[list[dict], str | None]]
@@ -32,7 +32,17 @@ def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
-def _fetched(open_accounts: DataFrame, page: Page, pause: float) -> DataFrame:
+def _tried(page: Page, account: str, cursor: str | None, retries: int, pause: float) -> tuple[list[dict], str | None]:
+    for left in range(retries - 1, -1, -1):
+        try:
+            return page(account, cursor)
+        except Exception:
+            if not left:
+                raise
+            time.sleep(pause)
+
+
+def _fetched(open_accounts: DataFrame, page: Page, pause: float, retries: int) -> DataFrame:
     """One page of each ``(account, cursor)``; an empty or failed one is a row without an id."""
     kinds = [*[pa.string()] * 4, pa.int32(), pa.string(), pa.string()]
     names = [x.split()[0] for x in PAGE_ROW.split(", ")]
@@ -41,7 +51,7 @@ def _fetched(open_accounts: DataFrame, page: Page, pause: float) -> DataFrame:
         for batch in batches:
             for account, cursor in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
-                    tweets, after = page(account, cursor)
+                    tweets, after = _tried(page, account, cursor, retries, pause)
                     rows = [(account, t["id"], t.get("createdAt"), json.dumps(t), k, after, None) for k, t in enumerate(tweets)]
                 except Exception as e:  # one account's failure is data, not the job's end
                     rows, after = [(account, None, None, None, 0, None, f"{type(e).__name__}: {e}")], None
@@ -51,26 +61,30 @@ def _fetched(open_accounts: DataFrame, page: Page, pause: float) -> DataFrame:
     return open_accounts.select("account", "cursor").repartition("account").mapInArrow(run, PAGE_ROW)
 
 
-def crawled(accounts: DataFrame, page: Page, known: DataFrame | None = None, until: date | None = None, most: int | None = None, cursors: DataFrame | None = None, pause: float = 0.0, rounds: int = 100_000) -> DataFrame:
+def crawled(accounts: DataFrame, page: Page, known: DataFrame | None = None, until: date | None = None, most: int | None = None, cursors: DataFrame | None = None, pause: float = 0.0, retries: int = 1) -> DataFrame:
     """``(account, id, created, json_data, error)``: new tweets of all accounts.
 
     Without ``until`` an account is crawled up to its first known id; with it known ids are
     skipped, and the crawl ends with the page that holds an older tweet (its older tweets go).
     It also ends with ``most`` new tweets, without a next cursor, on an empty page, and on an
-    error, which is a row without an id.  ``cursors`` ``(account, cursor)`` resume a crawl;
-    ``pause`` seconds lie between two requests of a task.
+    error of the ``retries``-th try, which is a row without an id.  A crawl goes on while any
+    account has a next cursor.  ``cursors`` ``(account, cursor)`` resume a crawl; ``pause``
+    seconds lie between two requests of a task.
+
+    Each round's rows are appended to one folder, which later rounds read for known ids.
     """
     spark = accounts.sparkSession
     known = saved(known.select(F.col("id").alias("known_id")).distinct(), "known") if known is not None else spark.createDataFrame([], "known_id string")
     state = accounts.select("account").distinct()
     state = state.join(cursors, "account", "left") if cursors is not None else state.withColumn("cursor", F.lit(None).cast("string"))
     state = saved(state.withColumn("found", F.lit(0).cast("long")), "crawl-state")
-    out = []
-    for _ in range(rounds):
-        pages = saved(_fetched(state, page, pause), "pages")
+    folder, number, schema = scratch_path(spark, "crawl"), 0, None
+    while True:
+        pages = saved(_fetched(state, page, pause, retries), "pages")
         seen = F.col("known_id").isNotNull()
         old = (F.to_date(api_time(F.col("created"))) < F.lit(until)) if until else F.lit(False)
-        marked = pages.join(known, F.col("id") == F.col("known_id"), "left").withColumns({"seen": seen, "old": F.coalesce(old, F.lit(False))})
+        before = known if schema is None else known.unionByName(spark.read.schema(schema).parquet(f"{folder}/*").where("fresh").select(F.col("id").alias("known_id")))
+        marked = pages.join(before.distinct(), F.col("id") == F.col("known_id"), "left").withColumns({"seen": seen, "old": F.coalesce(old, F.lit(False))})
         marked = marked.join(state.select("account", "found"), "account")
         order = Window.partitionBy("account").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
         ended = F.max(F.col("seen") | F.col("old")).over(order) if until is None else F.col("seen") | F.col("old")
@@ -78,19 +92,16 @@ def crawled(accounts: DataFrame, page: Page, known: DataFrame | None = None, unt
         kept = kept.withColumn("number", F.col("found") + F.sum(F.col("fresh").cast("long")).over(order))
         if most:
             kept = kept.withColumn("fresh", F.col("fresh") & (F.col("number") <= most))
-        kept = saved(kept, "kept")
-        out.append(kept.where("fresh or error is not null").select("account", "id", "created", "json_data", "error"))
-        known = known.unionByName(kept.where("fresh").select(F.col("id").alias("known_id")))
+        kept.write.mode("overwrite").parquet(f"{folder}/round-{number}")
+        schema = kept.schema
+        kept = spark.read.schema(schema).parquet(f"{folder}/round-{number}")
+        number += 1
         stop = F.max("old") if until else F.max("seen")
         after = kept.groupBy("account").agg(F.max("next_cursor").alias("cursor"), F.max("number").alias("found"), stop.alias("stop"))
         after = after.where("not stop and cursor is not null" + (f" and found < {most}" if most else ""))
         state = saved(after.select("account", "cursor", "found"), "crawl-state")
         if state.isEmpty():
-            break
-    result = out[0]
-    for more in out[1:]:
-        result = result.unionByName(more)
-    return result
+            return spark.read.schema(schema).parquet(f"{folder}/*").where("fresh or error is not null").select("account", "id", "created", "json_data", "error")
 
 
 def searched(ranges: DataFrame, search: Search, known: DataFrame | None = None, retries: int = 3, pause: float = 0.0) -> tuple[DataFrame, DataFrame]:
@@ -126,7 +137,8 @@ def searched(ranges: DataFrame, search: Search, known: DataFrame | None = None,
     got = ranges.select("account", "since", "until").repartition("account", "since").mapInArrow(run, "account string, since date, until date, id string, created string, json_data string, calls int, error string")
     got = saved(got, "searched")
     tweets = got.where("id is not null")
-    once = tweets.dropDuplicates(["id"])
+    first = F.min_by(F.struct("account", "since", "created", "json_data"), F.struct("account", "since"))
+    once = tweets.groupBy("id").agg(first.alias("t")).select("t.account", "t.since", "id", "t.created", "t.json_data")
     if known is not None:
         once = once.join(known.select("id"), "id", "left_anti")
     once = saved(once.select("account", "since", "id", "created", "json_data"), "new-tweets")

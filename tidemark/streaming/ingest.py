@@ -6,13 +6,16 @@ batches are written by their number, so a repetition replaces what it wrote befo
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import processed
-from ..sources.raw import PAGE, page_tweets
+from ..sources.pages import read_landed, tweets_of
+from ..sources.raw import PAGE, page_tweets, parse_json
 
 
 def landed_pages(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -27,11 +30,8 @@ def new_tweets(pages: DataFrame, lateness: str = "7 days") -> DataFrame:
     return page_tweets(pages).where("ts is not null").withWatermark("ts", lateness).dropDuplicatesWithinWatermark(["id"])
 
 
-def sync(spark: SparkSession, landing: str, store: str, checkpoint: str, least: int = 30, files_per_batch: int | None = None) -> StreamingQuery:
-    """Append new tweets to ``store``/raw and their rows per ticker to ``store``/processed.
-
-    Ids that earlier batches stored are left out by an anti-join, however late they come.
-    """
+def _commits(store: str, least: int) -> Callable[[DataFrame, int], None]:
+    """Writes a batch's new tweets and their rows per ticker under the batch's number."""
 
     def commit(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
@@ -50,8 +50,25 @@ def sync(spark: SparkSession, landing: str, store: str, checkpoint: str, least:
             df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{store}/{name}")
         rows.unpersist()
 
-    pages = page_tweets(landed_pages(spark, landing, files_per_batch))
-    return pages.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return commit
+
+
+def sync(spark: SparkSession, landing: str, store: str, checkpoint: str, least: int = 30, files_per_batch: int | None = None) -> StreamingQuery:
+    """Append new tweets to ``store``/raw and their rows per ticker to ``store``/processed.
+
+    Ids that earlier batches stored are left out by an anti-join, however late they come.
+    """
+    tweets = page_tweets(landed_pages(spark, landing, files_per_batch))
+    return tweets.writeStream.foreachBatch(_commits(store, least)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def sync_landed(spark: SparkSession, path: str, store: str, checkpoint: str, least: int = 30) -> StreamingQuery:
+    """The same from landings: the checkpoint's offset is the last landing that was read.
+
+    Failed pages have no tweets; they come with the landing that has the page again.
+    """
+    tweets = parse_json(tweets_of(read_landed(spark, path, stream=True)))
+    return tweets.writeStream.foreachBatch(_commits(store, least)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def bar_stream(ticks: DataFrame, width: str = "15 minutes", lateness: str = "1 hour") -> DataFrame:
