@@ -20,6 +20,7 @@ from .operators import bars, metrics, state, validate
 from .operators.indicators import NUMERICAL
 from .plans import enrich, model
 from .sources import crawl, raw, sinks
+from .sources.versioned import Store
 
 
 def _between(df: DataFrame, since: str | None, until: str | None, ts: str = "ts") -> DataFrame:
@@ -47,6 +48,12 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
         return None
 
 
+def _bars(spark: SparkSession, path: str) -> DataFrame:
+    """A store that is merged in place, or folders by symbol."""
+    rows = Store(spark, path).read()
+    return raw.read_bars(spark, path) if rows is None else rows
+
+
 def twitter_sync(spark: SparkSession, a) -> None:
     """Crawl with ``--source`` (a page function, or a search function where ``--since`` is
     given), land what is new, and store what landed."""
@@ -86,16 +93,17 @@ def twitter_export(spark: SparkSession, a) -> None:
 
 
 def ohlcv_sync(spark: SparkSession, a) -> None:
-    fetched = raw.read_feather_bars(spark, a.landing, "bar_ts" if a.intraday else "bar_date")
+    """Merge landed bars into the store in place: only the symbols' buckets are written."""
     time = "bar_ts" if a.intraday else "bar_date"
-    stored = _stored(spark, a.store)
-    stored = fetched.limit(0) if stored is None else stored.select(*fetched.columns)
-    merged = (bars.prepended if a.backfill else bars.appended)(stored, fetched, time)
-    sinks.write_bars(merged, a.output)  # another folder than the one that is read
+    fetched = raw.read_feather_bars(spark, a.landing, time)
+    store = Store(spark, a.store, ["symbol"], a.buckets)
+    merge = bars.prepended if a.backfill else bars.appended
+    print(f"version {store.merge(fetched, lambda old, new: merge(old, new, time), order=['symbol', time])}")
+    store.vacuum()
 
 
 def ohlcv_status(spark: SparkSession, a) -> None:
-    daily, intraday = raw.read_bars(spark, a.daily_dir), raw.read_bars(spark, a.intraday_dir)
+    daily, intraday = _bars(spark, a.daily_dir), _bars(spark, a.intraday_dir)
     report = bars.coverage(daily.select("symbol").distinct(), daily, intraday).orderBy("symbol")
     report.show(10 if a.details else 0, truncate=False)
     report.groupBy("status").count().show()
@@ -106,7 +114,7 @@ def prepare(spark: SparkSession, a) -> None:
     tweets = _between(tweets.withColumn("ts", F.col("ts").cast("timestamp_ntz")), a.since, a.until)
     if a.exclude:
         tweets = tweets.join(spark.read.text(a.exclude).toDF("ticker"), "ticker", "left_anti")
-    daily, intraday = raw.read_bars(spark, a.daily_dir), raw.read_bars(spark, a.intraday_dir)
+    daily, intraday = _bars(spark, a.daily_dir), _bars(spark, a.intraday_dir)
     out = enrich.enriched(tweets, daily, intraday, daily.where("symbol = 'SPY'"), spark.read.json(a.metadata), market.calendar(spark))
     sinks.write_dataset(out, a.output)
 
@@ -181,7 +189,7 @@ COMMANDS = {
     "twitter-sync": (twitter_sync, [("--landing", {}), ("--store", {}), ("--source", {}), ("--account", {"nargs": "*"}), ("--accounts-file", {}), ("--full", {"action": "store_true"}), ("--max-tweets", {"type": int}), ("--backfill-to", {}), ("--since", {}), ("--until", {}), ("--pause", {"type": float, "default": 0.2}), ("--estimate", {"action": "store_true"}), ("--accounts", {"type": int, "default": 6}), ("--months", {"type": int, "default": 1}), ("--files-per-batch", {"type": int})]),
     "twitter-status": (twitter_status, [("--store", {"required": True}), ("--rows", {"type": int, "default": 100})]),
     "twitter-export": (twitter_export, [("--store", {"required": True}), ("--output", {"required": True}), ("--since", {}), ("--until", {}), ("--account", {}), ("--ticker", {})]),
-    "ohlcv-sync": (ohlcv_sync, [("--landing", {"required": True}), ("--store", {"required": True}), ("--output", {"required": True}), ("--intraday", {"action": "store_true"}), ("--backfill", {"action": "store_true"})]),
+    "ohlcv-sync": (ohlcv_sync, [("--landing", {"required": True}), ("--store", {"required": True}), ("--buckets", {"type": int, "default": 64}), ("--intraday", {"action": "store_true"}), ("--backfill", {"action": "store_true"})]),
     "ohlcv-status": (ohlcv_status, [("--daily-dir", {"required": True}), ("--intraday-dir", {"required": True}), ("--details", {"action": "store_true"})]),
     "prepare": (prepare, [("--tweets", {"required": True}), ("--output", {"required": True}), ("--daily-dir", {"required": True}), ("--intraday-dir", {"required": True}), ("--metadata", {"required": True}), ("--since", {}), ("--until", {}), ("--exclude", {})]),
     "train": (train, [("--data", {"required": True}), ("--output-dir", {"required": True}), ("--temporal-split", {"action": "store_true"}), ("--buy-weight-boost", {"type": float, "default": 1.0}), ("--penalties", {"type": float, "nargs": "*", "default": [0.0, 0.01, 0.1]}), ("--max-iter", {"type": int, "default": 30}), ("--tolerance", {"type": float, "default": 1e-6})]),

@@ -17,15 +17,21 @@ def to_eastern(instant: Column) -> Column:
     return F.from_utc_timestamp(instant, ZONE)
 
 
-def normalized_bars(bars: DataFrame, ts: str = "bar_ts") -> DataFrame:
-    """``bars`` with ``ts`` as an instant; times of the skipped hour move to its end, times
-    of the hour that happens twice go, for they name no instant."""
-    wall = F.col(ts).cast("timestamp")
+def bar_instant(naive: Column) -> Column:
+    """The instant of a bar's New York time: times of the skipped hour move to its end, times
+    of the hour that happens twice are null, for they name no instant."""
+    wall = naive.cast("timestamp")
     first = F.to_utc_timestamp(wall, ZONE)
     gap = to_eastern(first) != wall
     twice = to_eastern(first + F.expr("interval 1 hour")) == wall
     moved = F.to_utc_timestamp(F.date_trunc("hour", to_eastern(first)), ZONE)
-    return bars.where(~twice).withColumn(ts, F.when(gap, moved).otherwise(first))
+    return F.when(~twice, F.when(gap, moved).otherwise(first))
+
+
+def normalized_bars(bars: DataFrame, ts: str = "bar_ts") -> DataFrame:
+    """``bars`` with ``ts`` as an instant; those of the hour that happens twice go."""
+    instant = bar_instant(F.col(ts))
+    return bars.where(instant.isNotNull()).withColumn(ts, instant)
 
 
 def api_time(text: Column) -> Column:

@@ -12,11 +12,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import timezones as Z
+from ..operators import bars as B
 from ..scratch import scratch_path
 from ..sources import crawl as C
 from ..sources import pages as P
 from ..sources import raw, sinks, stores
 from ..sources import tables as S
+from ..sources.versioned import Store, upserted
 from ..streaming.ingest import sync_landed
 
 QUERIES: dict = {}
@@ -217,3 +219,36 @@ def metadata_read_through(spark, sf):
     sinks.write_metadata(s.where("k % 2 = 0").select("ticker", F.lit("Stored").alias("sector"), F.lit("mega_cap").alias("market_cap_bucket")), path)
     s.where("k % 5 <> 0").select("ticker", F.col("s_name").alias("sector"), F.when(F.col("s_acctbal") >= 5000, "large_cap").otherwise("small_cap").alias("market_cap_bucket")).write.parquet(there)
     return C.with_metadata(s.select("ticker"), raw.read_metadata_rows(spark, path), stores.metadata_finder(there))
+
+
+# ---------------------------------------------------------------- stores that are merged in place
+
+
+@query(f"WITH {S.DAILY} SELECT symbol, bar_date, open, high, low, close, volume FROM daily")
+def store_bars(spark, sf):
+    """Bars of two syncs, then of a backfill, in one versioned store; a repeated sync adds none."""
+    bars, store = S.daily_bars(spark, sf), Store(spark, scratch_path(spark, "bars-store"), ["symbol"], 8)
+    for rows, merge in ((bars.where("bar_date between '1997-01-01' and '1998-06-30'"), B.appended), (bars.where("bar_date >= '1998-01-01'"), B.appended), (bars.where("bar_date >= '1998-01-01'"), B.appended), (bars.where("bar_date < '1997-06-01'"), B.prepended)):
+        store.merge(rows, merge, order=["symbol", "bar_date"])
+    return store.read()
+
+
+@query(f"WITH {S.DAILY} SELECT symbol, bar_date, close FROM daily WHERE bar_date < DATE '1998-01-01'")
+def store_of_a_version(spark, sf):
+    """What a reader of the first version sees after later merges."""
+    bars, store = S.daily_bars(spark, sf).select("symbol", "bar_date", "close"), Store(spark, scratch_path(spark, "bars-store"), ["symbol", "bar_date"], 8)
+    store.merge(bars.where("bar_date < '1998-01-01'"), upserted(["symbol", "bar_date"]))
+    store.merge(bars.withColumn("close", F.lit(0.0)), upserted(["symbol", "bar_date"]))
+    return store.read(1)
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS account, CAST(ts AS DATE) AS fetch_date, max(event_id)::BIGINT AS last_id, date_trunc('second', arg_max(ts, event_id)) AS fetched_at FROM events GROUP BY ALL""")
+def store_journal(spark, sf):
+    """The fetch journal, in batches whose last write of an account and day wins."""
+    e = S.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("account"), F.col("ts").cast("date").alias("fetch_date"), F.col("event_id").alias("last_id"), F.date_trunc("second", "ts").cast("timestamp_ntz").alias("fetched_at"))
+    store, keys = Store(spark, scratch_path(spark, "journal-store"), ["account", "fetch_date"], 8), ["account", "fetch_date"]
+    cut = e.agg((F.max("last_id") / 2).cast("long").alias("c")).first().c or 0
+    for number, batch in enumerate((e.where(F.col("last_id") <= cut), e.where(F.col("last_id") > cut))):
+        for _ in range(2):  # the second time nothing changes
+            store.merge(batch, upserted(keys, "last_id"), batch=("journal", number))
+    return store.read()

@@ -117,14 +117,18 @@ def text_is_valid(spark, sf):
     return S.table(spark, sf, "documents").select("doc_id", X.is_valid(F.col("text")).alias("is_valid"))
 
 
-@query("""WITH h AS (SELECT event_id, date_trunc('hour', ts) AS wall FROM events), z AS (SELECT *, timezone('UTC', timezone('America/New_York', wall)) AS instant FROM h)
-SELECT event_id, instant AS bar_ts FROM z WHERE timezone('America/New_York', timezone('UTC', instant)) = wall
-  AND timezone('America/New_York', timezone('UTC', instant + INTERVAL 1 HOUR)) <> wall AND timezone('America/New_York', timezone('UTC', instant - INTERVAL 1 HOUR)) <> wall""")
+#: Each event at its own time, and in the hours that clocks skipped and repeated that year.
+WALLS = """walls AS (SELECT event_id, unnest([ts, TIMESTAMP '2024-03-10 02:00:00' + to_microseconds(epoch_us(ts) % 3600000000), TIMESTAMP '2024-11-03 01:00:00' + to_microseconds(epoch_us(ts) % 3600000000)]) AS wall FROM events)"""
+
+
+@query(f"""WITH {WALLS}, z AS (SELECT *, wall >= TIMESTAMP '2024-03-10 02:00:00' AND wall < TIMESTAMP '2024-03-10 03:00:00' AS skipped, wall >= TIMESTAMP '2024-11-03 01:00:00' AND wall < TIMESTAMP '2024-11-03 02:00:00' AS twice FROM walls)
+SELECT event_id, wall, CASE WHEN skipped THEN TIMESTAMP '2024-03-10 07:00:00' ELSE timezone('UTC', timezone('America/New_York', wall)) END AS bar_ts FROM z WHERE NOT twice""")
 def bars_to_instants(spark, sf):
-    """Bars of all hours but the two that clocks shift, from wall clock to instants."""
-    rows = S.table(spark, sf, "events").select("event_id", F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("wall")).withColumn("bar_ts", F.col("wall"))
-    out = Z.normalized_bars(rows)
-    return out.where(Z.to_eastern(F.col("bar_ts")) == F.col("wall").cast("timestamp")).select("event_id", F.col("bar_ts").cast("timestamp_ntz").alias("bar_ts"))
+    """Bars from wall clock to instants: the skipped hour moves to its end, the repeated one goes."""
+    part = F.make_dt_interval(secs=(F.unix_micros(F.col("ts").cast("timestamp")) % 3_600_000_000) / 1_000_000)
+    walls = F.array("ts", *[(F.lit(t).cast("timestamp_ntz") + part).cast("timestamp_ntz") for t in ("2024-03-10 02:00:00", "2024-11-03 01:00:00")])
+    rows = S.table(spark, sf, "events").select("event_id", F.explode(walls).alias("wall")).withColumn("bar_ts", F.col("wall"))
+    return Z.normalized_bars(rows).select("event_id", "wall", F.col("bar_ts").cast("timestamp_ntz").alias("bar_ts"))
 
 
 @query("SELECT event_id, timezone('America/New_York', timezone('UTC', ts)) AS eastern FROM events")

@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.timezones import api_time
+from ..functions.timezones import api_time, bar_instant
 from ..operators.indicators import NUMERICAL
 from ..operators.prep import require_columns
 
@@ -62,21 +62,29 @@ def read_bars(spark: SparkSession, path: str, symbols: list[str] | None = None)
 
 
 def read_feather_bars(spark: SparkSession, path: str, time: str = "bar_date") -> DataFrame:
-    """Bars of Feather files named after their symbol, wherever Spark finds them."""
+    """Bars of Feather files named after their symbol, wherever Spark finds them.
+
+    Times without a zone are New York's; those that name no instant are left out.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.feather").load(path).select("path", "content")
-    names = ["symbol", time, "open", "high", "low", "close", "volume"]
+    names = ["symbol", time, "naive", "open", "high", "low", "close", "volume"]
 
     def run(batches):
         for batch in batches:
             for name, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 table = pa.ipc.open_file(content.as_buffer()).read_all()
                 first = "date" if "date" in table.column_names else table.column_names[0]
-                stamp = table[first].cast(pa.timestamp("us")) if not pa.types.is_timestamp(table[first].type) or table[first].type.tz is None else table[first].cast(pa.timestamp("us", tz="UTC"))
-                columns = [pa.array([name.rsplit("/", 1)[-1].removesuffix(".feather").split("_")[0]] * len(table)), stamp.cast(pa.timestamp("us", tz="UTC")).combine_chunks(), *(table[c].cast(pa.float64()).combine_chunks() for c in names[2:])]
+                naive = not pa.types.is_timestamp(table[first].type) or table[first].type.tz is None
+                stamp = (table[first].cast(pa.timestamp("us")) if naive else table[first]).cast(pa.timestamp("us", tz="UTC"))
+                columns = [pa.array([name.rsplit("/", 1)[-1].removesuffix(".feather").split("_")[0]] * len(table)), stamp.combine_chunks(), pa.array([naive] * len(table)), *(table[c].cast(pa.float64()).combine_chunks() for c in names[3:])]
                 yield from pa.Table.from_arrays(columns, names=names).to_batches()
 
-    out = files.mapInArrow(run, INTRADAY.replace("bar_ts", time))
-    return out.withColumn(time, F.from_utc_timestamp(time, "America/New_York").cast("date")) if time == "bar_date" else out
+    out = files.mapInArrow(run, INTRADAY.replace("bar_ts timestamp", f"{time} timestamp, naive boolean"))
+    if time == "bar_date":
+        day = F.when(F.col("naive"), F.col(time)).otherwise(F.from_utc_timestamp(time, "America/New_York")).cast("date")
+        return out.withColumn(time, day).drop("naive")
+    out = out.withColumn(time, F.when(F.col("naive"), bar_instant(F.col(time))).otherwise(F.col(time)))
+    return out.where(F.col(time).isNotNull()).drop("naive")
 
 
 def read_metadata(spark: SparkSession, path: str) -> DataFrame:
