@@ -12,8 +12,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tidemark import scratch
 from tidemark.llm import hard_negatives as hard
-from tidemark.llm import spelling, toxicity
+from tidemark.llm import ngram_jaccard, spelling, toxicity
 from tidemark.llm.byte_bpe import Encoder, decoded, encoded, read_ranks, tokenizer_path, tokenizer_pattern
 from tidemark.llm.common import BYTES, LANES, MIX, POSITION
 from tidemark.llm.queries import ORACLES, QUERIES
@@ -313,3 +314,40 @@ def test_scores_equal_plain_learning(spark):
                 n[s] += g * g
     want = {i: 1 / (1 + math.exp(-sum(map(weight, own)))) for i, own in slots.items()}
     assert got == pytest.approx(want, abs=1e-9) and len({round(x, 6) for x in got.values()}) > 2
+
+
+# ---------------------------------------------------------------- op1 and the pipeline
+
+
+def test_a_list_of_very_many_unlinked_sets_is_handed_on_in_parts(spark, monkeypatch):
+    """Texts that share one passage are in one list and linked with nothing."""
+    monkeypatch.setattr(ngram_jaccard, "FOUND", 500)
+    r = random.Random(3)
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(i, f"{passage} {' '.join(f'{i}w{k}' for k in range(r.choice([12, 13, 14])))}", 1) for i in range(300)]
+    rows += [(1000 + i, rows[i][1] + " more", 1) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sig int")
+    got = {x.doc_id: x.component_id for x in ngram_jaccard.jaccard_components(docs).collect()}
+    sets = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t, _ in rows}
+    root = {i: i for i in sets}
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    assert got == {i: top(i) for i in sets}
+
+
+def test_the_pipeline_leaves_only_what_its_stages_return(spark, sf):
+    import corpus_pipeline
+
+    before = len(scratch._saved)
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    names = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in scratch._saved[before:]]
+    assert names[:4] == ["stage-toxicity", "stage-exact_dedup", "stage-ngram_jaccard", "stage-mixing"]
+    assert spark.read.parquet(scratch._saved[before]).count() > 0

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
 
-from ..scratch import clear_scratch, saved, scratch_path, scratch_root  # noqa: F401  operators take them from here
+from ..scratch import clear_scratch, saved, saved_in_steps, scratch_path, scratch_root  # noqa: F401  operators take them from here
 
 U64 = np.uint64
 

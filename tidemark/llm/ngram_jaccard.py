@@ -43,6 +43,8 @@ BLOCK_TOKENS = 1_000_000
 #: Shared shingles that an owner of sets gets on average.
 OWNER_TOKENS = 2_000_000
 LOCAL_BITS = 20
+#: Pairs of candidates that a task remembers before it hands them on (some 100 bytes each).
+FOUND = 200_000
 #: Names of sets that a task remembers so as to send a repeated one once.
 SEEN_SETS = 200_000
 #: Distinct texts up to which their components (some 20 bytes each) are broadcast; beyond, they are joined.
@@ -391,9 +393,9 @@ def _cross_candidates(postings: DataFrame, percent: int, leaders: bool, open_pai
                         for v in other.tolist():
                             s, t = rows["sig"][i], rows["sig"][v]
                             found[(min(s, t), max(s, t))] = 0
-                if len(found) > 200_000:
-                    yield frame(found)
-                    found = {}
+                    if len(found) > FOUND:  # within a list too: one of m rows may have m^2 / 2 pairs
+                        yield frame(found)
+                        found = {}
             if found:
                 yield frame(found)
 
