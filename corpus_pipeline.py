@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm.common import saved
+from tidemark.llm.common import saved_in_steps
 from tidemark.llm.exact_dedup import deduplicated
 from tidemark.llm.mixing import mixture
 from tidemark.llm.ngram_jaccard import representatives
@@ -66,8 +68,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = saved(docs, f"stage-{name}")
-    return docs
+    for name, stage in STAGES[:-1]:
+        # A stage's own tables go when its result is written; the results of all stages stay.
+        docs = saved_in_steps(partial(stage, spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
