@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import average_rank, positions, student_p
+from . import ranks
+from .ranks import average_rank, correlation, correlation_p, positions
 
 COST, TOP, CONFIDENT, YEAR = 0.001, 0.3, 0.6, 252
 THRESHOLDS = (0.0, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8, 0.85, 0.9)
@@ -52,12 +54,19 @@ def scores(df: DataFrame, *by: str) -> DataFrame:
     return report.groupBy(*by).agg(F.sum("support").alias("n"), (F.sum("tp") / F.sum("support")).alias("accuracy"), F.avg(F.when(seen, F.col("f1"))).alias("f1_macro"), (F.sum(F.col("f1") * F.col("support")) / F.sum("support")).alias("f1_weighted"))
 
 
-def baselines(df: DataFrame) -> DataFrame:
-    """Majority class (the least of a tie) and its share, even odds, and the sum of squares."""
+def _shares(df: DataFrame) -> DataFrame:
     n = df.groupBy("label").agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(Window.partitionBy())  # one row per class
-    n = n.withColumn("p", share)
-    return n.agg(F.max("p").alias("naive_accuracy"), F.max_by("label", F.struct("n", -F.col("label"))).alias("majority_class"), (1 / F.count("*")).alias("random_accuracy"), F.sum(F.col("p") * F.col("p")).alias("weighted_random_accuracy"))
+    return n.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row per class
+
+
+def baselines(df: DataFrame, train: DataFrame | None = None) -> DataFrame:
+    """Majority class (the least of a tie) and its share, even odds, and the sum of squares
+    of the classes' shares, which are those of the rows ``train`` where these are given."""
+    own = _shares(df).agg(F.max("p").alias("naive_accuracy"), F.max_by("label", F.struct("n", -F.col("label"))).alias("majority_class"), (1 / F.count("*")).alias("random_accuracy"), F.sum(F.col("p") * F.col("p")).alias("weighted_random_accuracy"))
+    if train is None:
+        return own
+    known = _shares(train.where("label is not null")).agg(F.sum(F.col("p") * F.col("p")).alias("weighted_random_accuracy"))
+    return own.drop("weighted_random_accuracy").join(known)  # one row each
 
 
 def improvements(df: DataFrame) -> DataFrame:
@@ -99,14 +108,13 @@ def information_coefficient(df: DataFrame) -> DataFrame:
     """``(n, ic)``: rank correlation of p_buy - p_sell and the return."""
     valid = df.where(has_return()).select(bullish().alias("b"), "ret")
     ranked = average_rank(average_rank(valid, "b", "rb"), "ret", "rr")
-    return ranked.agg(F.count("*").alias("n"), F.coalesce(F.corr("rb", "rr"), F.lit(0.0)).alias("ic"))
+    return ranked.agg(F.count("*").alias("n"), F.coalesce(correlation("rb", "rr"), F.lit(0.0)).alias("ic"))
 
 
 def trading_report(df: DataFrame) -> DataFrame:
     """All trading metrics in one row, the p-value of the coefficient included."""
     ic = information_coefficient(df)
-    row = ic.first()
-    ic = ic.withColumn("ic_pvalue", F.lit(student_p(row["ic"], row["n"])))
+    ic = ic.withColumn("ic_pvalue", correlation_p(F.col("ic"), F.col("n")))
     return reduce(lambda a, b: a.join(b), [ic, directional(df), top_trades(df), precision_at(df)])  # one row each
 
 
@@ -167,17 +175,13 @@ def sweep_with_ic(df: DataFrame, thresholds=THRESHOLDS) -> DataFrame:
     Ranks differ from threshold to threshold, so a prediction's two numbers are copied for
     each that it passes, and all thresholds are ranked together.
     """
-    spark = df.sparkSession
     passed = F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: t <= confidence())
     rows = df.where(has_return()).select(F.explode(passed).alias("threshold"), bullish().alias("b"), "ret")
     ranked = average_rank(average_rank(rows, "b", "rb", ["threshold"]), "ret", "rr", ["threshold"])
-    found = {r["threshold"]: r for r in ranked.groupBy("threshold").agg(F.count("*").alias("n"), F.coalesce(F.corr("rb", "rr"), F.lit(0.0)).alias("ic")).collect()}  # a row per threshold
-    ics = []
-    for t in map(float, thresholds):
-        n, ic = (found[t]["n"], found[t]["ic"]) if t in found else (0, 0.0)
-        ics.append((t, float(ic), student_p(ic, n), student_p(ic, n) < 0.05))
-    ics = spark.createDataFrame(ics, "threshold double, ic double, ic_pvalue double, ic_significant boolean")
-    return confidence_sweep(df, thresholds).join(F.broadcast(ics), "threshold")
+    ics = ranked.groupBy("threshold").agg(F.count("*").alias("n"), F.coalesce(correlation("rb", "rr"), F.lit(0.0)).alias("ic"))
+    p = F.when(F.col("n").isNull(), 1.0).otherwise(correlation_p(F.col("ic"), F.col("n")))
+    out = confidence_sweep(df, thresholds).join(F.broadcast(ics), "threshold", "left")  # a row per threshold
+    return out.withColumn("ic_pvalue", p).withColumns({"ic": F.coalesce("ic", F.lit(0.0)), "ic_significant": F.col("ic_pvalue") < 0.05}).drop("n")
 
 
 def best_thresholds(sweep: DataFrame) -> DataFrame:
@@ -200,8 +204,11 @@ def ensemble(models: DataFrame) -> DataFrame:
     return mean.withColumn("pred", F.when(F.col("p_sell") == best, 0).when(F.col("p_hold") == best, 1).otherwise(2))
 
 
-def quantiles(df: DataFrame) -> DataFrame:
-    return df.agg(*[F.percentile(confidence(), F.lit(q)).alias(f"conf_p{int(q * 100)}") for q in (0.25, 0.5, 0.75)])
+def quantiles(df: DataFrame, shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
+    """One row of exact quantiles of the confidence, null without predictions."""
+    found = ranks.quantiles(df.select(confidence().alias("c")), "c", shares)
+    names = ", ".join(f"conf_p{int(q * 100)} double" for q in shares)
+    return df.sparkSession.createDataFrame([tuple(found)], names)
 
 
 def ensemble_report(models: DataFrame, truth: DataFrame) -> dict[str, DataFrame]:
@@ -217,5 +224,5 @@ def ensemble_report(models: DataFrame, truth: DataFrame) -> dict[str, DataFrame]
 def signal_correlation(df: DataFrame, signal: str = "score", ret: str = "ret") -> DataFrame:
     """``(n, correlation, signal)``: Pearson's, and whether it is beyond 0.05 either way."""
     valid = df.where(F.col(signal).isNotNull() & F.col(ret).isNotNull())
-    out = valid.agg(F.count("*").alias("n"), F.corr(signal, ret).alias("correlation"))
+    out = valid.agg(F.count("*").alias("n"), correlation(signal, ret).alias("correlation"))
     return out.withColumn("signal", F.coalesce(F.abs("correlation") > 0.05, F.lit(False)))

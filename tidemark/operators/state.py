@@ -75,6 +75,46 @@ def table_stats(processed: DataFrame) -> DataFrame:
     return processed.agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_tweets"), F.count_distinct("ticker").alias("n_tickers"), F.count_distinct("author").alias("n_authors"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 
 
+#: Registers of a sketch: 2**14, some 16 KB; its standard error is below 1 %.
+SKETCH = 14
+SKETCHED = {"id": "n_tweets", "ticker": "n_tickers", "author": "n_authors"}
+
+
+def daily_sketches(processed: DataFrame, precision: int = SKETCH) -> DataFrame:
+    """Per day of ``ts``: rows, bounds, and sketches of distinct ids, tickers and authors.
+
+    Rows of this table are merged by ``sketched_stats``, so that statistics of any range of
+    days read a row a day.  Rows without a time are those of the null day.
+    """
+    return processed.groupBy(F.col("ts").cast("date").alias("day")).agg(
+        F.count("*").alias("n_rows"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"),
+        *[F.hll_sketch_agg(F.col(c).cast("string"), F.lit(precision)).alias(f"{c}_sketch") for c in SKETCHED],
+    )
+
+
+def merged_sketches(stored: DataFrame, more: DataFrame) -> DataFrame:
+    """Days of both tables: counts add up, bounds widen, sketches unite (for ``Store.merge``)."""
+    return stored.unionByName(more).groupBy("day").agg(
+        F.sum("n_rows").alias("n_rows"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+        *[F.hll_union_agg(f"{c}_sketch").alias(f"{c}_sketch") for c in SKETCHED],
+    )
+
+
+def sketched_stats(sketches: DataFrame, since=None, until=None) -> DataFrame:
+    """``table_stats`` of the days from ``since`` to ``until`` (both included, None: open).
+
+    Numbers of rows and bounds are exact, distinct ones are estimates.
+    """
+    for given, test in ((since, F.col("day") >= F.lit(since)), (until, F.col("day") <= F.lit(until))):
+        if given is not None:
+            sketches = sketches.where(test)
+    return sketches.agg(
+        F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows"),
+        *[F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(f"{c}_sketch")), F.lit(0)).alias(name) for c, name in SKETCHED.items()],
+        F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+    )
+
+
 def selected(processed: DataFrame, since=None, until=None, author=None, ticker=None) -> DataFrame:
     """Rows within both bounds (inclusive), of an author and of a ticker where given."""
     tests = ((since, F.col("ts") >= F.lit(since)), (until, F.col("ts") <= F.lit(until)), (author, F.col("author") == F.lit(author)), (ticker, F.col("ticker") == F.lit(ticker)))

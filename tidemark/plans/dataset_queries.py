@@ -12,8 +12,10 @@ from ..functions import timezones as Z
 from ..operators import metrics as M
 from ..operators import prep as P
 from ..operators import state as ST
-from ..operators.ranks import student_p
+from ..operators.ranks import correlation, correlation_p
+from ..scratch import scratch_path
 from ..sources import tables as S
+from ..sources.versioned import Store
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -249,11 +251,28 @@ def confidence_sweep(spark, sf):
     return _sweep(spark, sf)
 
 
-@query(SWEEP + """SELECT 'sharpe' AS objective, arg_max(threshold, (sharpe, -threshold)) AS threshold, max(sharpe) AS value FROM sweep WHERE status = 'ok' AND n_trades >= 100 AND sharpe IS NOT NULL HAVING count(*) > 0
+#: The two-sided p-value of a correlation r of n pairs: the finite series of Student's
+#: distribution, with the sine |r| and the cosine sqrt(1 - r^2), term by term.
+STUDENT = """series AS (
+  SELECT k, n, abs(r) AS s, sqrt(1 - r * r) AS c, (n - 2) % 2 AS odd, 0 AS j, CASE WHEN (n - 2) % 2 = 0 THEN 1.0::DOUBLE WHEN n = 3 THEN 0.0::DOUBLE ELSE sqrt(1 - r * r) END AS term, CASE WHEN (n - 2) % 2 = 0 THEN 1.0::DOUBLE WHEN n = 3 THEN 0.0::DOUBLE ELSE sqrt(1 - r * r) END AS total
+  FROM given WHERE n >= 3 AND abs(r) < 1
+  UNION ALL
+  SELECT k, n, s, c, odd, j + 1, term * c * c * (2 * (j + 1) - 1 + odd) / (2 * (j + 1) + odd), total + term * c * c * (2 * (j + 1) - 1 + odd) / (2 * (j + 1) + odd) FROM series WHERE j + 1 <= (n - 4 - odd) // 2),
+ends AS (SELECT k, CASE WHEN odd = 0 THEN 1 - s * total ELSE 1 - 2 / pi() * (asin(s) + s * total) END AS p FROM series WHERE j = greatest(0, (n - 4 - odd) // 2)),
+tested AS (SELECT k, n, r, CASE WHEN r IS NULL OR n < 3 OR r = 0 THEN 1.0 WHEN abs(r) >= 1 THEN 0.0 ELSE p END AS p FROM given LEFT JOIN ends USING (k))"""
+ICS = """own AS (SELECT threshold, rank() OVER (PARTITION BY threshold ORDER BY p_buy - p_sell) + (count(*) OVER (PARTITION BY threshold, p_buy - p_sell) - 1) / 2 AS a,
+  rank() OVER (PARTITION BY threshold ORDER BY ret) + (count(*) OVER (PARTITION BY threshold, ret) - 1) / 2 AS b FROM limits, predictions WHERE conf >= threshold AND ret IS NOT NULL),
+given AS (SELECT threshold AS k, count(*) AS n, coalesce(corr(a, b), 0) AS r FROM own GROUP BY threshold)"""
+
+
+@query(SWEEP.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {ICS}, {STUDENT}
+SELECT 'ic' AS objective, arg_max(t.k, (round(r, 6), -t.k)) AS threshold, max(round(r, 6)) AS value FROM tested t JOIN sweep ON t.k = threshold WHERE status = 'ok' AND p < 0.05 HAVING count(*) > 0
+UNION ALL SELECT 'sharpe' AS objective, arg_max(threshold, (sharpe, -threshold)) AS threshold, max(sharpe) AS value FROM sweep WHERE status = 'ok' AND n_trades >= 100 AND sharpe IS NOT NULL HAVING count(*) > 0
 UNION ALL SELECT 'accuracy', arg_max(threshold, (accuracy, -threshold)), max(accuracy) FROM sweep WHERE status = 'ok' AND n_samples >= 500 AND accuracy IS NOT NULL HAVING count(*) > 0
 UNION ALL SELECT 'directional_accuracy', arg_max(threshold, (directional_accuracy, -threshold)), max(directional_accuracy) FROM sweep WHERE status = 'ok' AND n_directional >= 100 AND directional_accuracy IS NOT NULL HAVING count(*) > 0""")
 def best_thresholds(spark, sf):
-    return M.best_thresholds(_sweep(spark, sf))
+    out = M.sweep_with_ic(S.predictions(spark, sf))
+    return M.best_thresholds(out.withColumns({c: F.round(c, 6) for c, t in out.dtypes if t == "double" and c != "threshold"}))
 
 
 @query(PRED + """, models AS (SELECT id, p_sell, p_hold, p_buy FROM predictions UNION ALL SELECT id, p_hold, p_buy, p_sell FROM predictions UNION ALL SELECT id, 0.2, 0.3, 0.5 FROM predictions),
@@ -272,27 +291,41 @@ def confidence_quantiles(spark, sf):
     return M.quantiles(S.predictions(spark, sf))
 
 
-@query(PRED + f""", {RANKED}, ic AS (SELECT count(*) AS n, coalesce(corr(a, b), 0) AS ic FROM ranked),
+@query(PRED.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {RANKED}, ic AS (SELECT count(*) AS n, coalesce(corr(a, b), 0) AS ic FROM ranked),
 d AS (SELECT count(*) FILTER (CASE WHEN pred = 2 THEN ret > 0 ELSE ret < 0 END) / count(*) AS directional_accuracy, count(*) AS n_directional FROM predictions WHERE ret IS NOT NULL AND pred <> 1 AND ret <> 0),
 v AS (SELECT *, row_number() OVER (ORDER BY conf DESC, id) AS k, count(*) OVER () AS n FROM predictions WHERE ret IS NOT NULL),
 t AS (SELECT CASE pred WHEN 2 THEN ret - 0.001 WHEN 0 THEN -ret - 0.001 ELSE 0 END AS r FROM v WHERE k <= greatest(1, CAST(trunc(0.3 * n) AS BIGINT))),
 top AS (SELECT count(*) AS n_top_trades, avg(r) / stddev_pop(r) * sqrt(252) AS sharpe_top, avg(r) * 252 AS return_top FROM t),
-p AS (SELECT count(*) AS n_high_confidence, CASE WHEN count(*) >= 10 THEN count(*) FILTER (pred = label) / count(*) END AS precision_at_confidence FROM predictions WHERE ret IS NOT NULL AND conf > 0.6)
-SELECT n, round(ic, 6) AS ic, round(directional_accuracy, 6) AS directional_accuracy, n_directional, n_top_trades, round(sharpe_top, 6) AS sharpe_top, round(return_top, 6) AS return_top, n_high_confidence, round(precision_at_confidence, 6) AS precision_at_confidence FROM ic, d, top, p""")
+precise AS (SELECT count(*) AS n_high_confidence, CASE WHEN count(*) >= 10 THEN count(*) FILTER (pred = label) / count(*) END AS precision_at_confidence FROM predictions WHERE ret IS NOT NULL AND conf > 0.6)
+, given AS (SELECT 1 AS k, n, ic AS r FROM ic), {STUDENT}
+SELECT ic.n, round(ic, 6) AS ic, round(p.p, 6) AS ic_pvalue, round(directional_accuracy, 6) AS directional_accuracy, n_directional, n_top_trades, round(sharpe_top, 6) AS sharpe_top, round(return_top, 6) AS return_top, n_high_confidence, round(precision_at_confidence, 6) AS precision_at_confidence FROM ic, d, top, precise, tested AS p""")
 def trading_report(spark, sf):
-    """All trading metrics but the p-value, which SQL has no function for (see ``student_p_values``)."""
-    out = M.trading_report(S.predictions(spark, sf)).drop("ic_pvalue")
+    """All trading metrics in one row."""
+    out = M.trading_report(S.predictions(spark, sf))
     return out.withColumns({c: F.round(c, 6) for c, t in out.dtypes if t == "double"})
 
 
-@query(SWEEP + """, own AS (SELECT threshold, rank() OVER (PARTITION BY threshold ORDER BY p_buy - p_sell) + (count(*) OVER (PARTITION BY threshold, p_buy - p_sell) - 1) / 2 AS a,
-  rank() OVER (PARTITION BY threshold ORDER BY ret) + (count(*) OVER (PARTITION BY threshold, ret) - 1) / 2 AS b FROM limits, predictions WHERE conf >= threshold AND ret IS NOT NULL),
-ics AS (SELECT threshold, coalesce(corr(a, b), 0) AS ic FROM own GROUP BY threshold)
-SELECT threshold, n_samples, status, round(coalesce(ic, 0), 6) AS ic FROM sweep LEFT JOIN ics USING (threshold)""")
+@query(SWEEP.replace("WITH ", "WITH RECURSIVE ", 1) + f""", {ICS}, {STUDENT}
+SELECT threshold, n_samples, status, round(coalesce(r, 0), 6) AS ic, round(coalesce(p, 1), 6) AS ic_pvalue, coalesce(p, 1) < 0.05 AS ic_significant FROM sweep LEFT JOIN tested ON k = threshold""")
 def sweep_with_ic(spark, sf):
-    """The coefficient per threshold (its p-value has no SQL form)."""
+    """The coefficient per threshold and whether it is significant."""
     out = M.sweep_with_ic(S.predictions(spark, sf))
-    return out.select("threshold", "n_samples", "status", F.round("ic", 6).alias("ic"))
+    return out.select("threshold", "n_samples", "status", F.round("ic", 6).alias("ic"), F.round("ic_pvalue", 6).alias("ic_pvalue"), "ic_significant")
+
+
+@query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, * FROM orders)
+SELECT count(*) AS n_rows, count(DISTINCT o_orderpriority) AS n_tickers, count(DISTINCT o_custkey % 50) AS n_authors, true AS n_tweets_within_2_percent, min(o_orderdate + to_minutes(CAST(o_orderkey * 37 % 1440 AS INTEGER))) AS first_ts, max(o_orderdate + to_minutes(CAST(o_orderkey * 37 % 1440 AS INTEGER))) AS last_ts
+FROM d WHERE day >= DATE '1996-01-01' AND day <= DATE '1999-12-31'""")
+def table_stats_of_days(spark, sf):
+    """Statistics of a range of days from stored sketches, which two syncs have merged."""
+    t = S.tweets(spark, sf)
+    store = Store(spark, scratch_path(spark, "sketches"), ["day"], 4)
+    for number, rows in enumerate((t.where("id % 3 <> 0"), t.where("id % 3 = 0"))):
+        store.merge(ST.daily_sketches(rows), ST.merged_sketches, batch=("sync", number))
+    since, until = date(1996, 1, 1), date(1999, 12, 31)
+    exact = t.where((F.col("ts") >= F.lit(since)) & (F.col("ts") < F.lit(date(2000, 1, 1)))).agg(F.count_distinct("id").alias("exact"))
+    out = ST.sketched_stats(store.read(), since, until).join(exact)  # one row each
+    return out.withColumn("n_tweets_within_2_percent", F.abs(F.col("n_tweets") - F.col("exact")) <= 0.02 * F.col("exact")).drop("n_tweets", "exact")
 
 
 @query(f"""WITH {S.TWEETS} SELECT ticker, min(ts) AS first_ts, max(ts) AS last_ts FROM tweets GROUP BY ticker""")
@@ -372,11 +405,13 @@ def missing_rates(spark, sf):
     return d.agg(rate(F.col("quality").isNull()).alias("missing_quality"), rate(F.coalesce(F.col("text") == "", F.lit(True))).alias("empty_text"), F.round(F.avg(F.char_length("text")), 6).alias("avg_chars"), F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE given AS (SELECT label AS k, count(*) AS n, corr(embedding[1]::DOUBLE, embedding[2]::DOUBLE) AS r FROM embeddings GROUP BY label), {STUDENT}
+SELECT k AS label, n, round(r, 6) AS r, round(p, 6) AS p FROM tested""")
 def student_p_values(spark, sf):
-    """Two-sided p-values of some correlations (tested against known values)."""
-    rows = [(r, n, student_p(r, n)) for r in (0.0, 0.034, 0.5, 1.0) for n in (2, 10, 4275)]
-    return spark.createDataFrame(rows, "r double, n long, p double")
+    """The correlation of two numbers of each label's vectors, and its p-value."""
+    e = S.table(spark, sf, "embeddings").select("label", *[F.get("embedding", F.lit(k)).cast("double").alias(f"x{k}") for k in (0, 1)])
+    out = e.groupBy("label").agg(F.count("*").alias("n"), correlation("x0", "x1").alias("r"))
+    return out.select("label", "n", F.round("r", 6).alias("r"), F.round(correlation_p(F.col("r"), F.col("n")), 6).alias("p"))
 
 
 @query("""SELECT event_id, ts, coalesce(CAST(json_extract(props, '$.k') AS BIGINT), 0) AS k, props IS NULL AS missing FROM events""")
