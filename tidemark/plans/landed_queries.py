@@ -19,6 +19,7 @@ from ..sources import pages as P
 from ..sources import raw, sinks, stores
 from ..sources import tables as S
 from ..sources.versioned import Store, upserted
+from ..streaming.accounts import keep_account_states
 from ..streaming.ingest import sync_landed
 
 QUERIES: dict = {}
@@ -179,6 +180,20 @@ def sync_processed(spark, sf):
     return spark.read.parquet(f"{store}/processed").select("id", "ticker", "text")
 
 
+@query("""SELECT CAST(user_id AS VARCHAR) AS account, CAST(arg_max(event_id, (ts, event_id)) AS VARCHAR) AS last_tweet_id, 'cursor ' || arg_max(event_id, (ts, event_id)) AS last_cursor, count(*) AS total_tweets, max(ts) AS last_ts FROM events WHERE user_id IS NOT NULL GROUP BY 1""")
+def sync_states(spark, sf):
+    """Sync states kept by a stream over batches out of order, stopped and started again."""
+    e = S.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("account"), F.col("event_id").cast("string").alias("id"), F.concat(F.lit("cursor "), F.col("event_id").cast("string")).alias("cursor"), F.col("ts").cast("timestamp").alias("ts"))
+    source, root = scratch_path(spark, "tweets"), scratch_path(spark, "states")
+    store = Store(spark, root, ["account"], 8)
+    for parts in ((2, 0), (1,)):
+        for part in parts:
+            e.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        keep_account_states(stream, store, f"{root}-checkpoint", "60 days").awaitTermination()
+    return store.read().select("account", "last_tweet_id", "last_cursor", "total_tweets", F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
+
+
 # ---------------------------------------------------------------- bars, contracts, metadata
 
 
