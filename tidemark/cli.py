@@ -11,7 +11,7 @@ from datetime import date
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from . import scratch
@@ -115,8 +115,10 @@ def prepare(spark: SparkSession, a) -> None:
     if a.exclude:
         tweets = tweets.join(spark.read.text(a.exclude).toDF("ticker"), "ticker", "left_anti")
     daily, intraday = _bars(spark, a.daily_dir), _bars(spark, a.intraday_dir)
-    out = enrich.enriched(tweets, daily, intraday, daily.where("symbol = 'SPY'"), spark.read.json(a.metadata), market.calendar(spark))
+    seen = Observation("prepare")
+    out = enrich.enriched(tweets, daily, intraday, daily.where("symbol = 'SPY'"), spark.read.json(a.metadata), market.calendar(spark), observation=seen)
     sinks.write_dataset(out, a.output)
+    print(json.dumps(seen.get))
 
 
 def train(spark: SparkSession, a) -> None:

@@ -71,6 +71,14 @@ def estimate(accounts: int, days: int, delay: float = 0.2, per_day: int = 30, pe
     return {"tweets": tweets, "calls": calls, "seconds": calls * delay}
 
 
+def estimated(rows: DataFrame, account: str, day: Column, delay: float = 0.2, per_day: int = 30, per_call: int = 20) -> DataFrame:
+    """``estimate`` for the accounts and days of a table, in one row."""
+    n = rows.agg(F.count_distinct(account).alias("accounts"), F.count_distinct(day).alias("days"))
+    n = n.withColumn("tweets", F.col("accounts") * F.col("days") * per_day)
+    n = n.withColumn("calls", F.greatest(F.lit(1).cast("long"), F.floor(F.col("tweets") / per_call)))
+    return n.withColumn("seconds", F.col("calls") * delay)
+
+
 def table_stats(processed: DataFrame) -> DataFrame:
     return processed.agg(F.count("*").alias("n_rows"), F.count_distinct("id").alias("n_tweets"), F.count_distinct("ticker").alias("n_tickers"), F.count_distinct("author").alias("n_authors"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
 

@@ -93,11 +93,16 @@ def time_normalize(spark, sf):
     return S.table(spark, sf, "events").select("event_id", Z.to_instant(F.col("ts")).cast("timestamp_ntz").alias("utc_ts"))
 
 
-@query("""WITH d(duration, n, u) AS (VALUES ('1 Y', 1, 365), ('6M', 6, 30), ('30 D', 30, 1), (' 2 w ', 2, 7), ('90000 S', 1, 1), ('soon', 200, 1))
-SELECT duration, CAST(n * u AS BIGINT) AS calendar_days, CAST(n * u - 2 * (n * u // 7) AS BIGINT) AS trading_days FROM d""")
+@query("""WITH d AS (SELECT o_orderkey, o_orderkey % 6 AS k, CASE WHEN o_orderkey % 6 = 4 THEN o_custkey * 997 + 1 ELSE o_custkey % 400 + 1 END AS n FROM orders),
+c AS (SELECT o_orderkey, CASE k WHEN 0 THEN n || ' Y' WHEN 1 THEN n || 'M' WHEN 2 THEN n || ' D' WHEN 3 THEN ' ' || n || ' w ' WHEN 4 THEN n || ' S' ELSE n || ' soon' END AS duration,
+  CAST(CASE k WHEN 0 THEN n * 365 WHEN 1 THEN n * 30 WHEN 2 THEN n WHEN 3 THEN n * 7 WHEN 4 THEN greatest(1, n // 86400) ELSE 200 END AS BIGINT) AS calendar_days FROM d)
+SELECT *, calendar_days - 2 * (calendar_days // 7) AS trading_days FROM c""")
 def duration_days(spark, sf):
-    d = spark.createDataFrame([("1 Y",), ("6M",), ("30 D",), (" 2 w ",), ("90000 S",), ("soon",)], "duration string")
-    return d.select("duration", Z.calendar_days(F.col("duration")).alias("calendar_days"), Z.trading_days(F.col("duration")).alias("trading_days"))
+    """Durations of an order's number and customer, written in each form and one that is none."""
+    k, n = F.col("o_orderkey") % 6, F.when(F.col("o_orderkey") % 6 == 4, F.col("o_custkey") * 997 + 1).otherwise(F.col("o_custkey") % 400 + 1).cast("string")
+    text = F.when(k == 0, F.concat(n, F.lit(" Y"))).when(k == 1, F.concat(n, F.lit("M"))).when(k == 2, F.concat(n, F.lit(" D"))).when(k == 3, F.concat(F.lit(" "), n, F.lit(" w "))).when(k == 4, F.concat(n, F.lit(" S"))).otherwise(F.concat(n, F.lit(" soon")))
+    d = S.table(spark, sf, "orders").select("o_orderkey", text.alias("duration"))
+    return d.select("o_orderkey", "duration", Z.calendar_days(F.col("duration")).alias("calendar_days"), Z.trading_days(F.col("duration")).alias("trading_days"))
 
 
 def _hashed(spark, sf):

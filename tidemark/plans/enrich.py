@@ -5,13 +5,14 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions import market
 from ..operators.asof import Lookup, asof_lookups
 from ..operators.indicators import NUMERICAL, with_indicators, with_regime
 from ..scratch import saved
+from .progress import observed
 
 #: The dataset's columns, in order.
 OUTPUT = [
@@ -72,12 +73,13 @@ def with_regime_of_day(df: DataFrame, index: DataFrame) -> DataFrame:
     return df.join(F.broadcast(days), F.least(F.col("et_date"), F.date_add(F.lit(last), 1)) == F.col("__regime_day"), "left").drop("__regime_day")
 
 
-def enriched(tweets: DataFrame, daily: DataFrame, intraday: DataFrame, index: DataFrame, metadata: DataFrame, calendar: DataFrame, *, filter_reliable: bool = True, skip_missing: bool = True, segment: str | None = "hour") -> DataFrame:
+def enriched(tweets: DataFrame, daily: DataFrame, intraday: DataFrame, index: DataFrame, metadata: DataFrame, calendar: DataFrame, *, filter_reliable: bool = True, skip_missing: bool = True, segment: str | None = "hour", observation: Observation | None = None) -> DataFrame:
     """The dataset's rows, with the columns of ``OUTPUT`` that exist.
 
     ``tweets`` have ``ts`` (New York wall clock), ``ticker`` and any of tweet_url, author,
     category, text.  Indicators are those of the last daily bar before the tweet's date, so
-    nothing of that day or later is seen.
+    nothing of that day or later is seen.  ``observation`` counts, in the pass that makes the
+    rows, all of them, those without an entry price and those with an unreliable label.
     """
     for name in ("tweet_url", "author", "category", "text"):
         if name not in tweets.columns:
@@ -109,6 +111,7 @@ def enriched(tweets: DataFrame, daily: DataFrame, intraday: DataFrame, index: Da
     })
     complete = reduce(and_, [F.col(c).isNotNull() for c in REQUIRED])
     df = df.withColumn("is_reliable_label", F.col("is_reliable_label") & complete)
+    df = observed(df, observation, without_price=F.col("entry_price").isNull(), unreliable=~F.col("is_reliable_label"))
     if skip_missing:
         df = df.where(F.col("entry_price").isNotNull())
     if filter_reliable:

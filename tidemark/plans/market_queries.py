@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import market
 from ..operators import bars as B
 from ..operators import indicators as I
+from ..operators import validate as V
 from ..operators.asof import asof_join
+from ..scratch import scratch_path
+from ..sources import sinks
 from ..sources import tables as S
 from .enrich import enriched, with_entry_price
 
@@ -210,6 +214,21 @@ def flagship_dataset(spark: SparkSession, sf: str) -> DataFrame:
     return out.drop("is_reliable_label", "tweet_url").withColumns({c: F.round(c, 6) for c in rounded})
 
 
+@query(f"""WITH base AS ({FLAGSHIP}) SELECT 'entry_price' AS price, count(*) AS n_rows, count(*) FILTER (id % 13 = 0) AS n_bad FROM base UNION ALL SELECT 'price_next_open', count(*), count(*) FILTER (id % 17 = 0) FROM base""")
+def recomputed_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """The dataset's prices, some of them planted errors, against those of the bars."""
+    out = flagship_dataset(spark, sf)
+    out = out.withColumns({"entry_price": F.when(F.col("id") % 13 == 0, F.col("entry_price") + 1).otherwise(F.col("entry_price")), "price_next_open": F.when(F.col("id") % 17 != 0, F.col("price_next_open"))})
+    return V.recomputed_prices(out, S.daily_bars(spark, sf), S.intraday_bars(spark, sf))
+
+
+@query(NUMBERED + """SELECT symbol, bar_date, round((close - sma) / sma, 6) AS distance_from_ma_20 FROM sma""")
+def bucketed_indicators(spark: SparkSession, sf: str) -> DataFrame:
+    """Indicators of a bar table that is bucketed by symbol: no shuffle after its reading."""
+    bars = sinks.write_bar_table(S.daily_bars(spark, sf), f"bars_{uuid.uuid4().hex}", scratch_path(spark, "bar-table"), 8)
+    return I.with_indicators(bars).select("symbol", "bar_date", *r6("distance_from_ma_20"))
+
+
 @query(f"WITH {S.DAILY} SELECT symbol, avg(volume) AS avg_volume FROM daily GROUP BY symbol HAVING avg(volume) >= 1.2")
 def volume_filter(spark: SparkSession, sf: str) -> DataFrame:
     return B.liquid(S.daily_bars(spark, sf), 1.2)
@@ -260,10 +279,16 @@ def fetch_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return B.fetch_ranges(S.tweets(spark, sf), F.lit(date(2001, 8, 1)), spark.createDataFrame([("5-LOW",)], "ticker string"))
 
 
-@query(f"""WITH {S.METADATA} SELECT ticker, CASE sector WHEN 'Technology' THEN 'Technology' WHEN 'Financial Services' THEN 'Financials' WHEN 'Health Care' THEN 'Healthcare' ELSE 'Other' END AS sector,
-  CASE WHEN market_cap >= 200e9 THEN 'mega_cap' WHEN market_cap >= 10e9 THEN 'large_cap' WHEN market_cap >= 2e9 THEN 'mid_cap' ELSE 'small_cap' END AS market_cap_bucket FROM metadata""")
+@query("""WITH m AS (SELECT s_name AS ticker, CASE s_suppkey % 5 WHEN 0 THEN 'Technology' WHEN 1 THEN 'Financial Services' WHEN 2 THEN 'Health Care' WHEN 3 THEN 'Shipping' END AS sector,
+  CASE WHEN s_suppkey % 7 <> 0 THEN abs(s_acctbal) * s_acctbal * 5000 END AS market_cap FROM supplier)
+SELECT ticker, CASE sector WHEN 'Technology' THEN 'Technology' WHEN 'Financial Services' THEN 'Financials' WHEN 'Health Care' THEN 'Healthcare' ELSE 'Other' END AS sector,
+  CASE WHEN market_cap IS NULL THEN 'unknown' WHEN market_cap >= 200e9 THEN 'mega_cap' WHEN market_cap >= 10e9 THEN 'large_cap' WHEN market_cap >= 2e9 THEN 'mid_cap' ELSE 'small_cap' END AS market_cap_bucket FROM m""")
 def stock_metadata(spark: SparkSession, sf: str) -> DataFrame:
-    return market.stock_metadata(S.metadata(spark, sf))
+    """Sectors and sizes of all suppliers as if they were listed, some of them unknown."""
+    k = F.col("s_suppkey") % 5
+    name = F.when(k == 0, "Technology").when(k == 1, "Financial Services").when(k == 2, "Health Care").when(k == 3, "Shipping")
+    cap = F.when(F.col("s_suppkey") % 7 != 0, F.abs("s_acctbal") * F.col("s_acctbal") * 5000)
+    return market.stock_metadata(S.table(spark, sf, "supplier").select(F.col("s_name").alias("ticker"), name.alias("sector"), cap.alias("market_cap")))
 
 
 @query("""SELECT event_type AS symbol, time_bucket(INTERVAL 15 MINUTE, ts) AS bar_ts, arg_min(value, event_id) AS open, max(value) AS high, min(value) AS low, arg_max(value, event_id) AS close, count(*) AS volume

@@ -235,10 +235,11 @@ def random_sample(spark, sf):
     return ST.sampled(S.table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 100, "o_orderkey")
 
 
-@query("SELECT 12 AS accounts, 90 AS days, 12 * 90 * 30 AS tweets, 12 * 90 * 30 // 20 AS calls, (12 * 90 * 30 // 20) * 0.2::DOUBLE AS seconds FROM region WHERE r_regionkey = 0")
+@query("""WITH n AS (SELECT count(DISTINCT user_id) AS accounts, count(DISTINCT CAST(ts AS DATE)) AS days FROM events)
+SELECT accounts, days, accounts * days * 30 AS tweets, greatest(1, accounts * days * 30 // 20) AS calls, greatest(1, accounts * days * 30 // 20) * 0.2::DOUBLE AS seconds FROM n""")
 def ingest_estimate(spark, sf):
-    e = ST.estimate(12, 90)
-    return S.table(spark, sf, "region").where("r_regionkey = 0").select(F.lit(12).alias("accounts"), F.lit(90).alias("days"), *[F.lit(v).alias(k) for k, v in e.items()])
+    """What fetching all accounts of events over all their days would take."""
+    return ST.estimated(S.table(spark, sf, "events"), "user_id", F.col("ts").cast("date"))
 
 
 GAINS = """, b AS (SELECT label, count(*) / sum(count(*)) OVER () AS p FROM predictions GROUP BY label), a AS (SELECT avg((pred = label)::INT) AS accuracy FROM predictions)
@@ -278,10 +279,11 @@ def recomputed_indicators(spark, sf):
     return V.recomputed(stored, S.daily_bars(spark, sf), ["return_5d"])
 
 
-@query("""SELECT doc_id, array_to_string(list_transform(range(8), lambda k: coalesce(length(w[k + 1]), 0)), ' ') AS input_ids, array_to_string(list_transform(range(8), lambda k: CASE WHEN w[k + 1] IS NULL THEN 0 ELSE 1 END), ' ') AS attention_mask
-FROM (SELECT doc_id, string_split(source || ' ' || lang || ' ' || doc_id, ' ') AS w FROM documents)""")
+@query("""WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents)
+SELECT doc_id, array_to_string(list_transform(range(128), lambda k: CASE WHEN 2 * k < length(h) THEN CAST('0x' || substr(h, 2 * k + 1, 2) AS INTEGER) + 1 ELSE 0 END), ' ') AS input_ids,
+  array_to_string(list_transform(range(128), lambda k: CASE WHEN 2 * k < length(h) THEN 1 ELSE 0 END), ' ') AS attention_mask FROM h""")
 def padded_tokens(spark, sf):
-    """Ids of any tokenizer (here a word's length) cut and padded to a width."""
-    d = S.table(spark, sf, "documents").select("doc_id", F.concat_ws(" ", "source", "lang", F.col("doc_id").cast("string")).alias("text"))
-    out = P.token_ids(d, lambda texts: [[len(w) for w in t.split(" ")] for t in texts], width=8)
+    """Texts as tokens of a byte each (0 is left for padding), cut and padded to 128."""
+    d = S.table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    out = P.token_ids(d, lambda texts: [[b + 1 for b in t.encode()] for t in texts], width=128)
     return out.select("doc_id", F.array_join(F.col("input_ids").cast("array<string>"), " ").alias("input_ids"), F.array_join(F.col("attention_mask").cast("array<string>"), " ").alias("attention_mask"))

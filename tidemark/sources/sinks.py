@@ -15,6 +15,18 @@ def write_bars(bars: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("symbol").parquet(path)
 
 
+def write_bar_table(bars: DataFrame, name: str, path: str, buckets: int = 64) -> DataFrame:
+    """Bars as the table ``name`` at ``path``, bucketed by symbol and sorted by time.
+
+    Indicators and other windows by symbol read it without a shuffle.  Each bucket is one
+    file, written by the task that has it: what a symbol can hold is bounded by its days.
+    """
+    time = "bar_ts" if "bar_ts" in bars.columns else "bar_date"
+    rows = bars.repartition(buckets, "symbol").sortWithinPartitions("symbol", time)
+    rows.write.mode("overwrite").bucketBy(buckets, "symbol").sortBy("symbol", time).option("path", path).saveAsTable(name)
+    return bars.sparkSession.table(name)
+
+
 def export_csv(tweets: DataFrame, path: str) -> None:
     """Processed tweets by time, texts cleaned anew, as CSV files with a header.
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.text import processed
+from ..plans.progress import observed
 from ..sources.pages import read_landed, tweets_of
 from ..sources.raw import PAGE, page_tweets, parse_json
 
@@ -67,7 +68,7 @@ def sync_landed(spark: SparkSession, path: str, store: str, checkpoint: str, lea
 
     Failed pages have no tweets; they come with the landing that has the page again.
     """
-    tweets = parse_json(tweets_of(read_landed(spark, path, stream=True)))
+    tweets = observed(parse_json(tweets_of(read_landed(spark, path, stream=True))), "landed", without_time=F.col("ts").isNull())
     return tweets.writeStream.foreachBatch(_commits(store, least)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
