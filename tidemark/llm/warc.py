@@ -22,7 +22,8 @@ CHUNK = 1 << 16
 SEGMENT = 1 << 20
 #: Payloads from this many bytes on are stored once.
 REVISIT_BYTES = 1000
-FILE_RECORDS = 4096
+#: Records of a file, and bytes of one before compression, on average; a file is read as one cell.
+FILE_RECORDS, FILE_BYTES = 4096, 1 << 28
 #: Repeated payloads up to which their digests (some 200 bytes each) are broadcast; beyond,
 #: pages that may repeat one are joined.
 BROADCAST_PAYLOADS = 50_000
@@ -49,7 +50,11 @@ def repeated(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
 
 
 def composed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", segment: int = SEGMENT, chunk: int = CHUNK, least: int = REVISIT_BYTES) -> DataFrame:
-    """``(value)``: one WARC record or segment per row, without the closing CRLFs."""
+    """``(value)``: one WARC record or segment per row, without the closing CRLFs.
+
+    A null text is an empty payload, a null url an empty one, and a page with a null id has
+    no ``X-Page-Id``; other columns are left out.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
     url = F.regexp_replace(F.coalesce(F.col(url_col), F.lit("")), r"[\r\n]", "%0A")
     rows = pages.select(F.col(id_col).cast("long").alias("__id"), url.alias("__url"), text.alias("__text"))
@@ -92,8 +97,12 @@ def composed(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", te
 
 
 def write_warc(pages: DataFrame, path: str, **how) -> None:
-    """Archives below ``path``, gzip-compressed, ``FILE_RECORDS`` records each at most."""
-    composed(pages, **how).write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    """Archives below ``path``, gzip-compressed, ``FILE_RECORDS`` records each at most, and so
+    few that a file of records of mean size has ``FILE_BYTES``.  Nulls are as in ``composed``."""
+    text = how.get("text_col", "html")
+    size = pages.agg(F.avg(F.coalesce(F.octet_length(F.col(text)), F.lit(0)))).first()[0] or 0
+    records = max(1, min(FILE_RECORDS, int(FILE_BYTES / (size + 1000))))
+    composed(pages, **how).write.mode("overwrite").option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records).text(path)
 
 
 def _plain(content, step: int = 1 << 20):
@@ -172,12 +181,9 @@ FIELDS = "record_id string, type string, page_id long, target_uri string, digest
 _RAW = FIELDS + ", origin string, segment int, total long"
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """One row per record: ``record_id, type, page_id, target_uri, digest, refers_to, payload``.
-
-    A revisit has a null payload.  A missing segment, a wrong total length or broken
-    framing raises ValueError; records that were written twice are read twice.
-    """
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """Records and segments as they lie in the archives; segments have no payload of their own,
+    but the bytes of the block that they carry."""
 
     def row(headers: dict[str, str], block: bytes) -> tuple:
         kind, number = headers["warc-type"], headers.get("warc-segment-number")
@@ -191,8 +197,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.string(), pa.int32(), pa.int64()]
     names = [x.split()[0] for x in _RAW.split(", ")]
 
-    def table(rows, n):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds[:n], strict=True)], names=names[:n])
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def parse(batches):
         for batch in batches:
@@ -202,10 +208,21 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                     rows.append(row(headers, block))
                     size += len(block)
                     if size > 1 << 22:
-                        yield table(rows, 10)
+                        yield table(rows)
                         rows, size = [], 0
                 if rows:
-                    yield table(rows, 10)
+                    yield table(rows)
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(parse), _RAW)
+
+
+def _reassembled(segments: DataFrame) -> DataFrame:
+    """Records of segments ``(FIELDS, origin, segment, total)``, grouped by origin and in order."""
+    kinds = [pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary()]
+    names = [x.split()[0] for x in FIELDS.split(", ")]
+
+    def table(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def whole(parts: list[dict]) -> list[tuple]:
         """Records of one origin; a record that was written n times has n of each segment."""
@@ -225,15 +242,25 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for part in batch.to_pylist():
                 if held and held[-1]["origin"] != part["origin"]:
-                    yield table(whole(held), 7)
+                    yield table(whole(held))
                     held = []
                 held.append(part)
         if held:
-            yield table(whole(held), 7)
+            yield table(whole(held))
+
+    dealt = segments.repartition(partitions(segments.sparkSession), "origin").sortWithinPartitions("origin", "segment")
+    return dealt.mapInArrow(tidy(reassemble), FIELDS)
 
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInArrow(tidy(parse), _RAW)
-    segments = raw.where("segment is not null").repartition(partitions(spark), "origin").sortWithinPartitions("origin", "segment")
-    return raw.where("segment is null").select(*names[:7]).unionByName(segments.mapInArrow(tidy(reassemble), FIELDS))
+
+def read_warc(spark: SparkSession, path: str) -> DataFrame:
+    """One row per record: ``record_id, type, page_id, target_uri, digest, refers_to, payload``.
+
+    A revisit has a null payload.  A missing segment, a wrong total length or broken
+    framing raises ValueError; records that were written twice are read twice.  Archives are
+    unpacked and parsed once: what they hold is saved as a table.
+    """
+    raw = saved(_records(spark, path), "parsed")
+    return raw.where("segment is null").select(*[x.split()[0] for x in FIELDS.split(", ")]).unionByName(_reassembled(raw.where("segment is not null")))
 
 
 def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", text_col: str = "html", path: str | None = None, **how) -> DataFrame:
@@ -241,13 +268,18 @@ def archived(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", te
 
     ``(page_id, payload_bytes, payload_digest, record_type, refers_to)``, one row per page:
     a null text is an empty payload, rows that tie in page id and payload are all
-    responses, a null id never is what others refer to; no rows give none.
+    responses, a null id never is what others refer to; other columns are left out; no rows
+    give none.
     """
     spark = pages.sparkSession
     path = path or scratch_path(spark, "warc")
     write_warc(pages, path, id_col=id_col, url_col=url_col, text_col=text_col, **how)
-    records = read_warc(spark, path).select("record_id", "type", "page_id", "refers_to", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha1("payload").alias("payload_digest"))
-    records = saved(records, "records")
+    # Archives are parsed once: of whole records the sums are kept, of segments the bytes.
+    whole, slim = F.col("segment").isNull(), ["record_id", "type", "page_id", "refers_to"]
+    sums = {"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha1("payload")}
+    raw = saved(_records(spark, path).withColumns({c: F.when(whole, v) for c, v in sums.items()}).withColumn("payload", F.when(~whole, F.col("payload"))), "records")
+    joined = _reassembled(raw.where("segment is not null").drop(*sums)).select(*slim, *[v.alias(c) for c, v in sums.items()])
+    records = raw.where("segment is null").select(*slim, *sums).unionByName(saved(joined, "reassembled"))
     responses = records.where("type = 'response'")
     known = responses.dropDuplicates(["record_id"]).select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("__page"), F.col("payload_bytes").alias("__bytes"), F.col("payload_digest").alias("__digest"))
     again = records.where("type = 'revisit'").join(known, "refers_to", "left")
