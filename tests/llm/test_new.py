@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark import scratch
 from tidemark.llm import hard_negatives as hard
-from tidemark.llm import ngram_jaccard, spelling, toxicity
+from tidemark.llm import exact_dedup, ngram_jaccard, spelling, toxicity
 from tidemark.llm.byte_bpe import Encoder, decoded, encoded, read_ranks, tokenizer_path, tokenizer_pattern
 from tidemark.llm.common import BYTES, LANES, MIX, POSITION
 from tidemark.llm.queries import ORACLES, QUERIES
@@ -351,3 +351,35 @@ def test_the_pipeline_leaves_only_what_its_stages_return(spark, sf):
     names = [p.rsplit("/", 1)[1].rsplit("-", 1)[0] for p in scratch._saved[before:]]
     assert names[:4] == ["stage-toxicity", "stage-exact_dedup", "stage-ngram_jaccard", "stage-mixing"]
     assert spark.read.parquet(scratch._saved[before]).count() > 0
+
+
+# ---------------------------------------------------------------- op4
+
+
+def test_lists_of_many_splits_are_dense_at_thousands_of_owners(spark):
+    """Below seven bytes a fingerprint with a list's fixed columns, against eight uncoded."""
+    n = 2 * exact_dedup.BLOCK_ROWS
+    rows = spark.range(n, numPartitions=40).select(F.col("id").alias("doc_id"), F.lit("s").alias("text_sha256"), F.lit(1).cast("long").alias("points"), F.shiftrightunsigned(F.xxhash64("id"), 4).alias("print"))
+    lists = exact_dedup._blocks(rows.coalesce(2), 12).where("kind = 1")
+    size = lists.agg(F.sum(F.octet_length("unary") + F.octet_length("rest") + 28).alias("b"), F.sum("slot").alias("n")).first()
+    assert size.n == n and size.b / size.n < 7
+
+
+@pytest.mark.parametrize("limit", [0, 10**9])
+def test_copies_in_many_blocks_by_either_plan(spark, monkeypatch, limit):
+    monkeypatch.setattr(exact_dedup, "BLOCK_ROWS", 40)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(exact_dedup, "BROADCAST_GROUPS", limit)
+    r = random.Random(2)
+    rows = [(i, r.choice(["hot text", " hot  text", f"own {i}", f"pair {i // 2}"]), 1) for i in range(700)] + [(None, None, 1), (1000, "", 1), (1001, " \n", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, block int").repartition(9)
+    groups = defaultdict(list)
+    for i, t, _ in rows:
+        groups["".join((t or "").split())].append((-len(t or ""), i is None, i or 0, i))
+    want = Counter()
+    for body, members in groups.items():
+        keep = min(members)[3]
+        for *_, i in members:
+            want[i, keep, len(members), i == keep, hashlib.sha256(body.encode()).hexdigest()] += 1
+    got = Counter((x.doc_id, x.keep_id, x.group_size, x.kept, x.text_sha256) for x in exact_dedup.exact_duplicates(docs).collect())
+    assert got == want

@@ -1,8 +1,9 @@
 """Exact duplicates by a Golomb-coded fingerprint exchange.
 
-1.  Every partition hashes its normalised texts (SHA-256; 60 bits are the fingerprint)
-    and keeps blocks of rows whose fingerprints are sorted.
-2.  A block (``BLOCK_ROWS`` rows of a partition) sends each owner its distinct fingerprints as Golomb-Rice codes of the sorted
+1.  Every task hashes the normalised texts of as many splits as give ``BLOCK_ROWS`` rows
+    (SHA-256; 60 bits are the fingerprint) and keeps blocks of rows whose fingerprints are
+    sorted.
+2.  A block (``BLOCK_ROWS`` rows) sends each owner its distinct fingerprints as Golomb-Rice codes of the sorted
     gaps: about log2(range / entries) + 1.5 bits each, and one per block for a hot text.
 3.  The owner of a range answers with one bit per fingerprint: met in two blocks or more.
 4.  Only rows with a set bit, or with a twin in their own block, are suspects; their texts
@@ -154,12 +155,15 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     no rows give none.
     """
     spark = docs.sparkSession
-    owners = max(partitions(spark) * 2, docs.count() // OWNER_ROWS)
+    count = docs.count()
+    owners = max(partitions(spark) * 2, count // OWNER_ROWS)
     bits = max(1, (owners - 1).bit_length())
     digest = F.sha2(normalised(F.col(text_col)).cast("binary"), 256)
     rows = docs.select(F.col(id_col).alias("doc_id"), digest.alias("text_sha256"), F.coalesce(F.char_length(text_col), F.lit(0)).cast("long").alias("points"))
     rows = rows.withColumn("print", F.conv(F.substring("text_sha256", 1, 15), 16, 10).cast("long"))
-    table = saved(_blocks(rows, bits), "prints")
+    # A split of texts has too few rows for dense lists: a task hashes those of many splits, one
+    # after another, and codes what is left of them together; nothing is shuffled for that.
+    table = saved(_blocks(rows.coalesce(max(partitions(spark), -(-count // BLOCK_ROWS))), bits), "prints")
     members = table.where("kind = 0").select("doc_id", "text_sha256", "points", "row", "twin", "block", "owner", "slot")
 
     bitmaps = saved(_answers(table.where("kind = 1")), "bitmaps")
