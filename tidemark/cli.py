@@ -18,7 +18,7 @@ from . import scratch
 from .functions import market, text
 from .operators import bars, metrics, state, validate
 from .operators.indicators import NUMERICAL
-from .plans import enrich, model
+from .plans import enrich, model, network
 from .sources import crawl, raw, sinks
 from .sources.versioned import Store
 
@@ -124,15 +124,27 @@ def prepare(spark: SparkSession, a) -> None:
 def train(spark: SparkSession, a) -> None:
     rows, artifacts = model.prepared(raw.read_dataset(spark, a.data), NUMERICAL, model.CATEGORICAL, "timestamp", temporal=a.temporal_split, buy_boost=a.buy_weight_boost)
     rows.write.mode("overwrite").parquet(f"{a.output_dir}/rows")
+    sinks.save_artifacts(artifacts, f"{a.output_dir}/artifacts")
+    scratch.remove(spark, f"{a.output_dir}/network")  # of an earlier training
+    if a.patience:
+        rows = spark.read.parquet(f"{a.output_dir}/rows")
+        net, history = network.trained(rows, NUMERICAL, epochs=a.epochs, batches=a.batches, rate=a.learning_rate, patience=a.patience)
+        network.stored(net, spark).write.mode("overwrite").parquet(f"{a.output_dir}/network")
+        print(json.dumps({"val_f1_macro": history}))
+        return
     rows = model.vectors(spark.read.parquet(f"{a.output_dir}/rows"), NUMERICAL, model.CATEGORICAL)
     model.trained(rows, a.penalties, a.max_iter, a.tolerance).write().overwrite().save(f"{a.output_dir}/model")
-    sinks.save_artifacts(artifacts, f"{a.output_dir}/artifacts")
 
 
 def _predictions(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the network that was trained there, or of the regression."""
+    rows = spark.read.parquet(f"{folder}/rows").where("split = 'test'")
+    if (stored := _stored(spark, f"{folder}/network")) is not None:
+        net = network.loaded(stored)
+        return network.predicted(net, network.inputs(rows, net.numerical, net.categorical))
     from pyspark.ml.classification import LogisticRegressionModel
 
-    rows = model.vectors(spark.read.parquet(f"{folder}/rows").where("split = 'test'"), NUMERICAL, model.CATEGORICAL)
+    rows = model.vectors(rows, NUMERICAL, model.CATEGORICAL)
     return model.predicted(LogisticRegressionModel.load(f"{folder}/model"), rows, "tweet_hash")
 
 
@@ -194,7 +206,7 @@ COMMANDS = {
     "ohlcv-sync": (ohlcv_sync, [("--landing", {"required": True}), ("--store", {"required": True}), ("--buckets", {"type": int, "default": 64}), ("--intraday", {"action": "store_true"}), ("--backfill", {"action": "store_true"})]),
     "ohlcv-status": (ohlcv_status, [("--daily-dir", {"required": True}), ("--intraday-dir", {"required": True}), ("--details", {"action": "store_true"})]),
     "prepare": (prepare, [("--tweets", {"required": True}), ("--output", {"required": True}), ("--daily-dir", {"required": True}), ("--intraday-dir", {"required": True}), ("--metadata", {"required": True}), ("--since", {}), ("--until", {}), ("--exclude", {})]),
-    "train": (train, [("--data", {"required": True}), ("--output-dir", {"required": True}), ("--temporal-split", {"action": "store_true"}), ("--buy-weight-boost", {"type": float, "default": 1.0}), ("--penalties", {"type": float, "nargs": "*", "default": [0.0, 0.01, 0.1]}), ("--max-iter", {"type": int, "default": 30}), ("--tolerance", {"type": float, "default": 1e-6})]),
+    "train": (train, [("--data", {"required": True}), ("--output-dir", {"required": True}), ("--temporal-split", {"action": "store_true"}), ("--buy-weight-boost", {"type": float, "default": 1.0}), ("--penalties", {"type": float, "nargs": "*", "default": [0.0, 0.01, 0.1]}), ("--max-iter", {"type": int, "default": 30}), ("--tolerance", {"type": float, "default": 1e-6}), ("--patience", {"type": int}), ("--epochs", {"type": int, "default": 20}), ("--batches", {"type": int, "default": 4}), ("--learning-rate", {"type": float, "default": 3e-3})]),
     "evaluate": (evaluate, [("--model", {"required": True}), ("--output", {})]),
     "evaluate-ensemble": (evaluate_ensemble, [("--models", {"nargs": "+", "required": True}), ("--output", {})]),
     "confidence-report": (confidence_report, [("--model", {"required": True}), ("--output", {})]),

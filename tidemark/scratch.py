@@ -48,17 +48,18 @@ def saved_in_steps(df: Callable[[], DataFrame], name: str) -> DataFrame:
     before = len(_saved)
     out = saved(df(), name)
     for path in _saved[before:-1]:
-        _remove(out.sparkSession, path)
+        remove(out.sparkSession, path)
     del _saved[before:-1]
     return out
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a folder, if it is there."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Remove this application's intermediate tables (call when results are written)."""
-    _remove(spark, scratch_root(spark))
+    remove(spark, scratch_root(spark))
     _saved.clear()
