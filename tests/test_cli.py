@@ -32,6 +32,42 @@ def test_sync_by_account_range_and_status(spark, tmp_path, capfd):
     assert "no such account" in capfd.readouterr().out
 
 
+def test_sync_resumes_where_a_page_failed(spark, tmp_path, capfd):
+    folder = str(tmp_path / "broken")
+    pages_of = tmp_path / "pages_of.py"
+    pages_of.write_text(f"""
+import os, sys
+from pyspark import cloudpickle
+
+
+def page(account, cursor):
+    at = int(cursor or 0)
+    with open({folder!r} + "-asked", "a") as f:
+        f.write(f"{{account}}:{{at}} ")
+    if at == 1 and not os.path.exists({folder!r}):
+        raise OSError("gone")
+    return [{{"id": f"{{account}}{{9 - at}}", "createdAt": "Wed Jan 10 10:00:00 +0000 2024", "text": "x"}}], str(at + 1) if at < 2 else None
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+""")
+    import sys
+
+    sys.path.insert(0, str(tmp_path))
+    source = ("--landing", tmp_path / "landing", "--store", tmp_path / "store", "--pause", 0, "--source", "pages_of:page", "--account", "a", "b")
+    run(spark, "twitter-sync", *source)
+    ids = lambda: {r.id for r in spark.read.parquet(f"{tmp_path}/store/raw").collect()}
+    assert ids() == {"a9", "b9"}
+    open(folder, "w").close()
+    open(f"{folder}-asked", "w").close()
+    run(spark, "twitter-sync", *source, "--resume")
+    assert ids() == {x + str(k) for x in "ab" for k in (9, 8, 7)}
+    assert sorted(open(f"{folder}-asked").read().split()) == ["a:1", "a:2", "b:1", "b:2"]
+    capfd.readouterr()
+    run(spark, "twitter-status", "--store", tmp_path / "store")
+    assert "|a      |a8" in capfd.readouterr().out
+
+
 def test_train_evaluate_ensemble_and_confidence(spark, tmp_path, capfd):
     r = np.random.default_rng(3)
     n = 300

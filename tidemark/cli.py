@@ -20,7 +20,7 @@ from .operators import bars, metrics, state, validate
 from .operators.indicators import NUMERICAL
 from .plans import enrich, model, network
 from .sources import crawl, raw, sinks
-from .sources.versioned import Store
+from .sources.versioned import Store, upserted
 
 
 def _between(df: DataFrame, since: str | None, until: str | None, ts: str = "ts") -> DataFrame:
@@ -71,7 +71,16 @@ def twitter_sync(spark: SparkSession, a) -> None:
             journal.write.mode("append").parquet(f"{a.store}/searches")
             errors = journal.where("error is not null").select("account", "error")
         else:
-            got = crawl.crawled(names, _function(a.source), known, until=date.fromisoformat(a.backfill_to) if a.backfill_to else None, most=a.max_tweets, pause=a.pause)
+            cursors = Store(spark, f"{a.store}/cursors", ["account"], 8)
+            open_ = cursors.read() if a.resume else None
+            got = crawl.crawled(names, _function(a.source), known, until=date.fromisoformat(a.backfill_to) if a.backfill_to else None, most=a.max_tweets, cursors=open_ and open_.select("account", "cursor"), pause=a.pause)
+            # Where each account stands: at the page that failed, or at its start again.
+            failed = got.where("error is not null").groupBy("account").agg(F.max("cursor").alias("cursor"))
+            cursors.merge(names.select("account").distinct().join(failed, "account", "left"), upserted(["account"]))
+            counts = got.where("id is not null").groupBy("account").agg(F.max("id").alias("last_tweet_id"), F.count("*").alias("total_tweets"))
+            counts = names.select("account").distinct().join(counts, "account", "left").join(failed, "account", "left")
+            changes = counts.select("account", "last_tweet_id", F.col("cursor").alias("last_cursor"), F.coalesce("total_tweets", F.lit(0)).cast("long").alias("total_tweets"))
+            Store(spark, f"{a.store}/state", ["account"], 8).merge(changes, state.upsert_state)
             new, errors = got.where("id is not null"), got.where("error is not null").select("account", "error")
         new.select(F.concat(F.lit('{"tweets":['), "json_data", F.lit("]}")).alias("value")).write.mode("append").text(a.landing)
         errors.show(truncate=False)
@@ -79,11 +88,18 @@ def twitter_sync(spark: SparkSession, a) -> None:
 
 
 def twitter_status(spark: SparkSession, a) -> None:
-    """Stored tweets as a whole and by author, and the last searches."""
+    """Stored tweets as a whole, by account with its state and days, and the last searches."""
     if (processed := _stored(spark, f"{a.store}/processed")) is not None:
         state.table_stats(processed).show(truncate=False)
-    spark.read.parquet(f"{a.store}/raw").groupBy("author").agg(F.count("*").alias("n_raw"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")).orderBy("author").show(a.rows, truncate=False)
-    if (searches := _stored(spark, f"{a.store}/searches")) is not None:
+    stored = spark.read.parquet(f"{a.store}/raw")
+    searches, states = _stored(spark, f"{a.store}/searches"), Store(spark, f"{a.store}/state").read()
+    raw_rows = stored.select(F.coalesce(F.nullif("username", F.lit("")), "author").alias("account"))
+    none = spark.createDataFrame([], "account string, last_tweet_id string, last_cursor string, total_tweets long")
+    states = none if states is None else states
+    journal = spark.createDataFrame([], "account string, fetch_date date") if searches is None else searches.where("error is null").select("account", F.explode(F.sequence("since", F.date_sub("until", 1))).alias("fetch_date"))
+    accounts = raw_rows.union(states.select("account")).union(journal.select("account")).where("account is not null").distinct()
+    state.status_report(accounts, states, raw_rows, journal).orderBy("account").show(a.rows, truncate=False)
+    if searches is not None:
         searches.orderBy(F.desc("since"), "account").show(20, truncate=False)
 
 
@@ -200,7 +216,7 @@ def categorize(spark: SparkSession, a) -> None:
 
 #: command -> (function, options as (flag, keyword arguments))
 COMMANDS = {
-    "twitter-sync": (twitter_sync, [("--landing", {}), ("--store", {}), ("--source", {}), ("--account", {"nargs": "*"}), ("--accounts-file", {}), ("--full", {"action": "store_true"}), ("--max-tweets", {"type": int}), ("--backfill-to", {}), ("--since", {}), ("--until", {}), ("--pause", {"type": float, "default": 0.2}), ("--estimate", {"action": "store_true"}), ("--accounts", {"type": int, "default": 6}), ("--months", {"type": int, "default": 1}), ("--files-per-batch", {"type": int})]),
+    "twitter-sync": (twitter_sync, [("--landing", {}), ("--store", {}), ("--source", {}), ("--account", {"nargs": "*"}), ("--accounts-file", {}), ("--full", {"action": "store_true"}), ("--resume", {"action": "store_true"}), ("--max-tweets", {"type": int}), ("--backfill-to", {}), ("--since", {}), ("--until", {}), ("--pause", {"type": float, "default": 0.2}), ("--estimate", {"action": "store_true"}), ("--accounts", {"type": int, "default": 6}), ("--months", {"type": int, "default": 1}), ("--files-per-batch", {"type": int})]),
     "twitter-status": (twitter_status, [("--store", {"required": True}), ("--rows", {"type": int, "default": 100})]),
     "twitter-export": (twitter_export, [("--store", {"required": True}), ("--output", {"required": True}), ("--since", {}), ("--until", {}), ("--account", {}), ("--ticker", {})]),
     "ohlcv-sync": (ohlcv_sync, [("--landing", {"required": True}), ("--store", {"required": True}), ("--buckets", {"type": int, "default": 64}), ("--intraday", {"action": "store_true"}), ("--backfill", {"action": "store_true"})]),

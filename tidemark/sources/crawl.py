@@ -24,7 +24,7 @@ Page = Callable[[str, str | None], tuple[list[dict], str | None]]
 #: ``search(account, since, until, cursor)``: the same for a range, ``until`` excluded.
 Search = Callable[[str, date, date, str | None], tuple[list[dict], str | None]]
 ROW = "account string, id string, created string, json_data string"
-PAGE_ROW = f"{ROW}, place int, next_cursor string, error string"
+PAGE_ROW = f"{ROW}, place int, next_cursor string, error string, cursor string"
 
 
 def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.RecordBatch:
@@ -44,7 +44,7 @@ def _tried(page: Page, account: str, cursor: str | None, retries: int, pause: fl
 
 def _fetched(open_accounts: DataFrame, page: Page, pause: float, retries: int) -> DataFrame:
     """One page of each ``(account, cursor)``; an empty or failed one is a row without an id."""
-    kinds = [*[pa.string()] * 4, pa.int32(), pa.string(), pa.string()]
+    kinds = [*[pa.string()] * 4, pa.int32(), *[pa.string()] * 3]
     names = [x.split()[0] for x in PAGE_ROW.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -52,18 +52,19 @@ def _fetched(open_accounts: DataFrame, page: Page, pause: float, retries: int) -
             for account, cursor in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 try:
                     tweets, after = _tried(page, account, cursor, retries, pause)
-                    rows = [(account, t["id"], t.get("createdAt"), json.dumps(t), k, after, None) for k, t in enumerate(tweets)]
+                    rows = [(account, t["id"], t.get("createdAt"), json.dumps(t), k, after, None, cursor) for k, t in enumerate(tweets)]
                 except Exception as e:  # one account's failure is data, not the job's end
-                    rows, after = [(account, None, None, None, 0, None, f"{type(e).__name__}: {e}")], None
-                yield _batch(rows or [(account, None, None, None, 0, None, None)], kinds, names)
+                    rows, after = [(account, None, None, None, 0, None, f"{type(e).__name__}: {e}", cursor)], None
+                yield _batch(rows or [(account, None, None, None, 0, None, None, cursor)], kinds, names)
                 time.sleep(pause)
 
     return open_accounts.select("account", "cursor").repartition("account").mapInArrow(run, PAGE_ROW)
 
 
 def crawled(accounts: DataFrame, page: Page, known: DataFrame | None = None, until: date | None = None, most: int | None = None, cursors: DataFrame | None = None, pause: float = 0.0, retries: int = 1) -> DataFrame:
-    """``(account, id, created, json_data, error)``: new tweets of all accounts.
+    """``(account, id, created, json_data, error, cursor)``: new tweets of all accounts.
 
+    ``cursor`` is that of the row's page, so an error's is where to resume.
     Without ``until`` an account is crawled up to its first known id; with it known ids are
     skipped, and the crawl ends with the page that holds an older tweet (its older tweets go).
     It also ends with ``most`` new tweets, without a next cursor, on an empty page, and on an
@@ -101,7 +102,7 @@ def crawled(accounts: DataFrame, page: Page, known: DataFrame | None = None, unt
         after = after.where("not stop and cursor is not null" + (f" and found < {most}" if most else ""))
         state = saved(after.select("account", "cursor", "found"), "crawl-state")
         if state.isEmpty():
-            return spark.read.schema(schema).parquet(f"{folder}/*").where("fresh or error is not null").select("account", "id", "created", "json_data", "error")
+            return spark.read.schema(schema).parquet(f"{folder}/*").where("fresh or error is not null").select("account", "id", "created", "json_data", "error", "cursor")
 
 
 def searched(ranges: DataFrame, search: Search, known: DataFrame | None = None, retries: int = 3, pause: float = 0.0) -> tuple[DataFrame, DataFrame]:
@@ -160,11 +161,13 @@ def backfilled(accounts: DataFrame, journal: DataFrame, search: Search, first: d
     return searched(days.withColumn("until", F.date_add("since", 1)), search, known, retries)
 
 
-def fetched_bars(symbols: DataFrame, fetch: Callable[[list[str]], list[dict]], intraday: bool = False, batch: int = 50, pause: float = 0.0) -> tuple[DataFrame, DataFrame]:
+def fetched_bars(symbols: DataFrame, fetch: Callable[[list[str]], list[dict]], intraday: bool = False, batch: int = 50, pause: float = 0.0, one_by_one: bool | None = None) -> tuple[DataFrame, DataFrame]:
     """Bars of all symbols, and ``(symbol, error)`` of those that failed.
 
     ``fetch(symbols)`` returns bars as dicts with lower-case names; symbols go in batches of
-    ``batch`` (1: one after another), and a batch that raises fails as a whole.
+    ``batch``, and a batch that raises fails as a whole.  ``one_by_one`` (None: for intraday
+    bars): all batches go through one task, in order of their symbols, so that ``pause`` lies
+    between any two requests of the job; only names and bars pass through it.
     """
     time_name = "bar_ts" if intraday else "bar_date"
     kind, stamp = ("timestamp", pa.timestamp("us", tz="UTC")) if intraday else ("date", pa.date32())
@@ -187,7 +190,10 @@ def fetched_bars(symbols: DataFrame, fetch: Callable[[list[str]], list[dict]], i
     groups = max(1, -(-named.count() // batch))
     dealt = named.groupBy(F.pmod(F.xxhash64("symbol"), F.lit(groups)).alias("number")).agg(F.sort_array(F.collect_list("symbol")).alias("all"))
     cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / batch).cast("int")), lambda k: F.slice("all", k * batch + 1, F.lit(batch)))
-    got = saved(dealt.select("number", F.explode(cut).alias("symbols")).mapInArrow(run, f"symbol string, {time_name} {kind}, open double, high double, low double, close double, volume double, error string"), "fetched-bars")
+    asked = dealt.select("number", F.explode(cut).alias("symbols"))
+    if intraday if one_by_one is None else one_by_one:
+        asked = asked.repartition(1).sortWithinPartitions("symbols")
+    got = saved(asked.mapInArrow(run, f"symbol string, {time_name} {kind}, open double, high double, low double, close double, volume double, error string"), "fetched-bars")
     return got.where("error is null").drop("error"), got.where("error is not null").select("symbol", "error")
 
 
