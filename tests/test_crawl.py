@@ -201,3 +201,34 @@ def metadata_read_through(spark, sf):
 def test_crawls_of_a_played_service_equal_sql(spark, sf, duck, same, name):
     run, sql = PLAYED[name]
     same(run(spark, sf).toPandas(), duck(sf, sql))
+
+
+def test_connections_are_closed_and_the_service_is_tried(spark, tmp_path):
+    log = str(tmp_path / "log")
+
+    class Line:
+        def __init__(self):
+            open(log, "a").write("open ")
+
+        def close(self):
+            open(log, "a").write("closed ")
+
+    def use(line, symbols):
+        if "B" in symbols:
+            raise OSError("lost")
+        return [{"symbol": s, "bar_date": date(2024, 1, 1), **dict.fromkeys(("open", "high", "low", "close", "volume"), 1.0)} for s in symbols]
+
+    bars, errors = C.fetched_bars(spark.createDataFrame([("A",), ("B",), ("C",)], "symbol string"), C.connected(Line, use), batch=1, one_by_one=True)
+    assert {x.symbol for x in bars.collect()} == {"A", "C"} and [x.error for x in errors.collect()] == ["OSError: lost"]
+    assert open(log).read().split() == ["open", "closed"] * 3
+    assert C.reachable(page, "11") == "OSError: no such account" and C.reachable(page, "1") is None
+
+
+def test_preloaded_bars(spark):
+    bars = spark.createDataFrame([("A", 1), ("B", 2), ("A", 3)], "symbol string, close int")
+    store = raw.PreloadedBars(bars)
+    assert store.in_memory("A").collect() == [] and store.of("A").count() == 2
+    assert store.preload(spark.createDataFrame([("A",), (None,), ("Z",)], "symbol string")).count() == 2
+    assert store.held.is_cached and store.in_memory("B").collect() == [] and store.of("B").count() == 1 and store.in_memory("A").count() == 2
+    store.release()
+    assert store.held is None

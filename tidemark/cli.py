@@ -87,6 +87,14 @@ def twitter_sync(spark: SparkSession, a) -> None:
     sync(spark, a.landing, a.store, f"{a.store}/checkpoint", files_per_batch=a.files_per_batch).awaitTermination()
 
 
+def twitter_test(spark: SparkSession, a) -> None:
+    """Whether the service answers for an account; an error ends the command with status 1."""
+    error = crawl.reachable(_function(a.source), a.account)
+    print(error or "ok")
+    if error:
+        raise SystemExit(1)
+
+
 def twitter_status(spark: SparkSession, a) -> None:
     """Stored tweets as a whole, by account with its state and days, and the last searches."""
     if (processed := _stored(spark, f"{a.store}/processed")) is not None:
@@ -217,6 +225,7 @@ def categorize(spark: SparkSession, a) -> None:
 #: command -> (function, options as (flag, keyword arguments))
 COMMANDS = {
     "twitter-sync": (twitter_sync, [("--landing", {}), ("--store", {}), ("--source", {}), ("--account", {"nargs": "*"}), ("--accounts-file", {}), ("--full", {"action": "store_true"}), ("--resume", {"action": "store_true"}), ("--max-tweets", {"type": int}), ("--backfill-to", {}), ("--since", {}), ("--until", {}), ("--pause", {"type": float, "default": 0.2}), ("--estimate", {"action": "store_true"}), ("--accounts", {"type": int, "default": 6}), ("--months", {"type": int, "default": 1}), ("--files-per-batch", {"type": int})]),
+    "twitter-test": (twitter_test, [("--source", {"required": True}), ("--account", {"required": True})]),
     "twitter-status": (twitter_status, [("--store", {"required": True}), ("--rows", {"type": int, "default": 100})]),
     "twitter-export": (twitter_export, [("--store", {"required": True}), ("--output", {"required": True}), ("--since", {}), ("--until", {}), ("--account", {}), ("--ticker", {})]),
     "ohlcv-sync": (ohlcv_sync, [("--landing", {"required": True}), ("--store", {"required": True}), ("--buckets", {"type": int, "default": 64}), ("--intraday", {"action": "store_true"}), ("--backfill", {"action": "store_true"})]),

@@ -203,6 +203,13 @@ def _bar_store(spark, sf) -> str:
     return path
 
 
+@query(f"WITH {S.DAILY} SELECT symbol, bar_date, close FROM daily WHERE symbol IN (SELECT o_orderpriority FROM orders GROUP BY 1 HAVING count(*) % 2 = 0)")
+def preloaded_bars(spark, sf):
+    """Bars that stay in memory for the symbols that a table asks for."""
+    wanted = S.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("symbol")).count().where("count % 2 = 0")
+    return raw.PreloadedBars(raw.read_bars(spark, _bar_store(spark, sf))).preload(wanted).select("symbol", "bar_date", "close")
+
+
 def _asked(spark, sf) -> DataFrame:
     """The symbols of orders, and the flags of line items, which have no bars."""
     modes = S.table(spark, sf, "lineitem").select(F.col("l_returnflag").alias("symbol"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import time
 from collections.abc import Callable, Iterator
+from contextlib import closing
 from datetime import date
 
 import pyarrow as pa
@@ -32,6 +33,26 @@ def _batch(rows: list[tuple], kinds: list[pa.DataType], names: list[str]) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
 
+def reachable(page: Page, account: str) -> str | None:
+    """Why the service doesn't answer for ``account``, or None if it does."""
+    try:
+        page(account, None)
+    except Exception as e:
+        return f"{type(e).__name__}: {e}"
+    return None
+
+
+def connected(connect: Callable, use: Callable) -> Callable[[list[str]], list[dict]]:
+    """``fetch(symbols)`` for ``fetched_bars`` that opens a connection for each batch of
+    symbols (``connect()``, where the task runs), uses it and closes it in any case."""
+
+    def fetch(symbols: list[str]) -> list[dict]:
+        with closing(connect()) as connection:
+            return use(connection, symbols)
+
+    return fetch
+
+
 def _tried(page: Page, account: str, cursor: str | None, retries: int, pause: float) -> tuple[list[dict], str | None]:
     for left in range(retries - 1, -1, -1):
         try:

@@ -104,6 +104,36 @@ def bars_of_symbols(bars: DataFrame, symbols: DataFrame) -> DataFrame:
     return bars.join(symbols.select("symbol").distinct(), "symbol", "left_semi")
 
 
+class PreloadedBars:
+    """A bar store of which some symbols' bars stay in the executors' memory.
+
+    What is preloaded spills to disk and is read again where an executor is lost.
+    """
+
+    def __init__(self, bars: DataFrame):
+        self.bars, self.held = bars, None
+
+    def preload(self, symbols: DataFrame) -> DataFrame:
+        """Keep the bars of a table of symbols, in place of those kept so far."""
+        self.release()
+        self.held = bars_of_symbols(self.bars, symbols).persist()
+        return self.held
+
+    def in_memory(self, symbol: str) -> DataFrame:
+        """A symbol's bars as far as they are preloaded; none otherwise."""
+        return (self.bars.limit(0) if self.held is None else self.held).where(F.col("symbol") == symbol)
+
+    def of(self, symbol: str) -> DataFrame:
+        """A symbol's bars, from memory if they are there and else from the store."""
+        kept = self.in_memory(symbol)
+        return self.bars.where(F.col("symbol") == symbol) if kept.isEmpty() else kept
+
+    def release(self) -> None:
+        if self.held is not None:
+            self.held.unpersist()
+            self.held = None
+
+
 def store_stats(bars: DataFrame, time: str = "bar_date") -> DataFrame:
     """``(symbol, n_bars, first_bar, last_bar)`` of a store."""
     return bars.groupBy("symbol").agg(F.count("*").alias("n_bars"), F.min(time).alias("first_bar"), F.max(time).alias("last_bar"))
