@@ -75,10 +75,10 @@ def _replacements(quotes: bool) -> dict[int, str]:
 def _cleaner(quotes: bool) -> Callable[[str], str]:
     """A text's compatibility forms folded, signs and emoji as tokens, single blanks.
 
-    Only runs of signs that change are looked up; letters of any script are passed over.
+    ASCII and Latin letters (U+00C0 to U+024F), none of which change, are passed over.
     """
     table = _replacements(quotes)
-    signs = re.compile(f"[{''.join(map(re.escape, map(chr, table)))}{REST.pattern[1:-2]}]+")
+    signs = re.compile("[^\x00-\x7fÀ-ɏ]+")
 
     def run(found: re.Match) -> str:
         return REST.sub("", found[0].translate(table))
