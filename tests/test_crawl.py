@@ -8,7 +8,7 @@ import sys
 from datetime import date, datetime, timedelta
 
 import pytest
-from pyspark import cloudpickle
+from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -232,3 +232,15 @@ def test_preloaded_bars(spark):
     assert store.held.is_cached and store.in_memory("B").collect() == [] and store.of("B").count() == 1 and store.in_memory("A").count() == 2
     store.release()
     assert store.held is None
+
+
+def test_landed_metadata_is_joined_and_asked_in_many_tasks(spark):
+    tickers = spark.createDataFrame([("A",), ("B",), ("B",), ("C",), ("D",), (None,)], "ticker string")
+    names = "ticker string, sector string, market_cap_bucket string"
+    stored = spark.createDataFrame([("A", "Stored", "mega")], names)
+    there = spark.createDataFrame([("A", "New", "small"), ("B", "Found", None), ("D", "Two", "y"), ("D", "One", "x"), (None, "No", "no")], names)
+    got = C.with_metadata(tickers, stored, there).collect()
+    assert {tuple(x) for x in got} == {("A", "Stored", "mega"), ("B", "Found", None), ("C", "Other", "unknown"), ("D", "One", "x")} and len(got) == 4
+    # A function is asked in as many tasks as a shuffle has, however small they are.
+    where = C.with_metadata(spark.range(100).select(F.col("id").cast("string").alias("ticker")), stored, lambda t: (str(TaskContext.get().partitionId()), t))
+    assert len({r[1] for r in where.collect() if r[1] != "Stored"}) == int(spark.conf.get("spark.sql.shuffle.partitions"))

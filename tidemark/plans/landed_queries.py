@@ -235,12 +235,12 @@ def validate_contracts(spark, sf):
 @query("""SELECT CAST(s_suppkey AS VARCHAR) AS ticker, CASE WHEN s_suppkey % 2 = 0 THEN 'Stored' WHEN s_suppkey % 5 = 0 THEN 'Other' ELSE s_name END AS sector,
 CASE WHEN s_suppkey % 2 = 0 THEN 'mega_cap' WHEN s_suppkey % 5 = 0 THEN 'unknown' WHEN s_acctbal >= 5000 THEN 'large_cap' ELSE 'small_cap' END AS market_cap_bucket FROM supplier""")
 def metadata_read_through(spark, sf):
-    """Stored metadata, written as JSON and read again; the rest is looked up where it landed."""
+    """Stored metadata, written as JSON and read again; the rest is joined with what landed."""
     s = S.table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("ticker"), F.col("s_suppkey").alias("k"), "s_name", "s_acctbal")
     path, there = scratch_path(spark, "metadata-json"), scratch_path(spark, "metadata-landed")
     sinks.write_metadata(s.where("k % 2 = 0").select("ticker", F.lit("Stored").alias("sector"), F.lit("mega_cap").alias("market_cap_bucket")), path)
     s.where("k % 5 <> 0").select("ticker", F.col("s_name").alias("sector"), F.when(F.col("s_acctbal") >= 5000, "large_cap").otherwise("small_cap").alias("market_cap_bucket")).write.parquet(there)
-    return C.with_metadata(s.select("ticker"), raw.read_metadata_rows(spark, path), stores.metadata_finder(there))
+    return C.with_metadata(s.select("ticker"), raw.read_metadata_rows(spark, path), spark.read.parquet(there))
 
 
 # ---------------------------------------------------------------- stores that are merged in place

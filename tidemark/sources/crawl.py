@@ -229,12 +229,20 @@ def validated(symbols: DataFrame, check: Callable[[list[str]], list[str]], batch
     return symbols.select("symbol").distinct().join(good, "symbol", "left").withColumn("valid", F.coalesce("valid", F.lit(False)))
 
 
-def with_metadata(tickers: DataFrame, stored: DataFrame, lookup: Callable[[str], tuple[str, str]]) -> DataFrame:
+def with_metadata(tickers: DataFrame, stored: DataFrame, lookup: Callable[[str], tuple[str, str]] | DataFrame) -> DataFrame:
     """``(ticker, sector, market_cap_bucket)``: stored, or looked up where it isn't.
 
-    A lookup that fails says Other and unknown, and is stored like any other answer.
+    ``lookup`` is a function that is asked for one ticker after another, or a table of landed
+    answers, which is joined; of answers that share a ticker the least row counts.  A lookup
+    that fails says Other and unknown, and is stored like any other answer.
     """
     names = ["ticker", "sector", "market_cap_bucket"]
+    missing = tickers.select("ticker").where("ticker is not null").distinct().join(stored.select("ticker"), "ticker", "left_anti")
+    if isinstance(lookup, DataFrame):
+        answers = lookup.groupBy("ticker").agg(F.min(F.struct(*names[1:])).alias("m"))
+        none = F.col("m").isNull()
+        found = missing.join(answers, "ticker", "left").select("ticker", F.when(none, "Other").otherwise(F.col("m.sector")).alias("sector"), F.when(none, "unknown").otherwise(F.col("m.market_cap_bucket")).alias("market_cap_bucket"))
+        return stored.select(*names).unionByName(saved(found, "metadata"))
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -246,5 +254,6 @@ def with_metadata(tickers: DataFrame, stored: DataFrame, lookup: Callable[[str],
                     rows.append((ticker, "Other", "unknown"))
             yield _batch(rows, [pa.string()] * 3, names)
 
-    missing = tickers.select("ticker").where("ticker is not null").distinct().join(stored.select("ticker"), "ticker", "left_anti")
+    # By number and by a hash of its own, or AQE puts these small rows together in one task.
+    missing = missing.repartition(int(tickers.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.xxhash64("ticker"))
     return stored.select(*names).unionByName(saved(missing.mapInArrow(run, "ticker string, sector string, market_cap_bucket string"), "metadata"))

@@ -11,16 +11,16 @@ from pyarrow import fs
 from .pages import _opened
 
 
-def _dataset(path: str, partitioned: bool) -> ds.Dataset:
+def _dataset(path: str) -> ds.Dataset:
     store, root = _opened(path)
-    return ds.dataset(root, filesystem=store, format="parquet", partitioning="hive" if partitioned else None)
+    return ds.dataset(root, filesystem=store, format="parquet", partitioning="hive")
 
 
 def bar_fetcher(path: str, time: str = "bar_date") -> Callable[[list[str]], list[dict]]:
     """``fetch(symbols)`` from a parquet store partitioned by symbol; one without bars raises."""
 
     def fetch(symbols: list[str]) -> list[dict]:
-        found = _dataset(path, True).to_table(filter=pc.field("symbol").isin(symbols)).to_pylist()
+        found = _dataset(path).to_table(filter=pc.field("symbol").isin(symbols)).to_pylist()
         if none := sorted(set(symbols) - {r["symbol"] for r in found}):
             raise LookupError(f"no bars of {', '.join(none)}")
         return [{"symbol": str(r["symbol"]), **{c: r[c] for c in (time, "open", "high", "low", "close", "volume")}} for r in found]
@@ -39,15 +39,3 @@ def contract_checker(path: str) -> Callable[[list[str]], list[str]]:
         return [s for s in symbols if s in there]
 
     return check
-
-
-def metadata_finder(path: str) -> Callable[[str], tuple[str, str]]:
-    """``lookup(ticker)`` in a parquet table of metadata; an unknown one raises."""
-
-    def lookup(ticker: str) -> tuple[str, str]:
-        rows = _dataset(path, False).to_table(filter=pc.field("ticker") == ticker).to_pylist()
-        if not rows:
-            raise LookupError(ticker)
-        return rows[0]["sector"], rows[0]["market_cap_bucket"]
-
-    return lookup
