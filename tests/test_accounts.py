@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import state
 from tidemark.sources.versioned import Store
+from tidemark.streaming import accounts
 from tidemark.streaming.accounts import keep_account_states
 
 ROW = "account string, id string, cursor string, ts timestamp"
@@ -66,3 +67,18 @@ def test_timers_tell_which_accounts_are_quiet(spark, tmp_path):
             assert quiet == {"a": True, "b": False}
     assert quiet == {"a": False, "b": False}
     assert store.read().agg(F.sum("total_tweets")).first()[0] == 5
+
+
+def test_a_state_is_folded_in_the_jvm_and_ties_do_not_hang_on_order(spark, tmp_path):
+    """One grouping, no Python for each account."""
+    tweets = [("a", "1", "x", at(1)), ("a", "1", "y", at(1)), ("a", None, "z", at(2)), ("b", None, None, at(1)), ("a", "0", "late", at(0))]
+    for order in (tweets, tweets[::-1]):
+        one = accounts.folded(accounts.tweet_states(spark.createDataFrame(order, ROW)))
+        assert {tuple(r)[:5] for r in one.collect()} == {("a", "1", "z", 4, at(2)), ("b", None, None, 1, at(1))}
+    assert "Python" not in one._jdf.queryExecution().toString()
+    source, store = str(tmp_path / "in"), Store(spark, str(tmp_path / "store"), ["account"], 4)
+    for _ in range(2):
+        rows = spark.range(5000).selectExpr("cast(id as string) account", "cast(id as string) id", "'c' cursor", "timestamp'2024-01-01' ts")
+        rows.coalesce(1).write.mode("append").parquet(source)
+    keep_account_states(spark.readStream.schema(ROW).parquet(source), store, str(tmp_path / "cp")).awaitTermination()
+    assert store.read().where("total_tweets = 2 and last_tweet_id = account").count() == 5000

@@ -186,10 +186,9 @@ def sync_states(spark, sf):
     e = S.table(spark, sf, "events").select(F.col("user_id").cast("string").alias("account"), F.col("event_id").cast("string").alias("id"), F.concat(F.lit("cursor "), F.col("event_id").cast("string")).alias("cursor"), F.col("ts").cast("timestamp").alias("ts"))
     source, root = scratch_path(spark, "tweets"), scratch_path(spark, "states")
     store = Store(spark, root, ["account"], 8)
-    for parts in ((2, 0), (1,)):
-        for part in parts:
-            e.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    for part in (2, 0, 1):
+        e.where(F.pmod(F.xxhash64("id"), F.lit(3)) == part).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(e.schema).parquet(source)
         keep_account_states(stream, store, f"{root}-checkpoint", "60 days").awaitTermination()
     return store.read().select("account", "last_tweet_id", "last_cursor", "total_tweets", F.col("last_ts").cast("timestamp_ntz").alias("last_ts"))
 

@@ -1,97 +1,62 @@
 """State kept per account while tweets stream in: last tweet, cursor, totals, and silence.
 
-The state of an account is one value, so it doesn't grow with its tweets.  What a batch
-changes is merged into a versioned store under the batch's number, so a batch that is
-repeated after a crash changes nothing.
+The state of an account is one row of a versioned store, so it doesn't grow with its tweets.
+A batch is folded into the stored rows by grouping, under the batch's number, so a batch that
+is repeated after a crash changes nothing.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.versioned import Store, upserted
+from ..sources.versioned import Store
 
-STATE = "last_tweet_id string, last_cursor string, total_tweets long, last_ts timestamp"
-CHANGE = f"account string, {STATE}, quiet boolean"
-PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Besides what is shown: where the id and the cursor came from, for late tweets.
+STATE = ["account", "last_tweet_id", "last_cursor", "total_tweets", "last_ts", "quiet", "id_ts", "cursor_key"]
 
 
-def _text(x) -> str | None:
-    return None if x is None or x != x else str(x)
+def tweet_states(tweets: DataFrame) -> DataFrame:
+    """The state after each tweet alone; tweets without an account or a time are left out."""
+    rows = tweets.select("account", F.col("id").cast("string").alias("last_tweet_id"), F.col("cursor").cast("string").alias("last_cursor"), F.lit(1).cast("long").alias("total_tweets"), F.col("ts").cast("timestamp").alias("last_ts"), F.lit(False).alias("quiet"))
+    rows = rows.where("account is not null and last_ts is not null")
+    return rows.withColumns({"id_ts": F.when(F.col("last_tweet_id").isNotNull(), F.col("last_ts")), "cursor_key": F.coalesce("last_tweet_id", F.lit(""))}).select(STATE)
 
 
-class Accounts(StatefulProcessor):
-    """Sync state by account, and a timer that tells when it has been quiet for ``quiet_ms``.
+def folded(states: DataFrame) -> DataFrame:
+    """One state of all of an account's states.
 
     The tweet with the latest (ts, id) gives the cursor, and its id; where that is null the
     latest one with an id does.  Late tweets count and change nothing else.
     """
+    newest = F.max(F.struct("last_ts", "cursor_key", "last_cursor")).alias("c")
+    named = F.max(F.when(F.col("id_ts").isNotNull(), F.struct("id_ts", "last_tweet_id"))).alias("i")
+    one = states.groupBy("account").agg(newest, named, F.sum("total_tweets").alias("total_tweets"))
+    return one.select("account", "i.last_tweet_id", "c.last_cursor", "total_tweets", "c.last_ts", F.lit(False).alias("quiet"), "i.id_ts", "c.cursor_key")
 
-    def __init__(self, quiet_ms: int):
-        self.quiet_ms = quiet_ms
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        # Besides what is shown: where the id and the cursor came from, for late tweets.
-        self.state = handle.getValueState("account", f"{STATE}, id_ts timestamp, cursor_key string")
-
-    def _row(self, account: str, v: tuple, quiet: bool) -> pd.DataFrame:
-        return pd.DataFrame([(account, *v[:4], quiet)], columns=["account", "last_tweet_id", "last_cursor", "total_tweets", "last_ts", "quiet"])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else (None, None, 0, None, None, None)
-        last_id, cursor, total, last_ts, id_ts, cursor_key = held
-        before = last_ts
-        for part in rows:
-            total += len(part)
-            for ts, name, at in zip(part["ts"], part["id"], part["cursor"], strict=True):
-                name, at, order = _text(name), _text(at), _text(name) or ""
-                if last_ts is None or (ts, order) > (last_ts, cursor_key or ""):
-                    last_ts, cursor, cursor_key = ts, at, order
-                if name is not None and (id_ts is None or (ts, name) > (id_ts, last_id)):
-                    id_ts, last_id = ts, name
-        after = (last_id, cursor, total, last_ts, id_ts, cursor_key)
-        self.state.update(after)
-        if self.quiet_ms and last_ts != before:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(int(pd.Timestamp(last_ts).timestamp() * 1000) + self.quiet_ms)
-        yield self._row(key[0], after, False)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield self._row(key[0], self.state.get(), True)
-
-    def close(self) -> None:
-        pass
 
+def keep_account_states(tweets: DataFrame, store: Store, checkpoint: str, lateness: str = "7 days", quiet_hours: int = 0, writer: str = "accounts") -> StreamingQuery:
+    """Keep ``(account, last_tweet_id, last_cursor, total_tweets, last_ts, quiet)`` of a stream
+    of ``(account, id, cursor, ts)`` in ``store`` (keys ``account``), each batch once.
 
-def account_states(tweets: DataFrame, lateness: str = "7 days", quiet_hours: int = 0) -> DataFrame:
-    """Changes ``(account, last_tweet_id, last_cursor, total_tweets, last_ts, quiet)`` of a
-    stream of ``(account, id, cursor, ts)``.
-
-    Tweets without an account or a time are left out, and so are those that are later than
-    ``lateness`` behind the latest one.  With ``quiet_hours`` an account without tweets for so
-    long (by the stream's own time) has a row with ``quiet``.
+    The watermark lies ``lateness`` behind the latest tweet of earlier batches; a batch's tweets
+    that are older are left out.  With ``quiet_hours`` an account is ``quiet`` once the watermark
+    after a batch is so far behind its last tweet.
     """
-    tweets.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
-    rows = tweets.where("account is not null and ts is not null").select("account", F.col("id").cast("string").alias("id"), F.col("cursor").cast("string").alias("cursor"), F.col("ts").cast("timestamp").alias("ts"))
-    grouped = rows.withWatermark("ts", lateness).groupBy("account")
-    return grouped.transformWithStateInPandas(statefulProcessor=Accounts(quiet_hours * 3_600_000), outputStructType=CHANGE, outputMode="Update", timeMode="EventTime")
-
-
-def keep_account_states(tweets: DataFrame, store: Store, checkpoint: str, lateness: str = "7 days", quiet_hours: int = 0, writer: str = "accounts") -> StreamingQuery:
-    """Merge the changes of each batch into ``store`` (keys ``account``), once each."""
+    micros = lambda c: F.unix_micros(c - F.expr(f"interval {lateness}"))
 
     def commit(batch: DataFrame, number: int) -> None:
-        # Of an account's rows of one batch the one of a timer comes after that of its tweets.
-        changes = batch.withColumn("after", F.struct("last_ts", "total_tweets", "quiet"))
-        changes = changes.groupBy("account").agg(F.max_by(F.struct("last_tweet_id", "last_cursor", "total_tweets", "last_ts", "quiet"), "after").alias("r")).select("account", "r.*")
-        store.merge(changes, upserted(["account"]), batch=(writer, number))
-
-    out = account_states(tweets, lateness, quiet_hours)
-    return out.writeStream.foreachBatch(commit).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        stored, changes = store.read(), tweet_states(batch)
+        before = None if stored is None else stored.agg(micros(F.max("last_ts"))).first()[0]
+        if before is not None:
+            changes = changes.where(F.unix_micros("last_ts") > before)
+        quiet = F.lit(False)
+        if quiet_hours:
+            after = max((x for x in (before, changes.agg(micros(F.max("last_ts"))).first()[0]) if x is not None), default=0)
+            quiet = F.unix_micros("last_ts") <= after - quiet_hours * 3_600_000_000
+            if stored is not None:  # accounts that fall silent without a tweet of this batch
+                changes = changes.unionByName(stored.where(quiet & ~F.col("quiet")).withColumn("total_tweets", F.lit(0).cast("long")))
+        store.merge(changes, lambda held, new: folded(held.unionByName(new)).withColumn("quiet", quiet), batch=(writer, number))
+
+    return tweets.writeStream.foreachBatch(commit).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
