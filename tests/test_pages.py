@@ -37,6 +37,17 @@ def test_every_line_is_read_once_however_files_are_cut(tmp_path, size):
     assert sorted(got) == sorted([*want, (2, "part-1", 0, "one"), (10, "part-0", 2, "ten")])
 
 
+def test_a_stretch_is_read_in_blocks(tmp_path, monkeypatch):
+    """A task holds a block, not its stretch; lines longer than a block are whole."""
+    texts = [b"%d " % k + b"x" * (k % 90) for k in range(3000)] + [b"y" * 70_000, b"z" * 500, b"end"]
+    folder(tmp_path, 1, {"part-0": b"\n".join(texts)})
+    monkeypatch.setattr(pages, "BLOCK", 1000, raising=False)
+    for size in (777, 50_000, 1 << 30):
+        batches = [b.column(3).to_pylist() for s in pages.stretches(str(tmp_path), [1], size) for b in pages.lines(str(tmp_path), s)]
+        assert [x for b in batches for x in b] == [x.decode() for x in texts]
+        assert max(sum(map(len, b)) for b in batches if max(map(len, b)) < 1000) <= 3000
+
+
 def land(tmp_path, number, rows):
     folder(tmp_path, number, {"part-0": b"".join(json.dumps(x).encode() + b"\n" for x in rows)})
 

@@ -26,6 +26,8 @@ from ..functions.timezones import api_time
 
 #: Bytes of pages that one task reads, about.
 TASK_BYTES = 64 << 20
+#: Bytes that are read at once.
+BLOCK = 1 << 20
 PAGES = "landed long, file string, at long, page string"
 #: A page; tweets stay text.
 PAGE = "account string, page int, day string, error string, next_cursor string, has_next_page boolean, tweets array<string>, data struct<tweets: array<string>>"
@@ -69,31 +71,40 @@ def stretches(path: str, numbers: list[int], task_bytes: int) -> list[Stretch]:
     return [*out, Stretch(held)] if held else out
 
 
+def _blocks(f, lo: int, hi: int) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Places and lines of those lines that begin from ``lo`` to ``hi``, about a block at a time."""
+    # The byte before tells whether a line begins at ``lo``.
+    at = pos = max(0, lo - 1)
+    f.seek(at)
+    held = bytearray()
+    while at < hi:
+        more = f.read(min(BLOCK, hi - pos) if pos < hi else 1 << 16)
+        pos += len(more)
+        end = more.rfind(b"\n") + 1
+        if more and not end:
+            held += more
+            continue
+        places, rows = [], []
+        for line in (bytes(held) + more[: end - 1] if more else bytes(held)).split(b"\n"):
+            if lo <= at < hi and line.strip():
+                places.append(at)
+                rows.append(line)
+            at += len(line) + 1
+        held = bytearray(more[end:])
+        if rows:
+            yield places, rows
+        if not more:
+            return
+
+
 def lines(path: str, stretch: Stretch) -> Iterator[pa.RecordBatch]:
+    """The lines of a stretch; of a file no more than a block and its longest line is held."""
     store, _ = _opened(path)
     for number, file, lo, hi in stretch.files:
         with store.open_input_file(file) as f:
-            # A line belongs to the stretch in which it begins.
-            f.seek(max(0, lo - 1))
-            data = f.read(hi - max(0, lo - 1))
-            while data[-1:] != b"\n" and (more := f.read(1 << 16)):
-                end = more.find(b"\n")
-                data += more if end < 0 else more[: end + 1]
-        at = max(0, lo - 1)
-        if lo:
-            first = data.find(b"\n") + 1
-            if not first or lo - 1 + first > hi - 1:
-                continue
-            data, at = data[first:], at + first
-        rows, places = [], []
-        for line in data.split(b"\n"):
-            if line.strip() and at < hi:
-                rows.append(line)
-                places.append(at)
-            at += len(line) + 1
-        columns = [pa.array([number] * len(rows), pa.int64()), pa.array([posixpath.basename(file)] * len(rows)), pa.array(places, pa.int64()), pa.array(rows, pa.binary()).cast(pa.string())]
-        if rows:
-            yield pa.RecordBatch.from_arrays(columns, names=["landed", "file", "at", "page"])
+            for places, rows in _blocks(f, lo, hi):
+                columns = [pa.array([number] * len(rows), pa.int64()), pa.array([posixpath.basename(file)] * len(rows)), pa.array(places, pa.int64()), pa.array(rows, pa.binary()).cast(pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=["landed", "file", "at", "page"])
 
 
 class _Landed:
