@@ -1,11 +1,13 @@
 """Texts, sources, sinks, streaming, preparation, metrics and the model."""
 
 import json
+import tracemalloc
 import unicodedata
 from datetime import datetime
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -196,3 +198,19 @@ def test_commands_parse():
 
     a = parser().parse_args(["prepare", "--tweets", "t", "--output", "o", "--daily-dir", "d", "--intraday-dir", "i", "--metadata", "m"])
     assert a.function.__name__ == "prepare"
+
+
+def test_a_batch_of_long_texts_is_cleaned_in_pieces(monkeypatch):
+    """Python strings of a piece are held, not those of the batch; an emoji makes them four bytes a character."""
+    long = "plain words \U0001f680 " * 10_000
+    batch = pa.array([None, "", "a  b", *[long] * 60, None, "flﬁp"])
+    want = [None, "", "a b", *[("plain words [rocket] " * 10_000).strip()] * 60, None, "flfip"]
+    for f in (X.clean_for_model.func, X.clean_message.func):
+        tracemalloc.start()
+        got = f(batch)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert got.to_pylist() == want and peak < 20e6
+        monkeypatch.setattr(X, "PIECE", 7)
+        assert f(batch.slice(1, 3)).to_pylist() == want[1:4] and f(batch.slice(0, 0)).to_pylist() == []
+        monkeypatch.undo()
