@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
+from ..functions.once import once
 from ..functions.timezones import api_time
 
 #: Bytes of pages that one task reads, about.
@@ -165,7 +166,7 @@ def read_landed(spark: SparkSession, path: str, stream: bool = False, **options)
 
 def parsed(pages: DataFrame) -> DataFrame:
     """Pages of JSON text; unreadable ones are left out, those without an account have an empty one."""
-    p = pages.select("landed", F.from_json("page", PAGE).alias("p")).where("p is not null")
+    p = pages.select("landed", once(F.from_json("page", PAGE)).alias("p")).where("p is not null")
     return p.select("landed", F.coalesce("p.account", F.lit("")).alias("account"), "p.page", F.col("p.day").cast("date").alias("day"), "p.error", "p.next_cursor", F.coalesce("p.tweets", "p.data.tweets", F.array().cast("array<string>")).alias("tweets"))
 
 
@@ -177,11 +178,17 @@ def latest(pages: DataFrame) -> DataFrame:
 
 def tweets_of(pages: DataFrame) -> DataFrame:
     """``(account, page, day, place, id, created, json_data)``, one row per tweet."""
-    each = pages.select("account", "page", "day", F.posexplode("tweets").alias("place", "json_data"))
-    body = F.from_json("json_data", "id string, createdAt string")
+    # Pages without tweets go with the null ids: a test of their arrays would parse the pages again.
+    each = pages.select("account", "page", "day", F.posexplode_outer("tweets").alias("place", "json_data"))
+    body = once(F.from_json("json_data", "id string, createdAt string"))
     return each.withColumn("b", body).select("account", "page", "day", "place", "b.id", F.col("b.createdAt").alias("created"), "json_data").where("id is not null")
 
 
+def texts_of(pages: DataFrame) -> DataFrame:
+    """``(json_data)``, one row per tweet; a page without tweets has a null."""
+    return pages.select(F.explode_outer("tweets").alias("json_data"))
+
+
 def _known(known: DataFrame | None, rows: DataFrame) -> DataFrame:
     if known is None:
         return rows.withColumn("seen", F.lit(False))

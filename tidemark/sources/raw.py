@@ -6,6 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.once import once
 from ..functions.timezones import api_time, bar_instant
 from ..operators.indicators import NUMERICAL
 from ..operators.prep import require_columns
@@ -50,9 +51,12 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return page_tweets(spark.read.schema(PAGE).json(path))
 
 
-def parse_json(raw: DataFrame, column: str = "json_data") -> DataFrame:
-    """Tweets of a text column of JSON objects; unreadable ones are null rows left out."""
-    return projected(raw.select(F.from_json(column, TWEET).alias("t")).where("t is not null").select("t.*"))
+def parse_json(raw: DataFrame, column: str = "json_data", named: bool = False) -> DataFrame:
+    """Tweets of a text column of JSON objects; unreadable ones are null rows left out.
+
+    ``named``: those without an id are left out too.
+    """
+    return projected(raw.select(once(F.from_json(column, TWEET)).alias("t")).where("t.id is not null" if named else "t is not null").select("t.*"))
 
 
 def read_bars(spark: SparkSession, path: str, symbols: list[str] | None = None) -> DataFrame:

@@ -12,10 +12,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from ..functions.text import processed
+from ..functions.text import per_ticker
 from ..plans.progress import observed
-from ..sources.pages import read_landed, tweets_of
+from ..sources.pages import read_landed, texts_of
 from ..sources.raw import PAGE, page_tweets, parse_json
 
 
@@ -32,11 +33,17 @@ def new_tweets(pages: DataFrame, lateness: str = "7 days") -> DataFrame:
 
 
 def _commits(store: str, least: int) -> Callable[[DataFrame, int], None]:
-    """Writes a batch's new tweets and their rows per ticker under the batch's number."""
+    """Writes a batch's new tweets and their rows per ticker under the batch's number.
+
+    A batch is read once: the rows per ticker are made from the stored tweets.
+    """
+
+    def write(rows: DataFrame, name: str, number: int) -> None:
+        rows.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{store}/{name}")
 
     def commit(batch: DataFrame, number: int) -> None:
         session = batch.sparkSession
-        rows = batch.dropDuplicates(["id"])
+        rows = held = batch.dropDuplicates(["id"])
         try:
             stored = session.read.parquet(f"{store}/raw").where(F.col("batch") != number).select("id")
         except AnalysisException as e:
@@ -44,12 +51,14 @@ def _commits(store: str, least: int) -> Callable[[DataFrame, int], None]:
                 raise
         else:
             # Ids grow with time, so the files' statistics leave out those of other times.
+            # What reads the store isn't kept: a write to it would have it worked out anew.
+            rows = held = rows.persist()
             ends = rows.agg(F.min("id").alias("lo"), F.max("id").alias("hi")).first()
             rows = rows.join(stored.where(F.col("id").between(ends["lo"], ends["hi"])), "id", "left_anti")
-        rows = rows.withColumn("batch", F.lit(number)).persist()
-        for name, df in (("raw", rows), ("processed", processed(rows, least).withColumn("batch", F.lit(number)))):
-            df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{store}/{name}")
-        rows.unpersist()
+        write(rows, "raw", number)
+        held.unpersist()
+        new = session.read.schema(StructType([*rows.schema.fields, StructField("batch", IntegerType())])).parquet(f"{store}/raw").where(F.col("batch") == number)
+        write(per_ticker(new.drop("batch"), least), "processed", number)
 
     return commit
 
@@ -68,7 +77,7 @@ def sync_landed(spark: SparkSession, path: str, store: str, checkpoint: str, lea
 
     Failed pages have no tweets; they come with the landing that has the page again.
     """
-    tweets = observed(parse_json(tweets_of(read_landed(spark, path, stream=True))), "landed", without_time=F.col("ts").isNull())
+    tweets = observed(parse_json(texts_of(read_landed(spark, path, stream=True)), named=True), "landed", without_time=F.col("ts").isNull())
     return tweets.writeStream.foreachBatch(_commits(store, least)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
