@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import timezones as Z
@@ -45,13 +45,14 @@ def accounts(spark, sf) -> DataFrame:
 
 
 def written_pages(spark, sf) -> DataFrame:
-    """``(user_id, date, page, tweets)`` of all accounts and days."""
+    """``(user_id, date, page, tweets)`` of all accounts and days, by one sort."""
     e = S.table(spark, sf, "events").withColumn("date", F.col("ts").cast("date"))
     body = F.struct(F.col("event_id").cast("string").alias("id"), F.date_format("ts", "EEE MMM dd HH:mm:ss '+0000' yyyy").alias("createdAt"), F.concat("event_type", F.lit(" of $U"), F.col("user_id").cast("string"), F.lit(", seen by many people")).alias("text"))
-    days = e.groupBy("user_id", "date").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id", F.to_json(body).alias("tweet"))), asc=False).alias("all"))
-    cut = F.transform(F.sequence(F.lit(0), F.floor((F.size("all") - 1) / 4).cast("int")), lambda k: F.slice("all", k * 4 + 1, F.lit(4)))
-    each = days.select("user_id", "date", F.posexplode(cut).alias("k", "part"))
-    return each.select("user_id", "date", (F.datediff(F.lit(AFTER), "date") * 1000 + F.col("k")).alias("page"), F.transform("part", lambda x: x["tweet"]).alias("tweets"))
+    newest = Window.partitionBy("user_id", "date").orderBy(F.desc("ts"), F.desc("event_id"), F.desc("tweet"))
+    rows = e.select("user_id", "date", "ts", "event_id", F.to_json(body).alias("tweet"))
+    four = F.array_compact(F.array("tweet", *[F.lead("tweet", n).over(newest) for n in (1, 2, 3)]))
+    firsts = rows.select("user_id", "date", (F.row_number().over(newest) - 1).alias("place"), four.alias("tweets")).where("place % 4 = 0")
+    return firsts.select("user_id", "date", (F.datediff(F.lit(AFTER), "date") * 1000 + (F.col("place") / 4).cast("int")).alias("page"), "tweets")
 
 
 def land_days(spark, sf, path: str, number: int) -> None:
